@@ -102,6 +102,7 @@ def round_cents(x: Column) -> Column:
     Spark's own rounding goes through the shortest decimal text, so it sees ties where
     there are none. Whole and fractional part are exact doubles; the fraction times a power
     of two is a whole number, so the comparison with one half is done in integers.
+    `x` should be a plain column, since it is used many times.
     """
     size = F.abs(x)
     whole = F.floor(size)
@@ -117,8 +118,9 @@ def round_cents(x: Column) -> Column:
     return F.when(x < 0, -1.0).otherwise(1.0) * (cents.cast("double") / 100.0)
 
 
-def total_score(weight: Column, keywords: Column, popularity: Column, freshness: Column) -> Column:
-    return round_cents(weight + keywords + popularity + freshness)
+def score_sum(weight: Column, keywords: Column, popularity: Column, freshness: Column) -> Column:
+    """The unrounded score; the order of the additions is part of the result."""
+    return weight + keywords + popularity + freshness
 
 
 def summary_line(summary: Column) -> Column:

@@ -17,8 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# What Python's str.isspace() accepts.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# What Python's str.isspace() accepts; a single U+0020 needs no replacement.
+WHITESPACE = r"(?U) [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*"
 TRAILING_WHITESPACE = r"(?U)[\s\x1c-\x1f]+\z"
 EDGE_WHITESPACE = rf"(?U)\A[\s\x1c-\x1f]+|{TRAILING_WHITESPACE[4:]}"
 
@@ -32,6 +32,8 @@ NFKC_STABLE = (
     r"\x{2002}-\x{200A}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{202F}\x{205F}"
     r"\x{3000}-\x{3003}\x{3008}-\x{3015}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}"
 )
+# Characters to skip before the longer test above: most text holds no others.
+_PLAIN = r"\x00-\x25\x27-\x7F\x{C0}-\x{FF}"
 CJK = r"[\x{4E00}-\x{9FFF}]"
 
 
@@ -63,7 +65,8 @@ def collapse_whitespace(col: Column) -> Column:
 
 def normalize_title(col: Column) -> Column:
     """Unescape one level, fold to NFKC, collapse whitespace; null becomes empty."""
-    folded = _unescape_and_fold(F.when(col.rlike(f"[^{NFKC_STABLE}]"), col))
+    may_change = col.rlike(f"[^{_PLAIN}]") & col.rlike(f"[^{NFKC_STABLE}]")
+    folded = _unescape_and_fold(F.when(may_change, col))
     return collapse_whitespace(F.coalesce(folded, col, F.lit("")))
 
 

@@ -94,8 +94,7 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fold_groups(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
-    groups = rows.groupBy(*scope) if scope else rows.groupBy(F.lit(0))
-    return groups.applyInPandas(_fold, rows.schema)
+    return rows.groupBy(*scope).applyInPandas(_fold, rows.schema)
 
 
 def _earliest(undecided: DataFrame, scope: Sequence[str], largest: int, fold_rows: int) -> DataFrame:

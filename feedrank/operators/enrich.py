@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedrank.functions import scoring
+from feedrank.functions.computed import computed
 from feedrank.functions.text import first_non_empty, normalize_title, strip
 from feedrank.functions.times import iso_utc, parse_iso
 from feedrank.functions.urls import canonicalize_url, url_domain
@@ -28,44 +29,38 @@ def with_identity(items: DataFrame, params: Params) -> DataFrame:
     does not scan their summaries.
     """
     url = strip(F.coalesce("url", F.lit("")))
-    return (
-        items.withColumn("title", normalize_title(F.col("title")))
-        .filter(F.col("title") != "")
-        .withColumn(
-            "canonical_url",
-            canonicalize_url(url, params.tracking_prefixes, params.tracking_params),
-        )
-        .withColumn("title_norm", F.lower("title"))
-        .withColumn(
-            "content_hash",
-            content_hash(
-                F.col("title"),
-                url_domain(first_non_empty(F.col("canonical_url"), url)),
-                effective_source_id(F.col("source_id"), url, F.col("title")),
-            ),
-        )
+    titled = computed(items, title=normalize_title(F.col("title"))).filter(F.col("title") != "")
+    named = computed(
+        titled,
+        canonical_url=canonicalize_url(url, params.tracking_prefixes, params.tracking_params),
+        title_norm=F.lower("title"),
     )
+    digest = content_hash(
+        F.col("title"),
+        url_domain(first_non_empty(F.col("canonical_url"), url)),
+        effective_source_id(F.col("source_id"), url, F.col("title")),
+    )
+    return computed(named, content_hash=digest)
 
 
 def with_scores(items: DataFrame, now: Column, params: Params) -> DataFrame:
     """Normalised summary, tags, score and a filled-in publication time."""
-    published = parse_iso(F.col("published_at"), now)
-    return (
-        items.withColumn("summary", normalize_title(F.col("summary")))
-        .withColumn("_text", scoring.keyword_text(F.col("title"), F.col("summary")))
-        .withColumn("tags", scoring.keyword_tags(F.col("_text"), params))
-        .withColumn(
-            "score",
-            scoring.total_score(
-                scoring.source_weight(F.col("source"), params),
-                scoring.keyword_score(F.col("_text"), params),
-                scoring.popularity_score(F.col("source"), F.col("raw_popularity"), params),
-                scoring.freshness_score(published, now),
-            ),
-        )
-        .withColumn("published_at", F.coalesce(first_non_empty(F.col("published_at")), iso_utc(now)))
-        .drop("_text")
+    cleaned = computed(items, summary=normalize_title(F.col("summary")))
+    text = computed(cleaned, _text=scoring.keyword_text(F.col("title"), F.col("summary")))
+    total = scoring.score_sum(
+        scoring.source_weight(F.col("source"), params),
+        scoring.keyword_score(F.col("_text"), params),
+        scoring.popularity_score(F.col("source"), F.col("raw_popularity"), params),
+        scoring.freshness_score(parse_iso(F.col("published_at"), now), now),
+    )
+    summed = computed(
+        text,
+        _total=total,
+        tags=scoring.keyword_tags(F.col("_text"), params),
+        published_at=F.coalesce(first_non_empty(F.col("published_at")), iso_utc(now)),
     )
+    scored = computed(summed.drop("_text"), score=scoring.round_cents(F.col("_total")))
+    return scored.drop("_total")
 
 
 def enrich(items: DataFrame, now: Column, params: Params = Params()) -> DataFrame:

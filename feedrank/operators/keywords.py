@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedrank.functions.computed import computed
 from feedrank.params import Params
 
 
@@ -27,7 +28,7 @@ def keyword_hits(rows: DataFrame, text: Column, params: Params) -> DataFrame:
         for keyword in keywords
     ]
     return (
-        rows.withColumn("_text", F.lower(text))
+        computed(rows, _text=F.lower(text))
         .withColumn("hit", F.explode(F.array_compact(F.array(*candidates))))
         .drop("_text")
         .select("*", "hit.*")

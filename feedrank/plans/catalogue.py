@@ -392,13 +392,15 @@ def total_score(spark, sf_dir):
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.col("l_tax").alias("tax"),
     )
-    score = scoring.total_score(
+    total = scoring.score_sum(
         scoring.source_weight(F.col("source"), PARAMS),
         F.col("tax") * 100.0,
         scoring.popularity_score(F.col("source"), F.col("numbers"), PARAMS),
         scoring.freshness_score(F.col("ts"), times.as_timestamp("1998-06-01T00:00:00Z")),
     )
-    return lines.select("l_orderkey", "l_linenumber", score.alias("score"))
+    return lines.select("l_orderkey", "l_linenumber", total.alias("total")).select(
+        "l_orderkey", "l_linenumber", scoring.round_cents(F.col("total")).alias("score")
+    )
 
 
 # --- de-duplication ----------------------------------------------------------

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedrank.functions.times import as_timestamp
+from feedrank.functions.times import as_timestamp, parse_iso
 from feedrank.operators.dedup import survivors
 from feedrank.operators.enrich import enrich, with_identity
 from feedrank.operators.rank import select_candidates, top_n
@@ -20,6 +21,9 @@ from feedrank.sources.collect import collect
 from feedrank.sources.registry import parse_source_ids, read_registry, select_sources
 
 
+EARLIEST = "0001-01-01T00:00:00Z"  # no parsed time is before it
+
+
 class DailyRun(NamedTuple):
     deduped: DataFrame
     candidates: DataFrame
@@ -34,11 +38,12 @@ def deduplicated(
     """Enriched items, each date's duplicates removed.
 
     Which items survive depends on title, URL and source id only, so that is worked out on
-    those columns; the wide rows are then scanned once and shuffled no more than the final
-    semi join asks for.
+    those columns, and summaries are cleaned and scored for the survivors alone. A malformed
+    time still aborts the job, even on an item that is dropped later.
     """
-    kept = survivors(with_identity(items, params), scope)
-    return enrich(items, now, params).join(kept, [*scope, "ord"], "left_semi")
+    timed = items.filter(parse_iso(F.col("published_at"), now) >= F.lit(EARLIEST).cast("timestamp"))
+    kept = survivors(with_identity(timed, params), scope)
+    return enrich(items.join(kept, [*scope, "ord"], "left_semi"), now, params)
 
 
 def daily_top(items: DataFrame, now: Column, params: Params = Params()) -> DataFrame:

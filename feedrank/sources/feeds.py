@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedrank.functions.computed import computed
 from feedrank.functions.text import clean_text, first_non_empty, strip
 from feedrank.functions.times import entry_timestamp, iso_utc, on_date
 from feedrank.functions.urls import source_name
@@ -31,7 +32,7 @@ def parse_entries(feeds: DataFrame, body: str = "body") -> DataFrame:
     feed = F.from_xml(F.col(body), FEED_SCHEMA)
     entries = F.coalesce(F.col("feed.channel.item"), F.col("feed.item"), F.col("feed.entry"))
     others = [c for c in feeds.columns if c != body]
-    return feeds.withColumn("feed", feed).select(
+    return computed(feeds, feed=feed).select(
         *others, F.posexplode(entries).alias("row_pos", "entry")
     )
 
@@ -62,30 +63,26 @@ def entry_link() -> Column:
 
 def entry_items(entries: DataFrame) -> DataFrame:
     """Item fields of entries; entries without title or link are dropped."""
-    link = entry_link()
     published = first_non_empty(_entry("pubDate"), _entry("published"))
     updated = first_non_empty(_entry("updated"), _entry("dc:date"))
     summary = first_non_empty(
         _value("content:encoded"), _value("content"), _value("summary"), _value("description")
     )
     others = [c for c in entries.columns if c != "entry"]
-    return (
-        entries.withColumn("url", link)
-        .withColumn("published_ts", entry_timestamp(published, updated, F.col("url")))
-        .withColumn("title", clean_text(_value("title"), 300))
-        .filter((F.col("title") != "") & F.col("url").isNotNull())
-        .select(
-            *others,
-            F.lit("rss").alias("source"),
-            source_name(F.col("url")).alias("source_name"),
-            first_non_empty(
-                _value("guid"), _entry("id"), _entry("_rdf:about"), F.col("url")
-            ).alias("source_id"),
-            "title",
-            "url",
-            "published_ts",
-            clean_text(summary).alias("summary"),
-        )
+    linked = computed(entries, url=entry_link()).filter(F.col("url").isNotNull())
+    dated = computed(linked, published_ts=entry_timestamp(published, updated, F.col("url")))
+    titled = computed(dated, title=clean_text(_value("title"), 300)).filter(F.col("title") != "")
+    return titled.select(
+        *others,
+        F.lit("rss").alias("source"),
+        source_name(F.col("url")).alias("source_name"),
+        first_non_empty(
+            _value("guid"), _entry("id"), _entry("_rdf:about"), F.col("url")
+        ).alias("source_id"),
+        "title",
+        "url",
+        "published_ts",
+        clean_text(summary).alias("summary"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedrank.functions.computed import computed
 from feedrank.functions.scoring import any_keyword
 from feedrank.functions.text import clean_text, first_non_empty
 from feedrank.functions.times import iso_utc, on_date
@@ -48,27 +49,24 @@ def story_items(stories: DataFrame) -> DataFrame:
 
     relevant = ~F.col("require_keyword_match") | any_keyword(F.col("haystack"), F.col("keywords"))
     others = [c for c in stories.columns if c not in ("body", "keywords", "require_keyword_match")]
-    return (
-        stories.withColumn("payload", payload)
-        .filter((text("type") == "story") & (F.coalesce(number("time"), F.lit(0)) != 0))
-        .withColumn("haystack", _haystack(F.col("payload")))
-        .filter(relevant)
-        .withColumn("title", clean_text(text("title"), 300))
-        .filter(F.col("title") != "")
-        .select(
-            *others,
-            F.lit("hn").alias("source"),
-            F.lit("news.ycombinator.com").alias("source_name"),
-            F.col("id").cast("string").alias("source_id"),
-            "title",
-            first_non_empty(
-                text("url"), F.concat(F.lit(DISCUSSION_URL), F.col("id").cast("string"))
-            ).alias("url"),
-            F.timestamp_seconds(number("time")).alias("published_ts"),
-            clean_text(text("text"), 500).alias("summary"),
-            F.coalesce(number("score"), F.lit(0)).alias("hn_score"),
-            F.coalesce(number("descendants"), F.lit(0)).alias("hn_comments"),
-        )
+    timed = computed(stories, payload=payload).filter(
+        (text("type") == "story") & (F.coalesce(number("time"), F.lit(0)) != 0)
+    )
+    asked = computed(timed, haystack=_haystack(F.col("payload"))).filter(relevant)
+    titled = computed(asked, title=clean_text(text("title"), 300)).filter(F.col("title") != "")
+    return titled.select(
+        *others,
+        F.lit("hn").alias("source"),
+        F.lit("news.ycombinator.com").alias("source_name"),
+        F.col("id").cast("string").alias("source_id"),
+        "title",
+        first_non_empty(
+            text("url"), F.concat(F.lit(DISCUSSION_URL), F.col("id").cast("string"))
+        ).alias("url"),
+        F.timestamp_seconds(number("time")).alias("published_ts"),
+        clean_text(text("text"), 500).alias("summary"),
+        F.coalesce(number("score"), F.lit(0)).alias("hn_score"),
+        F.coalesce(number("descendants"), F.lit(0)).alias("hn_comments"),
     )
 
 
