@@ -24,11 +24,7 @@ _MAIL_DATE = (
     r"^\s*(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}|\d{2})"
     r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]+|[+-]\d{4}|[+-]\d{2}:\d{2})?\s*(?:\(.*\))?\s*$"
 )
-# date, time, zone.
-_ISO_DATE = (
-    r"^\s*(\d{4}-\d{2}-\d{2})(?:[Tt ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?"
-    r"\s*([Zz]|[+-]\d{2}:?\d{2})?\s*$"
-)
+_ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?\s*$"
 
 
 def as_timestamp(value: dt.datetime | str | Column) -> Column:
@@ -53,10 +49,9 @@ def parse_iso(text: Column, now: Column) -> Column:
 def _zone_offset(zone: Column) -> Column:
     """Offset as +hh:mm; no zone or an unknown name means UTC."""
     names = F.create_map(*(F.lit(v) for pair in ZONE_OFFSETS.items() for v in pair))
-    numeric = F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
-    return F.when(zone.rlike(r"^[+-]"), numeric).otherwise(
-        F.coalesce(F.try_element_at(names, F.upper(zone)), F.lit("+00:00"))
-    )
+    return F.when(
+        zone.rlike(r"^[+-]"), F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
+    ).otherwise(F.coalesce(F.try_element_at(names, F.upper(zone)), F.lit("+00:00")))
 
 
 def parse_mail_date(text: Column) -> Column:
@@ -65,31 +60,22 @@ def parse_mail_date(text: Column) -> Column:
     def part(group: int) -> Column:
         return F.regexp_extract(text, _MAIL_DATE, group)
 
-    names = F.array(*(F.lit(m) for m in MONTHS))
-    month = F.array_position(names, F.lower(part(2))).cast("string")
-    two_digit_century = F.when(part(3) <= "68", F.lit("20")).otherwise(F.lit("19"))
-    year = F.when(F.char_length(part(3)) == 2, F.concat(two_digit_century, part(3))).otherwise(part(3))
-    second = F.when(part(6) == "", F.lit("00")).otherwise(part(6))
+    months = F.create_map(*(F.lit(v) for i, m in enumerate(MONTHS, 1) for v in (m, f"{i:02d}")))
+    # A two-digit year is one of 1969 to 2068.
+    year = F.regexp_replace(
+        F.regexp_replace(part(3), r"^([0-5]\d|6[0-8])$", "20$1"), r"^(\d{2})$", "19$1"
+    )
     iso = F.concat(
-        year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"),
-        F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), second, _zone_offset(part(7)),
+        year, F.lit("-"), F.try_element_at(months, F.lower(part(2))), F.lit("-"), part(1),
+        F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), F.lpad(part(6), 2, "0"),
+        _zone_offset(part(7)),
     )
     return F.when(text.rlike(_MAIL_DATE), iso.try_cast("timestamp"))
 
 
 def parse_w3c_date(text: Column) -> Column:
     """ISO 8601 / W3C date, with or without time and zone; null if the text is none."""
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, _ISO_DATE, group)
-
-    clock = (
-        F.when(part(2) == "", F.lit("00:00:00"))
-        .when(F.char_length(part(2)) == 5, F.concat(part(2), F.lit(":00")))
-        .otherwise(part(2))
-    )
-    iso = F.concat(part(1), F.lit("T"), clock, _zone_offset(part(3)))
-    return F.when(text.rlike(_ISO_DATE), iso.try_cast("timestamp"))
+    return F.when(text.rlike(_ISO_DATE), F.upper(F.trim(text)).try_cast("timestamp"))
 
 
 def entry_timestamp(published: Column, updated: Column, link: Column) -> Column:

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from feedrank.functions.text import strip
 from feedrank.params import TRACKING_PARAMS, TRACKING_PREFIXES
 
-# scheme, authority, path and query of a generic URI; the fragment is not captured.
-_URI = (
-    r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-)
-_SCHEME, _AUTHORITY, _PATH, _QUERY = 1, 2, 3, 4
-
-# Brackets in an authority must enclose an IP literal.
-_BRACKETED_HOST = (
-    r"(?s)^[^\[]*\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]]*)?|v[0-9A-Fa-f]+\.[^\]]+)\]"
+# Pieces of a URL. An authority runs up to the path, the query or the fragment.
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
+_ROOT = rf"^({_SCHEME}//[^/?#]+)"
+_AUTHORITY = rf"^(?:{_SCHEME})?//([^/?#]*)"
+_PATH = rf"{_ROOT}([^?#]*)"
+_QUERY = r"^[^?#]*\?([^#]*)"
+
+# Brackets in an authority must enclose an IP literal; anything else is malformed.
+_IP_LITERAL = (
+    r"[^\[/?#]*\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]/?#]*)?|v[0-9A-Fa-f]+\.[^\]/?#]+)\]"
 )
+_MALFORMED = rf"^(?:{_SCHEME})?//(?!{_IP_LITERAL})[^/?#]*[\[\]]"
 
 _STRAY_PERCENT = "%(?![0-9A-Fa-f]{2})"
 
@@ -29,19 +31,6 @@ def _parseable(url: Column) -> Column:
     return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _URI, group)
-
-
-def _authority(url: Column) -> Column:
-    """The authority; a malformed IP literal aborts the job."""
-    found = _part(url, _AUTHORITY)
-    malformed = found.rlike(r"[\[\]]") & ~found.rlike(_BRACKETED_HOST)
-    return F.when(
-        malformed, F.raise_error(F.concat(F.lit("malformed URL: "), url)).cast("string")
-    ).otherwise(found)
-
-
 def _decode(text: Column) -> Column:
     """Form-style decoding; a "%" that starts no escape stands for itself."""
     return F.url_decode(F.regexp_replace(text, _STRAY_PERCENT, "%25"))
@@ -76,28 +65,28 @@ def canonicalize_url(
     tracking_params: Sequence[str] = TRACKING_PARAMS,
 ) -> Column:
     """Comparable form of a URL: lower-case scheme and authority, no trailing slash, no
-    fragment, no tracking parameters. Text that is not an absolute URL is only trimmed."""
+    fragment, no tracking parameters. Text that is not an absolute URL is only trimmed; a
+    malformed IP literal aborts the job."""
     stripped = strip(F.coalesce(url, F.lit("")))
     uri = _parseable(stripped)
-    scheme, authority = _part(uri, _SCHEME), _authority(uri)
-    path = F.rtrim(_part(uri, _PATH), F.lit("/"))
-    raw_query = _part(uri, _QUERY)
-    query = F.when(raw_query == "", "").otherwise(
-        _clean_query(raw_query, tracking_prefixes, tracking_params)
-    )
+    path = F.rtrim(F.regexp_extract(uri, _PATH, 2), F.lit("/"))
+    query = _clean_query(F.regexp_extract(uri, _QUERY, 1), tracking_prefixes, tracking_params)
     absolute = F.concat(
-        F.lower(scheme),
-        F.lit("://"),
-        F.lower(authority),
-        F.when(path == "", "/").otherwise(path),
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+        F.lower(F.regexp_extract(uri, _ROOT, 1)),
+        F.coalesce(F.nullif(path, F.lit("")), F.lit("/")),
+        F.rtrim(F.concat(F.lit("?"), query), F.lit("?")),  # in a query, "?" is encoded
+    )
+    malformed = F.raise_error(F.concat(F.lit("malformed URL: "), stripped)).cast("string")
+    return (
+        F.when(uri.rlike(_MALFORMED), malformed)
+        .when(uri.rlike(_ROOT), absolute)
+        .otherwise(stripped)
     )
-    return F.when((scheme == "") | (authority == ""), stripped).otherwise(absolute)
 
 
 def url_domain(url: Column) -> Column:
     """Lower-cased authority of a URL, empty if it has none."""
-    return F.lower(_authority(_parseable(F.coalesce(url, F.lit("")))))
+    return F.lower(F.regexp_extract(_parseable(F.coalesce(url, F.lit(""))), _AUTHORITY, 1))
 
 
 def source_name(link: Column) -> Column:

@@ -17,6 +17,7 @@ from feedrank.params import Params
 from feedrank.plans import tables
 from feedrank.plans.daily import daily_run, daily_top, deduplicated
 from feedrank.plans.tables import PARAMS, table
+from feedrank.session import checkpointed
 from feedrank.sinks.report import preview, report_blocks
 from feedrank.sources.collect import collect
 from feedrank.sources.feeds import scan_feeds
@@ -544,7 +545,7 @@ def _collected(spark: SparkSession, sf_dir: str):
         .unionByName(tables.landed_lists(spark, sf_dir))
     )
     sources = select_sources(parse_registry(tables.registry_documents(spark)))
-    return collect(landed, tables.landed_stories(spark, sf_dir), sources)
+    return collect(checkpointed(landed), tables.landed_stories(spark, sf_dir), sources)
 
 
 @query
