@@ -70,13 +70,13 @@ def report_documents(top: DataFrame, stats: DataFrame, params: Params = Params()
 
 
 def write_reports(documents: DataFrame, path: str) -> None:
-    """One text file per run date under `run_date=...`; rewritten dates are replaced."""
+    """One text file per run date under `run_date=...`, ending in a line break; rewritten
+    dates are replaced."""
     (
-        documents.select("run_date", F.col("document").alias("value"))
+        documents.select("run_date", F.rtrim("document", F.lit("\n")).alias("value"))
         .repartition("run_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("lineSep", "")
         .partitionBy("run_date")
         .text(path)
     )
