@@ -43,15 +43,25 @@ def _holds(text: Column, keyword: str) -> Column:
     return F.contains(text, F.lit(keyword.lower()))
 
 
-def keyword_score(text: Column, params: Params) -> Column:
-    """Sum of the weights of the keywords found, each counted once, up to the cap."""
+def _points(params: Params, found) -> Column:
+    """Sum of the weights of the keywords for which `found` holds, up to the cap."""
     points = [
-        F.when(_holds(text, keyword), float(weight)).otherwise(0.0)
+        F.when(found(keyword), float(weight)).otherwise(0.0)
         for keyword, weight in params.weighted_keywords()
     ]
     return F.least(reduce(lambda a, b: a + b, points, F.lit(0.0)), F.lit(params.keyword_cap))
 
 
+def keyword_score(text: Column, params: Params) -> Column:
+    """Points for the keywords in the text, each counted once."""
+    return _points(params, lambda keyword: _holds(text, keyword))
+
+
+def tag_score(tags: Column, params: Params) -> Column:
+    """The same from the tags of the text, without searching it again."""
+    return _points(params, lambda keyword: F.array_contains(tags, keyword))
+
+
 def matched_keywords(text: Column, keywords: Iterable[str]) -> Column:
     """Sorted distinct keywords found in the text."""
     ordered = sorted(set(keywords))

@@ -47,19 +47,16 @@ def with_scores(items: DataFrame, now: Column, params: Params) -> DataFrame:
     """Normalised summary, tags, score and a filled-in publication time."""
     cleaned = computed(items, summary=normalize_title(F.col("summary")))
     text = computed(cleaned, _text=scoring.keyword_text(F.col("title"), F.col("summary")))
+    tagged = computed(text, tags=scoring.keyword_tags(F.col("_text"), params)).drop("_text")
     total = scoring.score_sum(
         scoring.source_weight(F.col("source"), params),
-        scoring.keyword_score(F.col("_text"), params),
+        scoring.tag_score(F.col("tags"), params),
         scoring.popularity_score(F.col("source"), F.col("raw_popularity"), params),
         scoring.freshness_score(parse_iso(F.col("published_at"), now), now),
     )
-    summed = computed(
-        text,
-        _total=total,
-        tags=scoring.keyword_tags(F.col("_text"), params),
-        published_at=F.coalesce(first_non_empty(F.col("published_at")), iso_utc(now)),
-    )
-    scored = computed(summed.drop("_text"), score=scoring.round_cents(F.col("_total")))
+    filled = F.coalesce(first_non_empty(F.col("published_at")), iso_utc(now))
+    summed = computed(tagged, _total=total, published_at=filled)
+    scored = computed(summed, score=scoring.round_cents(F.col("_total")))
     return scored.drop("_total")
 
 

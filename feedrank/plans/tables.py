@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from feedrank.functions.times import iso_utc
 from feedrank.functions.urls import url_domain
 from feedrank.params import Params
+from feedrank.session import spread
 from feedrank.sources.landing import popularity
 
 NOW = "2024-01-31T00:00:00Z"
@@ -50,8 +51,13 @@ SCHEMAS = {
 }
 
 
+# Tables with long texts, and their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def headline(text: Column) -> Column:

@@ -46,3 +46,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only after counting; above `max_rows` Spark picks the join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input that comes in fewer partitions than there are cores,
+    as one small file does. Larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
