@@ -32,6 +32,7 @@ from feedrank.session import broadcast_if_small, checkpointed
 FOLD_ROWS = 200_000
 HOT_KEY_ROWS = 100_000
 MAX_HOT_KEYS = 5_000
+BROADCAST_POSITIONS = 500_000  # a date and a number each: some tens of megabytes
 SLOW_ROUND = 0.2  # a round that decides less than this share is followed by a fold
 
 # `item` is the position times four plus the number of keys (1 to 3), so that a plain min()
@@ -126,9 +127,11 @@ def _unblocked(
         marked = rows.join(taken, "key", "left").select(columns)
     else:
         # Rows with a hot key never go through a shuffle on that key.
-        hot_taken = F.broadcast(
-            hot.join(taken, "key", "left").select("key", F.col("taken").isNotNull().alias("hot_taken"))
+        hits = taken.join(F.broadcast(hot), "key", "left_semi")
+        hot_taken = hot.join(F.broadcast(hits), "key", "left").select(
+            "key", F.coalesce("taken", F.lit(False)).alias("hot_taken")
         )
+        hot_taken = F.broadcast(hot_taken)  # at most MAX_HOT_KEYS rows, and so are the others
         rows = rows.join(hot_taken, "key", "left")
         by_hot = rows.filter(F.col("hot_taken").isNotNull())
         others = rows.filter(F.col("hot_taken").isNull()).drop("hot_taken")
@@ -199,7 +202,7 @@ def survivors(
     if rows:
         kept.append(_fold_groups(undecided, scope))
     position = F.shiftright("item", _SHIFT).alias(order)
-    return reduce(DataFrame.unionByName, kept).select(*scope, position)
+    return checkpointed(reduce(DataFrame.unionByName, kept).select(*scope, position))
 
 
 def dedup(
@@ -212,7 +215,13 @@ def dedup(
 ) -> DataFrame:
     """The kept items of each scope, with all their columns."""
     kept = survivors(items, scope, order, fold_rows, hot_rows, rounds)
-    return items.join(kept, [*scope, order], "left_semi")
+    return only_survivors(items, kept)
+
+
+def only_survivors(items: DataFrame, kept: DataFrame) -> DataFrame:
+    """The items at the kept positions. A short list of positions is broadcast, so that wide
+    items are not shuffled; with a long one, both sides are."""
+    return items.join(broadcast_if_small(kept, BROADCAST_POSITIONS), kept.columns, "left_semi")
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -534,8 +534,8 @@ def feed_merge_distinct(spark, sf_dir):
 
 @query
 def story_scan_join(spark, sf_dir):
-    lists, stories = tables.landed_lists(spark, sf_dir), tables.landed_stories(spark, sf_dir)
-    return _shown_raw(scan_stories(lists, stories, _parts(spark)))
+    lists = checkpointed(tables.landed_lists(spark, sf_dir))  # as landed: no longer an expression
+    return _shown_raw(scan_stories(lists, tables.landed_stories(spark, sf_dir), _parts(spark)))
 
 
 def _collected(spark: SparkSession, sf_dir: str):

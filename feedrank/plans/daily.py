@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedrank.functions.times import as_timestamp, parse_iso
-from feedrank.operators.dedup import survivors
+from feedrank.operators.dedup import only_survivors, survivors
 from feedrank.operators.enrich import enrich, with_identity
 from feedrank.operators.rank import select_candidates, top_n
 from feedrank.operators.stats import run_stats
@@ -43,7 +43,7 @@ def deduplicated(
     """
     timed = items.filter(parse_iso(F.col("published_at"), now) >= F.lit(EARLIEST).cast("timestamp"))
     kept = survivors(with_identity(timed, params), scope)
-    return enrich(items.join(kept, [*scope, "ord"], "left_semi"), now, params)
+    return enrich(only_survivors(items, kept), now, params)
 
 
 def daily_top(items: DataFrame, now: Column, params: Params = Params()) -> DataFrame:

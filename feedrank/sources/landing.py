@@ -93,6 +93,8 @@ def failed_feeds(
     suspects = (
         _failed_attempts(landed, parts)
         .filter(F.col("source_type") == "rss")
+        .groupBy(*by, "part_pos")
+        .agg(F.min("reason").alias("reason"))
         .groupBy(*by)
         # one entry per configured URL of the source
         .agg(F.array_sort(F.collect_list(F.struct("part_pos", "reason"))).alias("reasons"))
