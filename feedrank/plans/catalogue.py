@@ -19,7 +19,7 @@ from feedrank.plans.daily import daily_run, daily_top, deduplicated
 from feedrank.plans.tables import PARAMS, table
 from feedrank.session import checkpointed
 from feedrank.sinks.report import preview, report_blocks
-from feedrank.sources.collect import collect
+from feedrank.sources.collect import collect_items, fetch_warnings
 from feedrank.sources.feeds import scan_feeds
 from feedrank.sources.registry import (
     DEFAULT_STORY_KEYWORDS,
@@ -492,7 +492,7 @@ def report_documents_(spark, sf_dir):
 
 
 def _parts(spark: SparkSession) -> DataFrame:
-    return source_parts(select_sources(parse_registry(tables.registry_documents(spark))))
+    return source_parts(_sources(spark))
 
 
 def _shown_raw(items: DataFrame) -> DataFrame:
@@ -538,24 +538,28 @@ def story_scan_join(spark, sf_dir):
     return _shown_raw(scan_stories(lists, tables.landed_stories(spark, sf_dir), _parts(spark)))
 
 
-def _collected(spark: SparkSession, sf_dir: str):
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = (
         tables.landed_feeds(spark, sf_dir)
         .unionByName(tables.landed_pages(spark, sf_dir))
         .unionByName(tables.landed_lists(spark, sf_dir))
     )
-    sources = select_sources(parse_registry(tables.registry_documents(spark)))
-    return collect(checkpointed(landed), tables.landed_stories(spark, sf_dir), sources)
+    return checkpointed(landed)  # a lander would have stored it
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return select_sources(parse_registry(tables.registry_documents(spark)))
 
 
 @query
 def source_union(spark, sf_dir):
-    return _shown_raw(_collected(spark, sf_dir).items)
+    landed, stories = _landed(spark, sf_dir), tables.landed_stories(spark, sf_dir)
+    return _shown_raw(collect_items(landed, stories, _sources(spark)))
 
 
 @query
 def fetch_failure_policy(spark, sf_dir):
-    warnings = _collected(spark, sf_dir).warnings
+    warnings = fetch_warnings(_landed(spark, sf_dir), _sources(spark))
     return warnings.withColumn("run_date", F.col("run_date").cast("string"))
 
 

@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from feedrank.session import broadcast_if_small
+from feedrank.session import broadcast_if_small, checkpointed
 from feedrank.sources.feeds import scan_feeds
 from feedrank.sources.landing import (
     failed_feeds,
@@ -25,19 +25,46 @@ class Collected(NamedTuple):
     warnings: DataFrame
 
 
+def _listed(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The selected sources, stored since every scan joins them, and their parts."""
+    sources = checkpointed(sources)
+    return sources, broadcast_if_small(source_parts(sources))
+
+
+def _items(landed: DataFrame, stories: DataFrame, parts: DataFrame, failed: DataFrame) -> DataFrame:
+    lost = broadcast_if_small(failed.select("run_date", "source_config_id"))
+    usable = landed.join(lost, ["run_date", "source_config_id"], "left_anti")
+    return union_items(
+        [scan_feeds(landed, parts), scan_trending(usable, parts), scan_stories(usable, stories, parts)]
+    )
+
+
+def _warnings(
+    landed: DataFrame, sources: DataFrame, parts: DataFrame, failed: DataFrame
+) -> DataFrame:
+    feeds = failed_feeds(landed, parts, scan_feeds)
+    return reduce(DataFrame.unionByName, [failed, feeds, unsupported_sources(landed, sources)])
+
+
+def collect_items(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> DataFrame:
+    """Raw items of the selected sources, in registry order; failed sources give none."""
+    _, parts = _listed(sources)
+    return _items(landed, stories, parts, failed_sources(landed, parts))
+
+
+def fetch_warnings(landed: DataFrame, sources: DataFrame) -> DataFrame:
+    """One warning per run date and failed source."""
+    sources, parts = _listed(sources)
+    return _warnings(landed, sources, parts, failed_sources(landed, parts))
+
+
 def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collected:
-    """Raw items of the selected sources, in registry order, and one warning per failure.
+    """Items and warnings.
 
     `landed` and `stories` may hold many run dates; each is treated on its own.
     """
-    parts = broadcast_if_small(source_parts(sources))
+    sources, parts = _listed(sources)
     failed = failed_sources(landed, parts)
-    lost = broadcast_if_small(failed.select("run_date", "source_config_id"))
-    usable = landed.join(lost, ["run_date", "source_config_id"], "left_anti")
-    scans = [
-        scan_feeds(landed, parts),
-        scan_trending(usable, parts),
-        scan_stories(usable, stories, parts),
-    ]
-    warnings = [failed, failed_feeds(landed, parts, scan_feeds), unsupported_sources(landed, sources)]
-    return Collected(union_items(scans), reduce(DataFrame.unionByName, warnings))
+    return Collected(
+        _items(landed, stories, parts, failed), _warnings(landed, sources, parts, failed)
+    )
