@@ -18,7 +18,13 @@ from feedrank.session import checkpointed, configure
 from feedrank.sinks.raw import run_header, write_raw
 from feedrank.sinks.report import report_documents, write_reports
 from feedrank.sources.collect import collect
-from feedrank.sources.registry import parse_source_ids, read_registry, select_sources
+from feedrank.sources.registry import (
+    check_registry,
+    default_registry,
+    parse_source_ids,
+    read_registry,
+    select_sources,
+)
 
 
 EARLIEST = "0001-01-01T00:00:00Z"  # no parsed time is before it
@@ -68,7 +74,7 @@ def daily_run(
 
 def run_job(
     spark: SparkSession,
-    registry_path: str,
+    registry_path: str | None,
     landed: DataFrame,
     stories: DataFrame,
     output: str,
@@ -76,9 +82,14 @@ def run_job(
     sources: str = "",
     params: Params = Params(),
 ) -> DataFrame:
-    """Landed fetches to raw JSON and reports under `output`; returns the warnings."""
+    """Landed fetches to raw JSON and reports under `output`; returns the warnings.
+
+    Without a registry path the default sources are used; `sources` selects by id or alias.
+    """
     configure(spark)
-    chosen = select_sources(read_registry(spark, registry_path), parse_source_ids(sources))
+    registry = read_registry(spark, registry_path) if registry_path else default_registry(spark)
+    check_registry(registry)
+    chosen = select_sources(registry, parse_source_ids(sources))
     collected = collect(landed, stories, chosen)
     items = checkpointed(collected.items)  # parsed once; far smaller than the landed bodies
     run = daily_run(items, as_timestamp(now), params, landed.select("run_date"))

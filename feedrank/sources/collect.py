@@ -6,6 +6,7 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from feedrank.session import broadcast_if_small, checkpointed
 from feedrank.sources.feeds import scan_feeds
@@ -14,6 +15,7 @@ from feedrank.sources.landing import (
     failed_sources,
     union_items,
     unsupported_sources,
+    unsupported_warnings,
 )
 from feedrank.sources.registry import source_parts
 from feedrank.sources.stories import scan_stories
@@ -25,10 +27,12 @@ class Collected(NamedTuple):
     warnings: DataFrame
 
 
-def _listed(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The selected sources, stored since every scan joins them, and their parts."""
-    sources = checkpointed(sources)
-    return sources, broadcast_if_small(source_parts(sources))
+def _listed(sources: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The parts of the selected sources, and the sources that cannot be scanned at all."""
+    sources = checkpointed(sources)  # a short list that every scan joins
+    unsupported = unsupported_sources(sources)
+    scanned = sources.filter(~F.col("source_config_id").isin(list(unsupported)))
+    return broadcast_if_small(source_parts(scanned)), unsupported
 
 
 def _items(landed: DataFrame, stories: DataFrame, parts: DataFrame, failed: DataFrame) -> DataFrame:
@@ -40,22 +44,24 @@ def _items(landed: DataFrame, stories: DataFrame, parts: DataFrame, failed: Data
 
 
 def _warnings(
-    landed: DataFrame, sources: DataFrame, parts: DataFrame, failed: DataFrame
+    landed: DataFrame, parts: DataFrame, failed: DataFrame, unsupported: dict[str, str]
 ) -> DataFrame:
     feeds = failed_feeds(landed, parts, scan_feeds)
-    return reduce(DataFrame.unionByName, [failed, feeds, unsupported_sources(landed, sources)])
+    return reduce(
+        DataFrame.unionByName, [failed, feeds, unsupported_warnings(landed, unsupported)]
+    )
 
 
 def collect_items(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> DataFrame:
     """Raw items of the selected sources, in registry order; failed sources give none."""
-    _, parts = _listed(sources)
+    parts, _ = _listed(sources)
     return _items(landed, stories, parts, failed_sources(landed, parts))
 
 
 def fetch_warnings(landed: DataFrame, sources: DataFrame) -> DataFrame:
     """One warning per run date and failed source."""
-    sources, parts = _listed(sources)
-    return _warnings(landed, sources, parts, failed_sources(landed, parts))
+    parts, unsupported = _listed(sources)
+    return _warnings(landed, parts, failed_sources(landed, parts), unsupported)
 
 
 def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collected:
@@ -63,8 +69,8 @@ def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collec
 
     `landed` and `stories` may hold many run dates; each is treated on its own.
     """
-    sources, parts = _listed(sources)
+    parts, unsupported = _listed(sources)
     failed = failed_sources(landed, parts)
     return Collected(
-        _items(landed, stories, parts, failed), _warnings(landed, sources, parts, failed)
+        _items(landed, stories, parts, failed), _warnings(landed, parts, failed, unsupported)
     )

@@ -49,13 +49,8 @@ def _reason() -> Column:
     kind, error = F.col("source_type"), F.coalesce("error", F.lit(""))
     failed = F.col("status") != "ok"
     due = (kind != "github_trending") | (F.to_date("fetched_at") == F.col("run_date"))
-    return (
-        F.when(
-            (kind == "hackernews") & ~F.col("part").isin(*STORY_FEEDS),
-            F.concat(F.lit("unsupported list: "), F.col("part")),
-        )
-        .when(failed & (kind == "rss"), F.concat("part", F.lit(": "), error))
-        .when(failed & due, error)
+    return F.when(failed & (kind == "rss"), F.concat("part", F.lit(": "), error)).when(
+        failed & due, error
     )
 
 
@@ -71,8 +66,8 @@ def _warning(reason: Column) -> Column:
 
 
 def failed_sources(landed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Trending and story sources that failed on a date: one failed language, or one failed or
-    unknown list, loses the whole source. Trending pages count only on their own date."""
+    """Trending and story sources that failed on a date: one failed language or list loses the
+    whole source. Trending pages count only on their own date."""
     return (
         _failed_attempts(landed, parts)
         .filter(F.col("source_type") != "rss")
@@ -105,21 +100,28 @@ def failed_feeds(
     )
 
 
-def unsupported_sources(landed: DataFrame, sources: DataFrame) -> DataFrame:
-    """A warning per run date for every configured source of an unknown type."""
-    unknown = sources.filter(~F.col("source_type").isin(*PART_PARAMS))
-    listed = [
-        F.struct(
-            F.lit(r["source_config_id"]).alias("source_config_id"),
-            F.lit(f"unsupported source type: {r['source_type']}").alias("reason"),
-        )
-        for r in unknown.select("source_config_id", "source_type").collect()
-    ]
+def unsupported_sources(sources: DataFrame) -> dict[str, str]:
+    """Configured sources that fail on every date, and why: an unknown type or story list."""
+    unknown = F.filter("parts", lambda p: ~p.isin(*STORY_FEEDS))
+    reason = F.when(
+        ~F.col("source_type").isin(*PART_PARAMS),
+        F.concat(F.lit("unsupported source type: "), "source_type"),
+    ).when(
+        (F.col("source_type") == "hackernews") & (F.size(unknown) > 0),
+        F.concat(F.lit("unsupported list: "), F.get(unknown, 0)),
+    )
+    found = sources.select("source_config_id", reason.alias("reason")).filter("reason IS NOT NULL")
+    return {r["source_config_id"]: r["reason"] for r in found.collect()}
+
+
+def unsupported_warnings(landed: DataFrame, unsupported: dict[str, str]) -> DataFrame:
+    """A warning per run date for each of these sources."""
+    listed = F.array(*(
+        F.struct(F.lit(name).alias("source_config_id"), F.lit(reason).alias("reason"))
+        for name, reason in unsupported.items()
+    )).cast("ARRAY<STRUCT<source_config_id: STRING, reason: STRING>>")
     dates = landed.select("run_date").distinct()
-    if not listed:
-        empty = F.lit("").alias("source_config_id")
-        return dates.limit(0).select("run_date", empty, F.lit("").alias("message"))
-    return dates.select("run_date", F.inline(F.array(*listed))).select(
+    return dates.select("run_date", F.inline(listed)).select(
         "run_date", "source_config_id", _warning(F.col("reason"))
     )
 

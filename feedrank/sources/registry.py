@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedrank.functions.text import strip
 from feedrank.session import broadcast_if_small
+from feedrank.sources.defaults import DEFAULT_SOURCES
 
 # --- Fixed values. -----------------------------------------------------------
 
@@ -31,6 +33,12 @@ DEFAULT_STORY_KEYWORDS = (
 # --- End of fixed values. ----------------------------------------------------
 
 
+def default_registry(spark: SparkSession) -> DataFrame:
+    """The sources a run uses when no registry is given."""
+    document = json.dumps({"sources": DEFAULT_SOURCES})
+    return parse_registry(spark.createDataFrame([(document,)], "doc STRING"))
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Sources of a JSON registry file `{"sources": [...]}`, in file order."""
     return parse_registry(spark.read.text(path, wholetext=True).select(F.col("value").alias("doc")))
@@ -115,6 +123,16 @@ def parse_sources(specs: DataFrame) -> DataFrame:
     )
 
 
+def check_registry(registry: DataFrame) -> None:
+    """Raise ValueError if there is no source, or if two share an id."""
+    if registry.isEmpty():
+        raise ValueError("no sources configured")
+    twice = registry.groupBy("source_config_id").count().filter("count > 1").limit(100).collect()
+    if twice:
+        names = ", ".join(sorted(r["source_config_id"] for r in twice))
+        raise ValueError(f"source ids used more than once: {names}")
+
+
 def parse_source_ids(csv: str | None) -> list[str]:
     """Distinct non-empty ids of a comma-separated list, in order."""
     return list(dict.fromkeys(t.strip() for t in (csv or "").split(",") if t.strip()))

@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 from feedrank.functions import times
+from feedrank.operators.enrich import enrich
+from feedrank.operators.rank import select_candidates
 from feedrank.params import Params
 from feedrank.plans.daily import daily_run, run_job
 from feedrank.schemas import LANDED, LANDED_STORY, RAW_ITEM
@@ -146,3 +148,13 @@ def test_job_from_landed_fetches_to_files(spark, tmp_path):
     assert "Top 0 - 2024-01-02" in _single(tmp_path / "out/top/run_date=2024-01-02", "txt")
     header = json.loads(_single(tmp_path / "out/raw/runs/run_date=2024-01-01", "json"))
     assert header["run_meta"]["selected_sources"] == ["f", "g"]
+
+
+def test_text_is_cleaned_once_per_row(spark):
+    """No definition is copied into pushed-down filters or into other expressions."""
+    items = spark.createDataFrame([_item(DAY, 0, "a", "https://x.com/a")], RAW_ITEM)
+    best = select_candidates(enrich(items, times.as_timestamp(NOW)), 45.0)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    evaluations = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert sum(line.count("_unescape_and_fold(") for line in evaluations) == 2
+    assert 0 < plan.count("Contains(_text") <= 27

@@ -8,6 +8,8 @@ from feedrank.sources.collect import collect
 from feedrank.sources.registry import (
     DEFAULT_PARTS,
     DEFAULT_STORY_KEYWORDS,
+    check_registry,
+    default_registry,
     parse_registry,
     parse_source_ids,
     read_registry,
@@ -68,6 +70,22 @@ def test_source_without_id_aborts(spark):
         parse_registry(spark.createDataFrame([(doc,)], "doc string")).collect()
 
 
+def test_registry_checks(spark, registry):
+    check_registry(registry)
+    for sources, message in (([], "no sources"), ([{"id": "a", "type": "rss"}] * 2, "more than once: a")):
+        doc = json.dumps({"sources": sources})
+        with pytest.raises(ValueError, match=message):
+            check_registry(parse_registry(spark.createDataFrame([(doc,)], "doc string")))
+
+
+def test_default_registry(spark):
+    rows = default_registry(spark).orderBy("source_pos").collect()
+    assert len(rows) == 21 and all(r.enabled for r in rows)
+    assert rows[0].parts == list(DEFAULT_PARTS["rss"])
+    (stories,) = [r for r in rows if r.source_type == "hackernews"]
+    assert stories.max_per_feed == 15 and stories.keywords == list(DEFAULT_STORY_KEYWORDS)
+
+
 def test_selection(registry):
     assert parse_source_ids(" two, rss ,,two") == ["two", "rss"]
     assert _ids(select_sources(registry)) == ["one", "two", "text", "trend", "stories", "odd"]
@@ -180,7 +198,7 @@ def test_unknown_list_loses_the_story_source(spark):
     doc = {"sources": [{"id": "s", "type": "hackernews", "params": {"feeds": ["top", "ask"]}}]}
     registry = parse_registry(spark.createDataFrame([(json.dumps(doc),)], "doc string"))
     landed = spark.createDataFrame(
-        [(DAY, "s", p, "ok", None, "[1]", NOON) for p in ("top", "ask")], LANDED
+        [(DAY, "s", "top", "ok", None, "[1]", NOON)], LANDED  # no lander can fetch the other
     )
     found = collect(landed, spark.createDataFrame(STORIES, LANDED_STORY), registry)
     assert found.items.count() == 0
