@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedrank.llm import bpe, packing, quality_rules
-from feedrank.llm.common import ready, stored
+from feedrank.llm import bpe, line_dedup, packing, quality_rules, simhash, sketches, toxicity
+from feedrank.llm.common import ready, stored, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = simhash.SimHash(shingle=3, max_bits=2)
+    prints = stored(simhash.fingerprints(table(spark, sf_dir, "documents"), settings.shingle), "prints")
+    return simhash.near_duplicates(prints, settings).select(
+        "doc_id", simhash.hexadecimal("bits").alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = stored(quality_rules.measured(table(spark, sf_dir, "documents")), "measures")
     cutoffs = quality_rules.choose_cutoffs(measures, table(spark, sf_dir, "labels"))
@@ -27,6 +34,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.base_failed().alias("base_failed"), quality_rules.passes(cutoffs).alias("kept"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.without_repeats(docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "text")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    settings = toxicity.Toxicity()
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), settings)
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold_of(F.col("doc_id")) == 2).alias("held_out"), "score",
+        (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -34,9 +56,31 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = sketches.with_next(docs, parts).select(
+        "doc_id", "text", "next_text", sketches.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    cut = texts.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        *(words(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
+    sketched = cut.select(
+        "doc_id", "n_chars", "edited_sha256", *(sketches.sketch(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
+    own, other, following = (F.col(c) for c in ("text", "edited", "next_text"))
+    return sketched.select(
+        "doc_id", "n_chars", "edited_sha256", sketches.digits(own).alias("fingerprint"),
+        sketches.digits(other).alias("edited_fingerprint"), sketches.resemblance(own, other).alias("near_edited"),
+        sketches.resemblance(own, following).alias("near_next"), sketches.distinct_count(own).alias("n_shingles"),
+        sketches.containment(own, other).alias("contained_in_edited"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op10_sketches": op10_sketches,
 }
 ORACLES: dict[str, str] = {}
