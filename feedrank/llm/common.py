@@ -36,12 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again: a lineage cut that survives
     lost executors, and whose real size the planner knows. Files stay until `release`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

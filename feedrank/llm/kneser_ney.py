@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedrank.llm.common import rows_of, stored
 
@@ -174,15 +175,17 @@ def folded(table: DataFrame, key: str, value: Column, weight: Column, slots: int
     return out
 
 
-def scored(docs: DataFrame, score: Callable[[str | None], tuple[float, int]], id_column: str, text_column: str) -> DataFrame:
-    """Rows (doc_id, total, n_bytes): a sum over the bytes of each whole text and their number."""
+def scored(docs: DataFrame, score: Callable[[str | None], tuple[float, int]], text_column: str) -> DataFrame:
+    """`docs` with two more columns: __total, a sum over the bytes of the whole text, and __bytes, their number."""
+    added = T.StructType([T.StructField("__total", T.DoubleType()), T.StructField("__bytes", T.LongType())])
+    place, names = docs.columns.index(text_column), [*docs.columns, "__total", "__bytes"]
 
     def run(batches):
-        for rows in rows_of(batches):
-            values = [score(r[1]) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([v[0] for v in values], pa.float64()),
-                 pa.array([v[1] for v in values], pa.int64())], ["doc_id", "total", "n_bytes"])
-
-    narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, total double, n_bytes long")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                values = [score(text.as_py()) for text in part.column(place)]
+                new = [pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))

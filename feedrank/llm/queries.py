@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedrank.llm import bpe, line_dedup, packing, quality_rules, simhash, sketches, toxicity
-from feedrank.llm.common import ready, stored, words
+from feedrank.llm import (
+    bpe, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
+)
+from feedrank.llm.common import ready, release, shared_folder, stored, stored_since, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,28 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.base_failed().alias("base_failed"), quality_rules.passes(cutoffs).alias("kept"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.fold_of(F.col("doc_id")) == 2
+    model = language_id.fit(docs.where(~held_out).select("lang", "text"))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
+
+
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the texts with a label of good quality; three quarters of them train the model, the held-out rest
+    sets the threshold of each language."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    fold = toxicity.fold_of(F.col("doc_id"))
+    trusted = docs.select("doc_id", "text").where(fold != 2).join(good, F.col("doc_id") == F.col("id"))
+    model = perplexity.fit(trusted)
+    scored = stored(perplexity.perplexities(docs.select("doc_id", "lang", "text"), model), "perplexities")
+    unseen = scored.where(fold == 2).join(good, F.col("doc_id") == F.col("id"))
+    limits = perplexity.thresholds(unseen)
+    return scored.select("doc_id", "lang", "perplexity", perplexity.passes(limits).alias("kept"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = line_dedup.without_repeats(docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
@@ -56,6 +82,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards to the shared folder and returns what a reader finds in them, but for the ids."""
+    docs, shards = table(spark, sf_dir, "documents"), token_shards.Shards()
+    mark = len(stored_since(0))
+    pieces = stored(
+        token_shards.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), shards), "sequences", compression="zstd")
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/shards"
+    token_shards.write(pieces, path, shards)
+    release(spark, stored_since(mark))
+    return token_shards.read(spark, path, shards).drop("ids")
+
+
 def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,9 +116,12 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_perplexity": op5_perplexity,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_token_shards": op9_token_shards,
     "op10_sketches": op10_sketches,
 }
 ORACLES: dict[str, str] = {}
