@@ -14,7 +14,6 @@ is encoded whole; other columns of the input are not touched or returned.
 from __future__ import annotations
 
 import base64
-import hashlib
 from functools import cache
 
 import ahocorasick
@@ -135,22 +134,19 @@ class BacktrackingBpe:
             token = shorter
         return ids
 
-    def encode_new(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            parts = []
-            for match in self._pattern.findall(text):
-                ids = self._known.get(match)
-                if ids is None:
-                    ids = np.array(self.encode_piece(match.encode()), dtype="<u4").tobytes()
-                    if len(match) <= LONGEST:
-                        if len(self._known) >= self._limit:
-                            self._known.clear()
-                        self._known[match] = ids
-                parts.append(ids)
-            out.append(b"".join(parts))
-        return out
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        parts = []
+        for match in self._pattern.findall(text):
+            ids = self._known.get(match)
+            if ids is None:
+                ids = np.array(self.encode_piece(match.encode()), dtype="<u4").tobytes()
+                if len(match) <= LONGEST:
+                    if len(self._known) >= self._limit:
+                        self._known.clear()
+                    self._known[match] = ids
+            parts.append(ids)
+        return b"".join(parts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
@@ -163,7 +159,7 @@ def load(path: str) -> tuple[BacktrackingBpe, ChunkEncoder]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     bpe = BacktrackingBpe(ranks)
-    return bpe, ChunkEncoder(bpe.encode_new, limit=1 << 19)
+    return bpe, ChunkEncoder(bpe.encode, lambda chunks: list(map(bpe.encode, chunks)), limit=1 << 19)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -182,7 +178,3 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", t
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     return narrow.mapInArrow(encode, "doc_id long, n_tokens long, ids binary, decoded binary")
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -24,12 +24,11 @@ def pieces(text: str) -> list[str] | None:
 
 
 class ChunkEncoder:
-    """Encodes texts with `encode_new`, which turns a list of strings into the bytes of their ids,
-    and remembers up to `limit` chunks (the oldest memory is dropped as a whole: results don't
-    depend on it)."""
+    """Encodes texts with `whole`, which gives the bytes of a text's ids, and `chunks`, which does so for a list
+    of chunks; remembers up to `limit` chunks (then the memory is dropped: results don't depend on it)."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], limit: int = 1 << 20):
-        self._encode_new, self._limit, self._known = encode_new, limit, {}
+    def __init__(self, whole: Callable[[str], bytes], chunks: Callable[[list[str]], list[bytes]], limit: int = 1 << 20):
+        self._whole, self._chunks, self._limit, self._known = whole, chunks, limit, {}
 
     def encode(self, text: str) -> bytes:
         """The ids of `text` as little-endian unsigned 32-bit integers."""
@@ -37,11 +36,11 @@ class ChunkEncoder:
             return b""
         chunks = pieces(text)
         if chunks is None:
-            return self._encode_new([text])[0]
+            return self._whole(text)
         found = list(map(self._known.get, chunks))
         if None in found:
             missing = list(dict.fromkeys(c for c, ids in zip(chunks, found) if ids is None))
-            new = dict(zip(missing, self._encode_new(missing)))
+            new = dict(zip(missing, self._chunks(missing)))
             found = [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
             if len(self._known) + len(new) > self._limit:
                 self._known.clear()

@@ -55,49 +55,38 @@ def slot(key: Column, slots: int) -> Column:
     return (key % F.lit(PRIME)).bitwiseAND(F.lit(slots - 1))
 
 
-def counted(docs: DataFrame, order: int, classes: int = 1, flush: int = 1 << 22) -> DataFrame:
-    """Rows (key, c0, c1, ...): how often each n-gram is in the texts of each class. `docs` has (class int, text);
-    each task adds up what it has read before anything is shuffled."""
+def counted(docs: DataFrame, order: int, flush: int = 1 << 22) -> DataFrame:
+    """Rows (key, c0): how often each n-gram is in the texts of `docs` (text). Each task adds up what it has read
+    before anything is shuffled, and passes it on before that gets large."""
 
     def run(batches):
-        waiting: list[list[np.ndarray]] = [[] for _ in range(classes)]
-        sums: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * classes
-
-        def add_up(i: int) -> None:
-            known, counts = sums[i]
-            new, times = np.unique(np.concatenate(waiting[i]), return_counts=True)
-            all_keys, place = np.unique(np.concatenate([known, new]), return_inverse=True)
-            added = np.bincount(place, np.concatenate([counts, times])).astype(np.int64)
-            waiting[i], sums[i] = [], (all_keys, added)
-
-        def emit(i: int) -> pa.RecordBatch:
-            key, counts = sums[i]
-            sums[i] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            names = ["key", *(f"c{j}" for j in range(classes))]
-            zeros = np.zeros(len(key), np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), *(pa.array(counts if j == i else zeros) for j in range(classes))], names)
-
-        sizes = [0] * classes
+        waiting, size = [], 0
+        known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate(waiting), return_counts=True)
+            keys_, place = np.unique(np.concatenate([known, new]), return_inverse=True)
+            return keys_, np.bincount(place, np.concatenate([counts, times])).astype(np.int64)
+
+        def record() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(counts)], ["key", "c0"])
+
         for rows in rows_of(batches):
-            for i, text in rows:
-                for part in keys(prepared(text, order), order):
-                    waiting[i].append(part)
-                    sizes[i] += len(part)
-                if sizes[i] >= flush:
-                    add_up(i)
-                    sizes[i] = 0
-                    if len(sums[i][0]) >= flush:
-                        yield emit(i)
-        for i in range(classes):
-            if waiting[i]:
-                add_up(i)
-            if len(sums[i][0]):
-                yield emit(i)
-
-    names = [f"c{i}" for i in range(classes)]
-    parts = docs.mapInArrow(run, ", ".join(["key long", *(f"{n} long" for n in names)]))
-    return parts.groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
+            for (text,) in rows:
+                parts = list(keys(prepared(text, order), order))
+                waiting += parts
+                size += sum(map(len, parts))
+            if size >= flush:
+                known, counts = added()
+                waiting, size = [], 0
+                if len(known) >= flush:
+                    yield record()
+                    known, counts = known[:0], counts[:0]
+        if waiting:
+            known, counts = added()
+        yield record()
+
+    return docs.mapInArrow(run, "key long, c0 long").groupBy("key").agg(F.sum("c0").alias("c0"))
 
 
 def discounts(counts: DataFrame, column: str) -> tuple[float, float, float]:
@@ -111,15 +100,10 @@ def discounts(counts: DataFrame, column: str) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), 0.95 * i) for i, d in zip((1, 2, 3), found))
 
 
-def by_context(counts: DataFrame, column: str) -> tuple[Column, Column, Column]:
-    """For a table of n-grams with `context`: the count less its discount, the total of the context, and the
-    share that the context leaves to shorter n-grams (1 if it is unseen)."""
-    d = discounts(counts, column)
-    count = F.col(column)
-    taken = F.when(count >= 3, F.lit(d[2])).when(count == 2, F.lit(d[1])).when(count == 1, F.lit(d[0])).otherwise(F.lit(0.0))
-    context = Window.partitionBy("context")
-    total = F.sum(count).over(context)
-    return count - taken, total, F.when(total > 0, F.sum(taken).over(context) / total).otherwise(F.lit(1.0))
+def taken(count: Column, discount: tuple[float, float, float]) -> Column:
+    """What is discounted from a count."""
+    one, two, more = discount
+    return F.when(count >= 3, F.lit(more)).when(count == 2, F.lit(two)).when(count == 1, F.lit(one)).otherwise(F.lit(0.0))
 
 
 def shorter(counts: DataFrame, order: int) -> DataFrame:
@@ -129,8 +113,8 @@ def shorter(counts: DataFrame, order: int) -> DataFrame:
 
 
 def continuation(counts: DataFrame, order: int) -> list[DataFrame]:
-    """Stored tables of orders 1 to `order`: (key, c0, p, context, gamma, unit): continuation counts, interpolated
-    probabilities, and what the context leaves. `counts` is the table of order + 1."""
+    """Stored tables of orders 1 to `order` as `interpolated` makes them, from continuation counts. `counts` (key) is
+    the table of order + 1."""
     tables = {}
     for k in range(order, 0, -1):
         counts = tables[k] = stored(shorter(counts, k + 1), f"continuation{k}")
@@ -140,28 +124,21 @@ def continuation(counts: DataFrame, order: int) -> list[DataFrame]:
     return out
 
 
-def interpolated(counts: DataFrame, order: int, below: DataFrame | None, columns: tuple[str, ...] = ("c0",)) -> DataFrame:
-    """`counts` (key and `columns`) of one order with context, and for each column c its probability p_c and context
-    share g_c; named p and gamma if there is one column. `below`: the order below, with p; None for bytes."""
-    with_context = counts.withColumn("context", F.shiftrightunsigned("key", 8))
-    parts = {c: by_context(with_context, c) for c in columns}
-    selected = [x.alias(f"{name}_{c}") for c, three in parts.items() for name, x in zip(("rest", "total", "g"), three)]
-    rows = with_context.select("key", *columns, "context", *selected)
+def interpolated(counts: DataFrame, order: int, below: DataFrame | None) -> DataFrame:
+    """Rows (key, c0, context, p, gamma) from the counts (key, c0) of one order: the interpolated probability of the last byte
+    after the context, and the share that the context leaves to shorter ones. `below`: the order below; None for bytes."""
+    context, count = Window.partitionBy("context"), F.col("c0")
+    less = taken(count, discounts(counts, "c0"))
+    total = F.sum(count).over(context)
+    rows = counts.withColumn("context", F.shiftrightunsigned("key", 8)).select(
+        "key", "c0", "context", ((count - less) / total).alias("own"), (F.sum(less).over(context) / total).alias("gamma"))
     if below is None:
         rows = rows.withColumn("q", F.lit(1 / 256))
     else:
         lower = below.select(F.col("key").alias("ending"), F.col("p").alias("q"))
         mask = (1 << 8 * (order - 1)) - 1
         rows = rows.join(lower, F.col("key").bitwiseAND(F.lit(mask)) == F.col("ending"))
-    single = len(columns) == 1
-
-    def p(c: str) -> Column:
-        own = F.when(F.col(f"total_{c}") > 0, F.col(f"rest_{c}") / F.col(f"total_{c}")).otherwise(F.lit(0.0))
-        return own + F.col(f"g_{c}") * F.col("q")
-
-    return rows.select(
-        "key", *columns, "context",
-        *(x for c in columns for x in (p(c).alias("p" if single else f"p_{c}"), F.col(f"g_{c}").alias("gamma" if single else f"g_{c}"))))
+    return rows.select("key", "c0", "context", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"), "gamma")
 
 
 def folded(table: DataFrame, key: str, value: Column, weight: Column, slots: int) -> np.ndarray:
@@ -176,9 +153,9 @@ def folded(table: DataFrame, key: str, value: Column, weight: Column, slots: int
 
 
 def scored(docs: DataFrame, score: Callable[[str | None], tuple[float, int]], text_column: str) -> DataFrame:
-    """`docs` with two more columns: __total, a sum over the bytes of the whole text, and __bytes, their number."""
-    added = T.StructType([T.StructField("__total", T.DoubleType()), T.StructField("__bytes", T.LongType())])
-    place, names = docs.columns.index(text_column), [*docs.columns, "__total", "__bytes"]
+    """`docs` with two more columns: __total, a sum over a whole text, and __units, what it is a sum over."""
+    added = T.StructType([T.StructField("__total", T.DoubleType()), T.StructField("__units", T.LongType())])
+    place, names = docs.columns.index(text_column), [*docs.columns, "__total", "__units"]
 
     def run(batches):
         for batch in batches:

@@ -63,14 +63,27 @@ def tokenizer(path: str) -> tuple[ChunkEncoder, np.ndarray]:
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
 
-    def encode_new(texts: list[str]) -> list[bytes]:
-        encoded = model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    line_feed = ids_of("\n")
+
+    def whole(text: str) -> bytes:
+        return ids_of(text).tobytes()
+
+    def chunks(texts: list[str]) -> list[bytes]:
+        """Chunks hold no line feed, so they are encoded as lines of one text and told apart by its id."""
+        lines = [text for text in texts if text != "\n"]
+        ids = ids_of("\n".join(lines))
+        ends = np.append(np.flatnonzero(ids == line_feed[0]), len(ids)).tolist()
+        starts = [0, *(end + 1 for end in ends)]
+        known = {line: ids[a:b].tobytes() for line, a, b in zip(lines, starts, ends)}
+        return [known.get(text, line_feed.tobytes()) for text in texts]
 
     ends = np.zeros(model.get_vocab_size(), dtype=bool)
     for i in range(len(ends)):
         ends[i] = model.decode([i], skip_special_tokens=False).endswith((".", "!", "?", "\n"))
-    return ChunkEncoder(encode_new), ends
+    return ChunkEncoder(whole, chunks), ends
 
 
 def padding(length: int, size: int) -> int:

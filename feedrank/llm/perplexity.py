@@ -61,7 +61,7 @@ class Model:
 def fit(trusted: DataFrame, settings: Perplexity = Perplexity(), text_column: str = "text") -> Model:
     """The model of all rows of `trusted`."""
     spark, mark, order = trusted.sparkSession, len(stored_since(0)), settings.order
-    top = stored(kn.counted(trusted.select(F.lit(0).alias("class"), trusted[text_column].alias("text")), order), "counts")
+    top = stored(kn.counted(trusted.select(trusted[text_column].alias("text")), order), "counts")
     tables = kn.continuation(top.select("key"), order - 1)
     tables.append(stored(kn.interpolated(top, order, tables[-1] if tables else None), f"order{order}"))
     p, left = [], []
@@ -78,7 +78,7 @@ def perplexities(docs: DataFrame, model: Model, text_column: str = "text", out:
     """`docs` without the text and with the perplexity per byte of the whole text as `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     totals = kn.scored(docs, lambda text: shared.value.total(text), text_column)
-    value = F.exp(-F.col("__total") / F.greatest("__bytes", F.lit(1)))
+    value = F.exp(-F.col("__total") / F.greatest("__units", F.lit(1)))
     return totals.select(*(c for c in docs.columns if c not in (text_column, out)), value.alias(out))
 
 
