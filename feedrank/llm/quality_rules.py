@@ -54,11 +54,13 @@ class Risk:
     ladders: dict = field(default_factory=lambda: LADDERS)
 
 
-def measured(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The columns `keep` and the MEASURES of the whole text, as longs."""
-    text = F.coalesce(docs[text_column], F.lit(""))
+def measured(docs: DataFrame, text_column: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+    """The columns `keep`, by default doc_id and lang, and the MEASURES of the whole text, as longs."""
+    kept = keep or {"doc_id": docs["doc_id"], "lang": docs["lang"]}
+    text, keep = F.coalesce(docs[text_column], F.lit("")), list(kept)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    cut = docs.select(*(docs[c] for c in keep), text.alias("__t"), words(text).alias("__w"), lines.alias("__l"))
+    cut = docs.select(
+        *(c.alias(name) for name, c in kept.items()), text.alias("__t"), words(text).alias("__w"), lines.alias("__l"))
     starts = F.slice("__w", 1, F.greatest(F.size("__w") - (WINDOW - 1), F.lit(0)))
 
     def window_hash(word: Column, i: Column) -> Column:
