@@ -138,9 +138,10 @@ def choose_cutoffs(measures: DataFrame, labels: DataFrame, risk: Risk = Risk(),
     values = rule_values()
 
     def level(rule: str) -> Column:
-        """How many cutoffs of the ladder the value exceeds; a cutoff rejects what exceeds it."""
+        """The first step of the ladder, from 1, that rejects the value; one more than there are if none does."""
         ladder = F.array(*(F.lit(c) for c in risk.ladders[rule]))
-        return F.struct(F.lit(rule).alias("rule"), F.size(F.filter(ladder, lambda c: values[rule] > c)).alias("level"))
+        spared = F.size(F.filter(ladder, lambda c: values[rule] <= c))
+        return F.struct(F.lit(rule).alias("rule"), (spared + 1).alias("level"))
 
     labelled = (
         measures.where(~base_failed()).select("doc_id", F.col(stratum).alias("stratum"), *MEASURES)
@@ -151,21 +152,20 @@ def choose_cutoffs(measures: DataFrame, labels: DataFrame, risk: Risk = Risk(),
     counts = labelled.groupBy("stratum", "rule", "level").agg(*(
         F.coalesce(F.sum(F.when((F.col("good") == g) & (F.col("holdout") == h), F.col("count"))), F.lit(0)).alias(name)
         for name, g, h in (("good_held", True, True), ("good_tuned", True, False), ("poor_tuned", False, False))))
-    # A value of level v is rejected by cutoffs 1 to v, so cutoff v rejects all levels from v on.
+    # A step rejects what the steps before it reject, and more.
     sequence = Window.partitionBy("stratum", "rule")
-    from_here = sequence.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = sequence.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     steps = _ladder_steps(counts, risk)
     curves = (
         steps.join(counts, ["stratum", "rule", "level"], "left").na.fill(0, ["good_held", "good_tuned", "poor_tuned"])
         .select("stratum", "rule", "level", "cutoff",
-                *(F.sum(c).over(from_here).alias(f"{c}_out") for c in ("good_held", "good_tuned", "poor_tuned")),
+                *(F.sum(c).over(so_far).alias(f"{c}_out") for c in ("good_held", "good_tuned", "poor_tuned")),
                 *(F.sum(c).over(sequence).alias(f"{c}_all") for c in ("good_held", "good_tuned", "poor_tuned")))
-        .where(F.col("level") > 0)
+        .where(F.col("cutoff").isNotNull())
     )
     tests = steps.select("stratum", "rule").distinct().count() or 1
     tested = curves.withColumn(
         "p", at_most(F.col("good_held_out"), F.col("good_held_all"), risk.alpha / len(risk.ladders)))
-    so_far = sequence.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     gain = (
         F.col("poor_tuned_out") / F.greatest("poor_tuned_all", F.lit(1))
         - F.lit(risk.loss) * F.col("good_tuned_out") / F.greatest("good_tuned_all", F.lit(1)))
@@ -177,13 +177,14 @@ def choose_cutoffs(measures: DataFrame, labels: DataFrame, risk: Risk = Risk(),
 
 
 def _ladder_steps(counts: DataFrame, risk: Risk) -> DataFrame:
-    """Every (stratum, rule, level) with its cutoff; level 0 is below all of them."""
+    """Every (stratum, rule, level) with its cutoff, null for what no step rejects."""
     ladders = F.array(*(
-        F.struct(F.lit(rule).alias("rule"), F.array(F.lit(None).cast("double"), *(F.lit(c) for c in cutoffs)).alias("c"))
+        F.struct(F.lit(rule).alias("rule"), F.array(*(F.lit(c) for c in cutoffs), F.lit(None).cast("double")).alias("c"))
         for rule, cutoffs in risk.ladders.items()))
     return (
         counts.select("stratum").distinct().select("stratum", F.explode(ladders).alias("r"))
-        .select("stratum", "r.rule", F.posexplode("r.c").alias("level", "cutoff")))
+        .select("stratum", "r.rule", F.posexplode("r.c").alias("step", "cutoff"))
+        .select("stratum", "rule", (F.col("step") + 1).alias("level"), "cutoff"))
 
 
 def passes(cutoffs: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> Column:
