@@ -21,19 +21,17 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from feedrank.llm.chunks import ChunkEncoder
+from feedrank.llm import tokens
 from feedrank.llm.common import rows_of
 
 PIECES = (
@@ -54,38 +52,6 @@ class Packing:
     undecided: int = 16
 
 
-@cache
-def tokenizer(path: str) -> tuple[ChunkEncoder, np.ndarray]:
-    """The encoder of a `tokenizers` file, and for each id whether it ends a sentence or a line."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-
-    def ids_of(text: str) -> np.ndarray:
-        return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    line_feed = ids_of("\n")
-
-    def whole(text: str) -> bytes:
-        return ids_of(text).tobytes()
-
-    def chunks(texts: list[str]) -> list[bytes]:
-        """Chunks hold no line feed, so they are encoded as lines of one text and told apart by its id."""
-        lines = [text for text in texts if text != "\n"]
-        ids = ids_of("\n".join(lines))
-        ends = np.append(np.flatnonzero(ids == line_feed[0]), len(ids)).tolist()
-        starts = [0, *(end + 1 for end in ends)]
-        known = {line: ids[a:b].tobytes() for line, a, b in zip(lines, starts, ends)}
-        return [known.get(text, line_feed.tobytes()) for text in texts]
-
-    ends = np.zeros(model.get_vocab_size(), dtype=bool)
-    for i in range(len(ends)):
-        ends[i] = model.decode([i], skip_special_tokens=False).endswith((".", "!", "?", "\n"))
-    return ChunkEncoder(whole, chunks), ends
-
-
 def padding(length: int, size: int) -> int:
     """A sequence is padded to `size`, unless its length is a power of two."""
     return 0 if length & (length - 1) == 0 else size - length
@@ -196,12 +162,12 @@ def pack(docs: DataFrame, tokenizer_path: str, packing: Packing = Packing(), id_
     Sequence ids are unique: the partition's number in the upper bits, a counter in the lower 36."""
 
     def run(batches):
-        encoder, is_end = tokenizer(tokenizer_path)
+        encode, is_end = tokens.load(tokenizer_path)
         stream = _Stream(packing, np.append(is_end, False), TaskContext.get().partitionId() << 36)
         end = np.array([packing.end_id], dtype="<u4").tobytes()
         for rows in rows_of(batches):
             for key, text in rows:
-                stream.add(key, np.frombuffer(encoder.encode(text or "") + end, dtype="<u4"))
+                stream.add(key, np.frombuffer(encode(text or "") + end, dtype="<u4"))
             if stream.waiting >= packing.block:
                 yield _record(list(stream.cut(final=False)))
         yield _record(list(stream.cut(final=True)))

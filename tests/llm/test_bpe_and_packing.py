@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from feedrank.llm import bpe, packing, queries, token_shards
+from feedrank.llm import bpe, packing, queries, token_shards, tokens
 from feedrank.llm.chunks import pieces
 from llm.prose import prose
 
@@ -52,9 +52,16 @@ def test_a_small_memory_changes_nothing():
 def test_chunks_join_to_the_text():
     assert pieces("a b\nc d") == ["a", " b", "\n", "c", " d"]
     assert pieces("a  b") is None and pieces(" a") is None and pieces("a\n") is None
-    encoder, _ = packing.tokenizer(JSON)
-    for text in ("it's a\tb c.\nEnd, of 12,5!", "é ü\nß", "<|endoftext|> is text", "a \n b"):
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain_ids(text)[:-1]
+
+
+def test_ids_are_those_of_tokenizers(odd_texts):
+    encode, _ = tokens.load(JSON)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdeéüñ日本ß .,!x\n\t0'😀") for _ in range(200)) for _ in range(300)]
+    texts += ["it's a\tb c.\nEnd, of 12,5!", "<|endoftext|> is text", "a \n b", "a" * 3000, " " * 9000 + "x", "\x00", ""]
+    for text in [*texts, *filter(None, odd_texts)]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(text)[:-1]
+    assert tokens.ranks_of(public_tokenizers.path("word_bpe_49k.json")) is None
 
 
 def test_query_encodes_and_decodes_odd_texts(odd_docs):
