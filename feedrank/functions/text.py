@@ -108,6 +108,9 @@ def _decimal_digits() -> tuple[str, str]:
 
 
 def digits_to_int(col: Column) -> Column:
-    """All decimal digits of the text read as one number; 0 if there is none."""
+    """All decimal digits of the text read as one number; 0 if there is none. A number that no long
+    holds becomes the largest long, so that it still counts as very popular."""
     found = F.regexp_replace(F.translate(col, *_decimal_digits()), "[^0-9]", "")
-    return F.coalesce(F.nullif(found, F.lit("")).cast("bigint"), F.lit(0))
+    number = F.nullif(found, F.lit(""))
+    largest = F.when(number.isNotNull(), F.lit(2**63 - 1))
+    return F.coalesce(number.try_cast("bigint"), largest, F.lit(0))

@@ -24,7 +24,15 @@ _MAIL_DATE = (
     r"^\s*(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}|\d{2})"
     r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]+|[+-]\d{4}|[+-]\d{2}:\d{2})?\s*(?:\(.*\))?\s*$"
 )
-_ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?\s*$"
+# date, time, seconds, fraction (what is beyond microseconds is cut off), zone
+_W3C_DATE = (
+    r"^\s*(\d{4}-\d{2}-\d{2})(?:[Tt ](\d{2}:\d{2})(?::(\d{2})(?:\.(\d{1,6})\d*)?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?\s*$"
+)
+# Extended or basic date; hour, minute, second; fraction; zone.
+_ISO_TEXT = (
+    r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
+    r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?([Zz]|[+-]\d{2}(?::?\d{2})?)?)?$"
+)
 
 
 def as_timestamp(value: dt.datetime | str | Column) -> Column:
@@ -42,8 +50,20 @@ def iso_utc(ts: Column) -> Column:
 
 
 def parse_iso(text: Column, now: Column) -> Column:
-    """ISO text to timestamp; empty or null means `now`; malformed text aborts the job."""
-    return F.coalesce(F.nullif(text, F.lit("")).cast("timestamp"), now)
+    """ISO text, extended or basic, to timestamp; empty or null means `now`; any other text aborts the job."""
+
+    def part(group: int, default: str = "00") -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(given, _ISO_TEXT, group), F.lit("")), F.lit(default))
+
+    given = F.nullif(text, F.lit(""))
+    zone = F.regexp_replace(F.upper(part(10, "Z")), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    zone = F.regexp_replace(zone, ":$", ":00")
+    iso = F.concat(
+        part(1), F.lit("-"), part(2, ""), part(4, ""), F.lit("-"), part(3, ""), part(5, ""), F.lit("T"),
+        part(6), F.lit(":"), part(7), F.lit(":"), part(8), F.lit("."), part(9), zone)
+    malformed = F.raise_error(F.concat(F.lit("malformed time: "), given)).cast("timestamp")
+    parsed = F.when(given.rlike(_ISO_TEXT), iso.cast("timestamp")).otherwise(malformed)
+    return F.when(given.isNull(), now).otherwise(parsed)
 
 
 def _zone_offset(zone: Column) -> Column:
@@ -75,7 +95,13 @@ def parse_mail_date(text: Column) -> Column:
 
 def parse_w3c_date(text: Column) -> Column:
     """ISO 8601 / W3C date, with or without time and zone; null if the text is none."""
-    return F.when(text.rlike(_ISO_DATE), F.upper(F.trim(text)).try_cast("timestamp"))
+
+    def part(group: int, default: str) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, _W3C_DATE, group), F.lit("")), F.lit(default))
+
+    zone = F.regexp_replace(F.upper(part(5, "Z")), r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
+    iso = F.concat(part(1, ""), F.lit("T"), part(2, "00:00"), F.lit(":"), part(3, "00"), F.lit("."), part(4, "0"), zone)
+    return F.when(text.rlike(_W3C_DATE), iso.try_cast("timestamp"))
 
 
 def entry_timestamp(published: Column, updated: Column, link: Column) -> Column:

@@ -4,40 +4,36 @@ An item is kept iff no earlier *kept* item has the same canonical URL, the same
 same host, or the same content hash. A dropped item does not block later ones, so the result
 depends on the order and neither "first per key" nor connected components gives it.
 
-The work runs on a narrow table of hashed keys, in rounds. Each round keeps some undecided
-items and drops the ones they block:
-
-* normally, every item that is the first undecided one on all of its keys is kept. This is
-  aggregation only, with map-side combining, so a key shared by a third of all items costs
-  no more than any other;
-* where rounds decide too few items (long chains of alternating keys), the earliest
-  `fold_rows` undecided items of each scope are decided in order inside one task. The number
-  of rows is bounded, whatever the size of the scope, and the rest waits for the next round.
-
-Both ways are exact, and both always decide the earliest undecided item, so the rounds end.
+The work runs on a narrow table of hashed keys, in rounds, at every size. Each round keeps every
+undecided item that is the first one on all of its keys, and drops those that share a key with it.
+That is aggregation with map-side combining and one join on the key, so a key shared by a third of
+all items costs no more than any other.
+
+Only where a round decides hardly anything, as in long chains of alternating keys, what is left is
+decided in order: items are put into connected groups by their keys, the groups are spread over the
+tasks, and each task reads its groups in order, keeping in memory the taken keys of one group at a
+time. Both ways are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedrank.functions.urls import url_domain
-from feedrank.session import broadcast_if_small, checkpointed
+from feedrank.operators.components import components
+from feedrank.session import release, stored, stored_since
 
-FOLD_ROWS = 200_000
-HOT_KEY_ROWS = 100_000
-MAX_HOT_KEYS = 5_000
-BROADCAST_POSITIONS = 500_000  # a date and a number each: some tens of megabytes
-SLOW_ROUND = 0.2  # a round that decides less than this share is followed by a fold
+SLOW_ROUND = 0.2  # after a round that decides less than this share, the rest is decided in order
 
 # `item` is the position times four plus the number of keys (1 to 3), so that a plain min()
 # finds the first item of a key and still tells how many keys that item has.
 _SHIFT = 2
+_LARGEST = 1 << 61  # positions from here on, or below its negative, don't fit
 
 
 def _key_count(item: Column) -> Column:
@@ -66,7 +62,11 @@ def _keyed(items: DataFrame, scope: Sequence[str], order: str) -> DataFrame:
         F.array(F.lit(None).cast("binary")),
     )
     keyed = items.select(*scope, order, keys.alias("keys"))
-    packed = F.shiftleft(F.col(order).cast("bigint"), _SHIFT) + F.size("keys")
+    position = F.col(order).cast("bigint")
+    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in (*scope, order)))
+    wrong = missing | (position >= _LARGEST) | (position < -_LARGEST)
+    fault = F.raise_error(F.lit(f"{', '.join((*scope, order))} must not be null and {order} must fit in 61 bits"))
+    packed = F.when(wrong, fault.cast("bigint")).otherwise(F.shiftleft(position, _SHIFT) + F.size("keys"))
     return keyed.select(*scope, packed.alias("item"), "keys")
 
 
@@ -82,146 +82,78 @@ def _first_on_all_keys(undecided: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Decide a bounded run of items in order."""
-    rows = rows.sort_values("item")
-    taken: set[bytes] = set()
-    kept = []
-    for keys in rows["keys"]:
-        kept.append(taken.isdisjoint(keys))
-        if kept[-1]:
-            taken.update(keys)
-    return rows[kept]
-
-
-def _fold_groups(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*scope).applyInPandas(_fold, rows.schema)
-
-
-def _earliest(undecided: DataFrame, scope: Sequence[str], largest: int, fold_rows: int) -> DataFrame:
-    """About the first `fold_rows` items of the largest scope and the same share of the other
-    large ones; all items of small scopes. Always a prefix of each scope."""
-    share = fold_rows / largest
-    cut = F.percentile_approx("item", share, min(2**30, int(10 / share) + 1))
-    cuts = (
-        undecided.groupBy(*scope)
-        .agg(F.count("*").alias("n"), cut.alias("cut"))
-        .filter(F.col("n") > fold_rows)
-        .drop("n")
-    )
-    if not scope:
-        return undecided.filter(F.col("item") <= F.lit(cuts.first()["cut"]))
-    cuts = broadcast_if_small(checkpointed(cuts))
-    joined = undecided.join(cuts, list(scope), "left")
-    return joined.filter(F.col("cut").isNull() | (F.col("item") <= F.col("cut"))).drop("cut")
-
-
-def _unblocked(
-    undecided: DataFrame, kept: DataFrame, hot: DataFrame | None, scope: Sequence[str]
-) -> DataFrame:
+def _unblocked(undecided: DataFrame, kept: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Undecided items that share no key with a kept one (kept items share their own)."""
     taken = kept.select(F.explode("keys").alias("key")).withColumn("taken", F.lit(True))
     rows = undecided.select(*scope, "item", F.explode("keys").alias("key"))
-    columns = [*scope, "item", "key", "taken"]
-    if hot is None:
-        marked = rows.join(taken, "key", "left").select(columns)
-    else:
-        # Rows with a hot key never go through a shuffle on that key.
-        hits = taken.join(F.broadcast(hot), "key", "left_semi")
-        hot_taken = hot.join(F.broadcast(hits), "key", "left").select(
-            "key", F.coalesce("taken", F.lit(False)).alias("hot_taken")
-        )
-        hot_taken = F.broadcast(hot_taken)  # at most MAX_HOT_KEYS rows, and so are the others
-        rows = rows.join(hot_taken, "key", "left")
-        by_hot = rows.filter(F.col("hot_taken").isNotNull())
-        others = rows.filter(F.col("hot_taken").isNull()).drop("hot_taken")
-        marked = by_hot.select(*scope, "item", "key", F.nullif("hot_taken", F.lit(False)).alias("taken"))
-        marked = marked.union(others.join(taken, "key", "left").select(columns))
     return (
-        marked.groupBy(*scope, "item")
+        rows.join(taken, "key", "left")
+        .groupBy(*scope, "item")
         .agg(F.collect_list("key").alias("keys"), F.max("taken").alias("taken"))
         .filter(F.col("taken").isNull())
         .drop("taken")
     )
 
 
-def _hot_keys(undecided: DataFrame, rows: int, hot_rows: int) -> DataFrame | None:
-    """Keys held by very many items: at most MAX_HOT_KEYS of them, by the choice of the limit.
-    Keys only lose items later on, so one look is enough."""
-    limit = max(hot_rows, 3 * rows // MAX_HOT_KEYS)
-    if rows <= limit:
-        return None
-    sizes = undecided.select(F.explode("keys").alias("key")).groupBy("key").count()
-    hot = checkpointed(sizes.filter(F.col("count") > limit).select("key"))
-    return None if hot.isEmpty() else hot
-
-
-def _scope_sizes(undecided: DataFrame, scope: Sequence[str]) -> tuple[int, int]:
-    """Items in all, and in the largest scope."""
-    row = (
-        undecided.groupBy(*scope).count()
-        .agg(F.sum("count").alias("rows"), F.max("count").alias("largest")).first()
-    )
-    return row["rows"] or 0, row["largest"] or 0
-
-
-def survivors(
-    items: DataFrame,
-    scope: Sequence[str] = ("run_date",),
-    order: str = "ord",
-    fold_rows: int = FOLD_ROWS,
-    hot_rows: int = HOT_KEY_ROWS,
-    rounds: int = 0,
-) -> DataFrame:
-    """(scope, order) of the kept items. `order` must be unique within a scope, which must
-    not be null; both are fixed inputs, so that a recomputed task gives the same rows.
-
-    Scopes of at most `fold_rows` undecided items are folded, each in a task of its own, after
-    at least `rounds` aggregation rounds."""
-    if fold_rows < 1:
-        raise ValueError("fold_rows must be positive")
-    scope = list(scope)
-    keyed = checkpointed(_keyed(items, scope, order))
+def _kept_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (component, item), those that no kept one before them blocks."""
+    component, taken = None, set()
+    for batch in batches:
+        chosen = []
+        for own, keys in zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist()):
+            if own != component:
+                component, taken = own, set()
+            chosen.append(taken.isdisjoint(keys))
+            if chosen[-1]:
+                taken.update(keys)
+        yield batch.filter(pa.array(chosen, pa.bool_()))
+
+
+def _decided_in_order(undecided: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The kept ones of `undecided`, connected group by connected group. Items and keys are nodes by
+    hash; were two hashes equal, groups would be decided together, which changes nothing."""
+    node = F.xxhash64(*scope, "item")
+    links = undecided.select(node.alias("a"), F.explode("keys").alias("key")).select(
+        "a", F.xxhash64("key", F.lit("key")).alias("b"))
+    rows = undecided.withColumn("node", node).join(components(links), "node").drop("node")
+    ordered = rows.repartition("component").sortWithinPartitions("component", "item")
+    return ordered.mapInArrow(_kept_in_order, ordered.schema).drop("component")
+
+
+def survivors(items: DataFrame, scope: Sequence[str] = ("run_date",), order: str = "ord") -> DataFrame:
+    """(scope, order) of the kept items. `order` must be unique within a scope, and neither may be null;
+    both are fixed inputs, so that a recomputed task gives the same rows."""
+    scope, spark, mark = list(scope), items.sparkSession, len(stored_since(0))
+    keyed = stored(_keyed(items, scope, order), "keyed")
+    position = F.shiftright("item", _SHIFT).alias(order)
+    twice = keyed.select(*scope, position).groupBy(*scope, order).count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"more than one item at {twice.asDict()}")
     kept = [keyed.filter(F.size("keys") == 0)]
     undecided = keyed.filter(F.size("keys") > 0)
-    rows, largest = _scope_sizes(undecided, scope)
-    hot = _hot_keys(undecided, rows, hot_rows) if largest > fold_rows or rounds else None
-    slow = False
-    while largest > fold_rows or (rounds > 0 and rows):
-        if slow and largest > fold_rows:
-            winners = _fold_groups(_earliest(undecided, scope, largest, fold_rows), scope)
-        else:
-            winners = _first_on_all_keys(undecided, scope)
-        winners = checkpointed(winners)
+    rows, before = undecided.count(), None
+    while rows and (before is None or rows <= before * (1 - SLOW_ROUND)):
+        winners = stored(_first_on_all_keys(undecided, scope), "winners")
         kept.append(winners)
-        undecided = checkpointed(_unblocked(undecided, winners, hot, scope))
-        before = rows
-        rows, largest = _scope_sizes(undecided, scope)
-        slow = rows > before * (1 - SLOW_ROUND)
-        rounds -= 1
+        undecided = stored(_unblocked(undecided, winners, scope), "undecided")
+        rows, before = undecided.count(), rows
     if rows:
-        kept.append(_fold_groups(undecided, scope))
-    position = F.shiftright("item", _SHIFT).alias(order)
-    return checkpointed(reduce(DataFrame.unionByName, kept).select(*scope, position))
+        kept.append(_decided_in_order(undecided, scope))
+    rounds = stored_since(mark)
+    result = stored(reduce(DataFrame.unionByName, kept).select(*scope, position), "survivors")
+    release(spark, rounds)
+    return result
 
 
-def dedup(
-    items: DataFrame,
-    scope: Sequence[str] = ("run_date",),
-    order: str = "ord",
-    fold_rows: int = FOLD_ROWS,
-    hot_rows: int = HOT_KEY_ROWS,
-    rounds: int = 0,
-) -> DataFrame:
+def dedup(items: DataFrame, scope: Sequence[str] = ("run_date",), order: str = "ord") -> DataFrame:
     """The kept items of each scope, with all their columns."""
-    kept = survivors(items, scope, order, fold_rows, hot_rows, rounds)
-    return only_survivors(items, kept)
+    return only_survivors(items, survivors(items, scope, order))
 
 
 def only_survivors(items: DataFrame, kept: DataFrame) -> DataFrame:
-    """The items at the kept positions. A short list of positions is broadcast, so that wide
-    items are not shuffled; with a long one, both sides are."""
-    return items.join(broadcast_if_small(kept, BROADCAST_POSITIONS), kept.columns, "left_semi")
+    """The items at the kept positions. Spark knows the size of that stored list, and broadcasts it if it
+    is small."""
+    return items.join(kept, kept.columns, "left_semi")
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from feedrank.functions.times import parse_iso
 
-# Up to this many rows per group Spark drops the losers before the shuffle by itself.
-GROUP_LIMIT_ROWS = 1_000
-SALTS = 256
-
 
 def select_candidates(items: DataFrame, threshold: float) -> DataFrame:
     """Items that reach the threshold. Apply after de-duplication only: a low-scoring first
@@ -33,15 +29,15 @@ def top_n(
     items: DataFrame, n: int, now: Column, by: Sequence[str] = ("run_date",)
 ) -> DataFrame:
     """The `n` best items of each group, numbered from 1 in `rank`; of all items if `by` is
-    empty. Groups lose their surplus rows before they meet in one task."""
+    empty. A group is first cut to its `n` best in each of many parts, as many as shuffles have
+    partitions, so a date with very many items is ranked by many tasks."""
     n = max(n, 0)
     order = ranking(now)
     if not by:
         best = items.orderBy(*order).limit(n)
         return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    if n > GROUP_LIMIT_ROWS:
-        salt = F.pmod(F.xxhash64("ord"), F.lit(SALTS))
-        part = Window.partitionBy(*by, salt).orderBy(*order)
-        items = items.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= n)
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = Window.partitionBy(*by, F.pmod(F.xxhash64("ord"), F.lit(parts))).orderBy(*order)
+    items = items.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= n)
     group = Window.partitionBy(*by).orderBy(*order)
     return items.withColumn("rank", F.row_number().over(group)).filter(F.col("rank") <= n)

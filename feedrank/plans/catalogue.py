@@ -17,7 +17,7 @@ from feedrank.params import Params
 from feedrank.plans import tables
 from feedrank.plans.daily import daily_run, daily_top, deduplicated
 from feedrank.plans.tables import PARAMS, table
-from feedrank.session import checkpointed
+from feedrank.session import stored
 from feedrank.sinks.report import preview, report_blocks
 from feedrank.sources.collect import collect_items, fetch_warnings
 from feedrank.sources.feeds import scan_feeds
@@ -409,9 +409,9 @@ def total_score(spark, sf_dir):
 
 @query
 def dedup_items(spark, sf_dir):
-    """All items as one run; at least two aggregation rounds before anything is folded."""
+    """All items as one run."""
     identified = with_identity(tables.items(spark, sf_dir), PARAMS)
-    kept = dedup(identified, scope=(), rounds=2)
+    kept = dedup(identified, scope=())
     return kept.select("ord", "canonical_url", "content_hash")
 
 
@@ -534,7 +534,7 @@ def feed_merge_distinct(spark, sf_dir):
 
 @query
 def story_scan_join(spark, sf_dir):
-    lists = checkpointed(tables.landed_lists(spark, sf_dir))  # as landed: no longer an expression
+    lists = stored(tables.landed_lists(spark, sf_dir), "lists")  # as landed: no longer an expression
     return _shown_raw(scan_stories(lists, tables.landed_stories(spark, sf_dir), _parts(spark)))
 
 
@@ -544,7 +544,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(tables.landed_pages(spark, sf_dir))
         .unionByName(tables.landed_lists(spark, sf_dir))
     )
-    return checkpointed(landed)  # a lander would have stored it
+    return stored(landed, "landed")  # a lander would have stored it
 
 
 def _sources(spark: SparkSession) -> DataFrame:

@@ -14,7 +14,7 @@ from feedrank.operators.enrich import enrich, with_identity
 from feedrank.operators.rank import select_candidates, top_n
 from feedrank.operators.stats import run_stats
 from feedrank.params import Params
-from feedrank.session import checkpointed, configure
+from feedrank.session import configure, stored
 from feedrank.sinks.raw import run_header, write_raw
 from feedrank.sinks.report import report_documents, write_reports
 from feedrank.sources.collect import collect
@@ -65,7 +65,7 @@ def daily_run(
 
     The kept items are stored once, since every other result is derived from them.
     """
-    deduped = checkpointed(deduplicated(items, now, params))
+    deduped = stored(deduplicated(items, now, params), "deduped")
     candidates = select_candidates(deduped, params.threshold)
     top = top_n(candidates, params.top_n, now)
     stats = run_stats(items, deduped, params.threshold, params.top_n, now, dates)
@@ -91,7 +91,7 @@ def run_job(
     check_registry(registry)
     chosen = select_sources(registry, parse_source_ids(sources))
     collected = collect(landed, stories, chosen)
-    items = checkpointed(collected.items)  # parsed once; far smaller than the landed bodies
+    items = stored(collected.items, "items")  # parsed once; far smaller than the landed bodies
     run = daily_run(items, as_timestamp(now), params, landed.select("run_date"))
     ids = [r[0] for r in chosen.orderBy("source_pos").select("source_config_id").collect()]
     write_raw(run.deduped, run_header(run.stats, registry_path, ids), f"{output}/raw")

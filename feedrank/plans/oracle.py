@@ -399,7 +399,7 @@ _FEEDS = f"""feed_docs AS (
 feed_entries AS (
   SELECT *, date_trunc('day', {_PUBLISHED}) AS day,
     CASE WHEN by_link THEN date_trunc('day', {_PUBLISHED}) ELSE {_PUBLISHED} END AS published,
-    CASE WHEN by_link THEN 'https://News.example.com/issues/' || strftime({_PUBLISHED}, '%y-%m-%d') || '-' || doc_id
+    CASE WHEN by_link THEN 'https://News.example.com/issues/' || strftime({_PUBLISHED}, '%Y-%m-%d') || '-' || doc_id
       ELSE 'https://news.example.com/' || source || '/' || doc_id END AS link,
     {_collapsed(_headline('text'))} AS line, {_collapsed('text')} AS body
   FROM feed_days

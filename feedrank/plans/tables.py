@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from feedrank.functions.times import iso_utc
 from feedrank.functions.urls import url_domain
 from feedrank.params import Params
-from feedrank.session import spread
 from feedrank.sources.landing import popularity
 
 NOW = "2024-01-31T00:00:00Z"
@@ -51,13 +50,8 @@ SCHEMAS = {
 }
 
 
-# Tables with long texts, and their keys.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def headline(text: Column) -> Column:
@@ -68,7 +62,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw items: every document, with a page's address and an event's time and numbers.
 
     Documents of equal length share a page, so copies share an address; every third
-    document of a page gets its own query parameter.
+    document of a page gets its own query parameter. The tables are joined without the texts, which
+    are attached once, at the end.
     """
     documents = table(spark, sf_dir, "documents")
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
@@ -82,7 +77,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     events_in_all = events.agg(F.count("*")).scalar()
     keyed = documents.select(
         "doc_id",
-        "text",
         "source",
         "n_chars",
         (F.char_length("text") % pages_in_all).alias("page_id"),
@@ -90,7 +84,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = F.split_part("page_url", F.lit("#"), F.lit(1))
     glue = F.when(F.contains(base, F.lit("?")), F.lit("&")).otherwise(F.lit("?"))
-    joined = keyed.join(pages, "page_id").join(events, "event_id")
+    narrow = keyed.join(pages, "page_id").join(events, "event_id")
+    joined = documents.select("doc_id", "text").join(narrow, "doc_id")
     return joined.withColumn(
         "url", F.concat(base, glue, F.lit("d="), (F.col("doc_id") % 3).cast("string"))
     ).select(
@@ -180,7 +175,7 @@ def landed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.date_format("published", "dd MMM yyyy HH:mm:ss '+0000'")
     link = F.when(
         by_link,
-        F.concat(F.lit("https://News.example.com/issues/"), F.date_format("published", "yy-MM-dd"),
+        F.concat(F.lit("https://News.example.com/issues/"), F.date_format("published", "yyyy-MM-dd"),
                  F.lit("-"), F.col("doc_id").cast("string")),
     ).otherwise(F.concat(F.lit("https://news.example.com/"), F.col("source"), F.lit("/"),
                          F.col("doc_id").cast("string")))

@@ -1,11 +1,10 @@
-"""Session settings, lineage cuts and size-checked broadcasts."""
+"""Session settings, and tables stored to cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +16,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
+_stored: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan here relies on; all times are UTC."""
@@ -26,32 +27,35 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="feedrank-checkpoint-"))
-    else:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and stored reliably: short lineage, survives executor loss."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read again: a lineage cut that survives
+    lost executors, is pruned when read, and whose real size the planner knows. Files stay until
+    `release`."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}/{name}"
+    df.write.options(**options).parquet(path)
+    _stored.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only after counting; above `max_rows` Spark picks the join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def stored_since(mark: int) -> list[str]:
+    """The stored tables made after `mark`, which is the length of an earlier list from 0."""
+    return _stored[mark:]
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that comes in fewer partitions than there are cores,
-    as one small file does. Larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete stored tables: those given, or all of this driver so far. Only for tables that nothing
+    will read again."""
+    for path in list(_stored) if paths is None else paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _stored:
+            _stored.remove(path)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedrank.session import broadcast_if_small, checkpointed
+from feedrank.session import stored
 from feedrank.sources.feeds import scan_feeds
 from feedrank.sources.landing import (
     failed_feeds,
@@ -29,14 +29,14 @@ class Collected(NamedTuple):
 
 def _listed(sources: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The parts of the selected sources, and the sources that cannot be scanned at all."""
-    sources = checkpointed(sources)  # a short list that every scan joins
+    sources = stored(sources, "sources")  # a short list that every scan joins
     unsupported = unsupported_sources(sources)
     scanned = sources.filter(~F.col("source_config_id").isin(list(unsupported)))
-    return broadcast_if_small(source_parts(scanned)), unsupported
+    return source_parts(scanned), unsupported
 
 
 def _items(landed: DataFrame, stories: DataFrame, parts: DataFrame, failed: DataFrame) -> DataFrame:
-    lost = broadcast_if_small(failed.select("run_date", "source_config_id"))
+    lost = failed.select("run_date", "source_config_id")
     usable = landed.join(lost, ["run_date", "source_config_id"], "left_anti")
     return union_items(
         [scan_feeds(landed, parts), scan_trending(usable, parts), scan_stories(usable, stories, parts)]

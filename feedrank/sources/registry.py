@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedrank.functions.text import strip
-from feedrank.session import broadcast_if_small
 from feedrank.sources.defaults import DEFAULT_SOURCES
 
 # --- Fixed values. -----------------------------------------------------------
@@ -101,10 +100,14 @@ def parse_sources(specs: DataFrame) -> DataFrame:
         message = F.concat(F.lit(f"source without {field} at position "), F.col("source_pos").cast("string"))
         return F.when(value == "", F.raise_error(message).cast("string")).otherwise(value)
 
+    given = F.variant_get("spec", "$.params", "variant")
+    is_object = given.isNull() | F.is_variant_null(given) | F.startswith(F.schema_of_variant(given), F.lit("OBJECT"))
+    no_object = F.concat(F.lit("params is no object at position "), F.col("source_pos").cast("string"))
+    checked_id = F.when(is_object, source_id).otherwise(F.raise_error(no_object).cast("string"))
     per_feed = F.coalesce(_param("max_per_feed", "int"), F.lit(DEFAULT_MAX_PER_FEED))
     return specs.select(
         F.col("source_pos").cast("int").alias("source_pos"),
-        required(source_id, "id").alias("source_config_id"),
+        required(checked_id, "id").alias("source_config_id"),
         required(source_type, "type").alias("source_type"),
         F.coalesce(_truth(F.variant_get("spec", "$.enabled", "variant")), F.lit(True)).alias("enabled"),
         "spec",
@@ -127,7 +130,7 @@ def check_registry(registry: DataFrame) -> None:
     """Raise ValueError if there is no source, or if two share an id."""
     if registry.isEmpty():
         raise ValueError("no sources configured")
-    twice = registry.groupBy("source_config_id").count().filter("count > 1").limit(100).collect()
+    twice = registry.groupBy("source_config_id").count().filter("count > 1").collect()
     if twice:
         names = ", ".join(sorted(r["source_config_id"] for r in twice))
         raise ValueError(f"source ids used more than once: {names}")
@@ -150,17 +153,15 @@ def select_sources(registry: DataFrame, requested: Iterable[str] = ()) -> DataFr
         return enabled
     spark = registry.sparkSession
     rows = [(i, r, TYPE_ALIASES.get(r.strip().lower())) for i, r in enumerate(requested)]
-    wanted = broadcast_if_small(
-        spark.createDataFrame(rows, "request_pos INT, request STRING, alias STRING")
-    )
+    wanted = spark.createDataFrame(rows, "request_pos INT, request STRING, alias STRING")
     by_id = enabled.join(wanted, enabled.source_config_id == wanted.request).drop("alias")
     direct = by_id.select("request")
     by_type = enabled.join(
-        broadcast_if_small(wanted.join(direct, "request", "left_anti")),
+        wanted.join(direct, "request", "left_anti"),
         F.col("alias") == F.col("source_type"),
     ).drop("alias")
     found = by_id.unionByName(by_type)
-    missed = wanted.join(found, "request", "left_anti").select("request").limit(100).collect()
+    missed = wanted.join(found, "request", "left_anti").select("request").collect()
     if missed:
         names = ", ".join(sorted(r["request"] for r in missed))
         raise ValueError(f"no enabled source for: {names}")

@@ -9,7 +9,6 @@ from feedrank.functions.computed import computed
 from feedrank.functions.scoring import any_keyword
 from feedrank.functions.text import clean_text, first_non_empty
 from feedrank.functions.times import iso_utc, on_date
-from feedrank.session import broadcast_if_small
 from feedrank.sources.landing import landed_parts, popularity, position
 
 DISCUSSION_URL = "https://news.ycombinator.com/item?id="  # fixed value
@@ -42,7 +41,8 @@ def story_items(stories: DataFrame) -> DataFrame:
     payload = F.from_json("body", "map<string,string>")
 
     def number(name: str) -> Column:
-        return F.try_element_at(F.col("payload"), F.lit(name)).try_cast("bigint")
+        # A JSON number with a fraction or an exponent counts as its whole part.
+        return F.try_element_at(F.col("payload"), F.lit(name)).try_cast("decimal(38,6)").try_cast("bigint")
 
     def text(name: str) -> Column:
         return F.try_element_at(F.col("payload"), F.lit(name))
@@ -81,7 +81,7 @@ def scan_stories(landed: DataFrame, stories: DataFrame, parts: DataFrame) -> Dat
     settings = parts.filter((F.col("source_type") == "hackernews") & (F.col("part_pos") == 0)).select(
         "source_config_id", "source_type", "source_pos", "keywords", "require_keyword_match"
     )
-    found = found.join(broadcast_if_small(settings), "source_config_id")
+    found = found.join(settings, "source_config_id")
     return (
         story_items(found)
         .filter(on_date(F.col("published_ts"), F.col("run_date")))

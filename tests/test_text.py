@@ -64,3 +64,7 @@ def test_characters_that_skip_python_are_left_alone_by_nfkc():
 )
 def test_digits_to_int(column, raw, number):
     assert column(text.digits_to_int, [raw]) == [number]
+
+
+def test_digits_beyond_a_long(column):
+    assert column(text.digits_to_int, ["9" * 25, "9223372036854775807", "9223372036854775808"]) == [2**63 - 1] * 3

@@ -41,9 +41,27 @@ def test_iso_round_trip_and_defaults(column):
     ]
 
 
-def test_malformed_iso_aborts(column):
+@pytest.mark.parametrize("text", ["soon", "2024", "2024-1-1", " 2024-01-01 ", "2024-13-01", "2024-01-31T", "2024-01-31T25:00"])
+def test_malformed_iso_aborts(column, text):
     with pytest.raises(PySparkException):
-        column(lambda c: times.parse_iso(c, times.as_timestamp("2024-02-01T00:00:00Z")), ["soon"])
+        column(lambda c: times.parse_iso(c, times.as_timestamp("2024-02-01T00:00:00Z")), [text])
+
+
+def test_iso_forms(column):
+    values = ["20240131T000000", "2024-01-31", "20240131", "2024-01-31T10", "2024-01-31T10:29+0530",
+              "2024-01-31T10:00:00.123456789-01", "2024-01-31t10:00Z"]
+    now = times.as_timestamp("2024-02-01T00:00:00Z")
+    found = column(lambda c: times.iso_utc(times.parse_iso(c, now)), values[:-1])
+    assert found == ["2024-01-31T00:00:00Z", "2024-01-31T00:00:00Z", "2024-01-31T00:00:00Z", "2024-01-31T10:00:00Z",
+                     "2024-01-31T04:59:00Z", "2024-01-31T11:00:00Z"]
+
+
+def test_w3c_forms(column):
+    values = ["2024-05-17T10:29Z", "2024-05-17T10:29+02:00", "2024-05-17T10:29:30.123456789Z", "2024-05-17t10:29z",
+              "2024-05-17 10:29", "2024-05-17", "2024-05", "2024-05-17T10"]
+    assert column(lambda c: times.iso_utc(times.parse_w3c_date(c)), values) == [
+        "2024-05-17T10:29:00Z", "2024-05-17T08:29:00Z", "2024-05-17T10:29:30Z", "2024-05-17T10:29:00Z",
+        "2024-05-17T10:29:00Z", "2024-05-17T00:00:00Z", None, None]
 
 
 def test_run_date():
