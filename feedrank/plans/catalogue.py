@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from feedrank.params import Params
 from feedrank.plans import tables
 from feedrank.plans.daily import daily_run, daily_top, deduplicated
 from feedrank.plans.tables import PARAMS, table
-from feedrank.session import stored
+from feedrank.session import shared_folder, stored
+from feedrank.sinks.raw import read_raw, run_header, write_raw
 from feedrank.sinks.report import preview, report_blocks
 from feedrank.sources.collect import collect_items, fetch_warnings
 from feedrank.sources.feeds import scan_feeds
@@ -421,6 +423,32 @@ def dedup_items_by_day(spark, sf_dir):
     return kept.select(F.col("run_date").cast("string").alias("run_date"), "ord", "score")
 
 
+def _linked(df: DataFrame, url: Column, title: Column) -> DataFrame:
+    """Documents as items with made-up keys; copies of a text share their hash."""
+    digest = F.sha2(F.col("text"), 256)
+    return df.select(
+        F.col("doc_id").alias("ord"), url.alias("canonical_url"), title.alias("title_norm"), digest.alias("content_hash"))
+
+
+@query
+def dedup_hot_key(spark, sf_dir):
+    """A third of all documents on one address, and another third with one title, mostly on one host."""
+    doc = F.col("doc_id")
+    url = F.when(doc % 3 == 0, F.lit("http://hot.example.com/one")).otherwise(
+        F.concat(F.lit("http://h"), (F.greatest(doc % 9 - 5, F.lit(0))).cast("string"), F.lit(".example.com/"), doc.cast("string")))
+    title = F.when(doc % 3 == 1, F.lit("one title")).otherwise(F.concat(F.lit("title "), doc.cast("string")))
+    return dedup(_linked(table(spark, sf_dir, "documents"), url, title), scope=()).select("ord", "canonical_url")
+
+
+@query
+def dedup_long_chain(spark, sf_dir):
+    """Every document shares its address with one neighbour and its title with the other."""
+    doc = F.col("doc_id")
+    url = F.concat(F.lit("http://chain.example.com/"), F.floor((doc + 1) / 2).cast("string"))
+    title = F.concat(F.lit("title "), F.floor(doc / 2).cast("string"))
+    return dedup(_linked(table(spark, sf_dir, "documents"), url, title), scope=()).select("ord", "canonical_url")
+
+
 @query
 def dedup_single_key(spark, sf_dir):
     events = table(spark, sf_dir, "events")
@@ -459,6 +487,13 @@ def daily_top_news(spark, sf_dir):
     return _shown(daily_top(tables.items(spark, sf_dir), now(), PARAMS), "rank", "summary")
 
 
+@query
+def daily_one_date(spark, sf_dir):
+    """The whole run for one date of the archive."""
+    top = daily_top(tables.items(spark, sf_dir), now(), PARAMS, dates=["2024-01-29"])
+    return _shown(top, "rank", "summary")
+
+
 # --- statistics and reports --------------------------------------------------
 
 
@@ -488,6 +523,17 @@ def report_documents_(spark, sf_dir):
     return run.reports.withColumn("run_date", F.col("run_date").cast("string"))
 
 
+@query
+def raw_items(spark, sf_dir):
+    """The raw JSON output as it is read back: kept items, each with the statistics of its date."""
+    run = daily_run(tables.items(spark, sf_dir), now(), PARAMS)
+    header = run_header(run.stats, None, ["all"])
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    write_raw(run.deduped, header, path)
+    written = read_raw(spark, path, run.deduped.schema, header.schema)
+    return _shown(written, "summary", "canonical_url", "title_norm", "content_hash", "total_fetched", "after_dedup", "generated_at")
+
+
 # --- sources -----------------------------------------------------------------
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedrank.functions.times import as_timestamp, parse_iso
+from feedrank.functions.times import as_timestamp, parse_iso, run_date
 from feedrank.operators.dedup import only_survivors, survivors
 from feedrank.operators.enrich import enrich, with_identity
 from feedrank.operators.rank import select_candidates, top_n
@@ -38,6 +39,15 @@ class DailyRun(NamedTuple):
     reports: DataFrame
 
 
+def for_dates(rows: DataFrame, dates: Iterable[dt.date | str] | None) -> DataFrame:
+    """The rows of the given run dates; all if there is none given. To be applied to the rows as they are
+    read, since a filter does not pass a computed column on its way to the scan."""
+    if dates is None:
+        return rows
+    wanted = [F.lit(str(date)).cast("date") for date in dates]
+    return rows.filter(F.col("run_date").isin(*wanted)) if wanted else rows.limit(0)
+
+
 def deduplicated(
     items: DataFrame, now: Column, params: Params = Params(), scope: Sequence[str] = ("run_date",)
 ) -> DataFrame:
@@ -52,9 +62,11 @@ def deduplicated(
     return enrich(only_survivors(items, kept), now, params)
 
 
-def daily_top(items: DataFrame, now: Column, params: Params = Params()) -> DataFrame:
-    """The best items of each run date, numbered in `rank`."""
-    kept = deduplicated(items, now, params)
+def daily_top(
+    items: DataFrame, now: Column, params: Params = Params(), dates: Iterable[dt.date | str] | None = None
+) -> DataFrame:
+    """The best items of each run date, or of the given ones, numbered in `rank`."""
+    kept = deduplicated(for_dates(items, dates), now, params)
     return top_n(select_candidates(kept, params.threshold), params.top_n, now)
 
 
@@ -81,12 +93,20 @@ def run_job(
     now: str,
     sources: str = "",
     params: Params = Params(),
+    dates: Iterable[dt.date | str] | None = None,
+    relative: str | None = None,
 ) -> DataFrame:
     """Landed fetches to raw JSON and reports under `output`; returns the warnings.
 
-    Without a registry path the default sources are used; `sources` selects by id or alias.
+    Without a registry path the default sources are used; `sources` selects by id or alias. `dates` are
+    the run dates, or `relative` names one as of `now` (today, yesterday, day-before); without either,
+    all that has landed is run.
     """
     configure(spark)
+    if relative is not None:
+        as_of = dt.datetime.fromisoformat(now.replace("Z", "+00:00")).astimezone(dt.timezone.utc).date()
+        dates = [*(dates or ()), run_date(relative, as_of=as_of)]
+    landed, stories = for_dates(landed, dates), for_dates(stories, dates)
     registry = read_registry(spark, registry_path) if registry_path else default_registry(spark)
     check_registry(registry)
     chosen = select_sources(registry, parse_source_ids(sources))

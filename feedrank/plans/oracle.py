@@ -215,6 +215,21 @@ _SHOWN = "run_date, ord, source, title, url, published_at, score, tags"
 ORACLES["dedup_items"] = f"""WITH RECURSIVE {_ITEMS}, {_fold('hashed', "''")}
 SELECT h.ord, h.canonical_url, h.content_hash FROM hashed h JOIN survivors s ON s.ord = h.ord"""
 ORACLES["dedup_items_by_day"] = f"WITH RECURSIVE {_DEDUPED} SELECT run_date, ord, score FROM deduped"
+_LINKED = """SELECT doc_id AS ord, sha256(text) AS content_hash, {domain} AS domain, {url} AS canonical_url, {title} AS title_norm
+  FROM documents"""
+_HOT = _LINKED.format(
+    domain="CASE WHEN doc_id % 3 = 0 THEN 'hot.example.com' ELSE 'h' || greatest(doc_id % 9 - 5, 0) || '.example.com' END",
+    url="CASE WHEN doc_id % 3 = 0 THEN 'http://hot.example.com/one' "
+    "ELSE 'http://h' || greatest(doc_id % 9 - 5, 0) || '.example.com/' || doc_id END",
+    title="CASE WHEN doc_id % 3 = 1 THEN 'one title' ELSE 'title ' || doc_id END")
+_CHAIN = _LINKED.format(
+    domain="'chain.example.com'", url="'http://chain.example.com/' || (doc_id + 1) // 2", title="'title ' || doc_id // 2")
+for _name, _rows in (("dedup_hot_key", _HOT), ("dedup_long_chain", _CHAIN)):
+    ORACLES[_name] = f"""WITH RECURSIVE linked AS ({_rows}), {_fold('linked', "''")}
+SELECT l.ord, l.canonical_url FROM linked l JOIN survivors s ON s.ord = l.ord"""
+ORACLES["daily_one_date"] = (
+    f"WITH RECURSIVE {_TOP} SELECT {_SHOWN}, rank, summary FROM top WHERE run_date = '2024-01-29'"
+)
 ORACLES["daily_top_news"] = f"WITH RECURSIVE {_TOP} SELECT {_SHOWN}, rank, summary FROM top"
 ORACLES["enrich_items"] = f"""WITH {_ENRICHED}
 SELECT {_SHOWN}, source_id, summary, canonical_url, title_norm, content_hash FROM enriched"""
@@ -239,6 +254,9 @@ _STATS = f"""{_TOP}, stats AS (
 ORACLES["run_stats"] = f"""WITH RECURSIVE {_STATS}
 SELECT *, least({PARAMS.top_n}, above_threshold) AS top_n, {PARAMS.threshold}::DOUBLE AS threshold,
   '{NOW}' AS generated_at FROM stats"""
+ORACLES["raw_items"] = f"""WITH RECURSIVE {_STATS}
+SELECT {_SHOWN}, summary, canonical_url, title_norm, content_hash, total_fetched, after_dedup, '{NOW}' AS generated_at
+FROM deduped JOIN stats USING (run_date)"""
 ORACLES["source_counts"] = f"""WITH {_ITEMS}
 SELECT strftime(run_date, '%Y-%m-%d') AS run_date, source_config_id, count(*) AS fetched
 FROM items GROUP BY ALL"""

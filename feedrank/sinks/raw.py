@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def run_header(stats: DataFrame, config_path: str | None, source_ids: Sequence[str]) -> DataFrame:
@@ -35,6 +36,13 @@ def _write_json(rows: DataFrame, path: str) -> None:
     )
 
 
+def read_raw(spark: SparkSession, path: str, items: StructType, header: StructType) -> DataFrame:
+    """What `write_raw` has written: every item with the statistics of its run date."""
+    lines = spark.read.schema(items).json(f"{path.rstrip('/')}/items")
+    runs = spark.read.schema(header).json(f"{path.rstrip('/')}/runs").select("run_date", "stats.*")
+    return lines.join(runs, "run_date")
+
+
 def write_raw(deduped: DataFrame, header: DataFrame, path: str) -> None:
     """Kept items (whatever their score) under `items/`, one line each, and the run headers
     under `runs/`, both by run date; rewritten dates are replaced."""

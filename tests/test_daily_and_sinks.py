@@ -1,14 +1,16 @@
 import datetime as dt
 import json
+import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedrank.functions import times
-from feedrank.operators.enrich import enrich
+from feedrank.operators.enrich import enrich, with_identity
 from feedrank.operators.rank import select_candidates
 from feedrank.params import Params
-from feedrank.plans.daily import daily_run, run_job
+from feedrank.plans.daily import daily_run, for_dates, run_job
 from feedrank.schemas import LANDED, LANDED_STORY, RAW_ITEM
 from feedrank.sinks.raw import run_header, write_raw
 from feedrank.sinks.report import preview, write_reports
@@ -158,3 +160,15 @@ def test_text_is_cleaned_once_per_row(spark):
     evaluations = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
     assert sum(line.count("_unescape_and_fold(") for line in evaluations) == 2
     assert 0 < plan.count("Contains(_text") <= 27
+
+
+def test_a_date_reaches_the_scan(spark, tmp_path):
+    items = spark.createDataFrame([("2024-01-01", 1, "t", "http://h/1", None), ("2024-01-02", 2, "u", "http://h/2", None)],
+                                  "run_date string, ord long, title string, url string, source_id string")
+    path = str(tmp_path / "items")
+    items.withColumn("run_date", F.col("run_date").cast("date")).write.partitionBy("run_date").parquet(path)
+    chosen = with_identity(for_dates(spark.read.parquet(path), ["2024-01-02"]), Params())
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*2024-01-02", plan) or re.search(r"PartitionFilters: \[[^\]]*19724", plan)
+    assert [r["ord"] for r in chosen.collect()] == [2]
+    assert for_dates(items, []).count() == 0 and for_dates(items, None).count() == 2
