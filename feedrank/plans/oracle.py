@@ -431,7 +431,7 @@ feed_entries AS (
     NULL::VARCHAR AS language, NULL::BIGINT AS hn_score, NULL::BIGINT AS hn_comments,
     'feed' || (chunk % {FEED_SOURCES}) AS source_config_id, 'rss' AS source_type
   FROM feed_entries
-  WHERE chunk % 10 <> 9 AND day = run_date AND line <> ''
+  WHERE chunk % 10 <> 9 AND chunk % 11 <> 5 AND day = run_date AND line <> ''
 )"""
 _SOURCES_BEFORE_TRENDING = FEED_SOURCES
 _LANGUAGE = "[" + ", ".join(_quoted(name) for name in LANGUAGES) + "][chunk % 3 + 1]"
@@ -468,7 +468,7 @@ list_days AS (
   FROM list_days WHERE chunk % 8 <> 7
 ), merged AS (
   SELECT run_date, chunk, doc_id, min({_ord('0', 'part_pos', 'row_pos')}) AS ord
-  FROM listed WHERE row_pos < {MAX_PER_LIST} GROUP BY ALL
+  FROM listed WHERE row_pos < {MAX_PER_LIST} AND chunk % 8 <> 5 GROUP BY ALL
 )"""
 _RELEVANT = " OR ".join(f"contains(hay, {_quoted(k)})" for k in STORY_KEYWORDS)
 
@@ -513,12 +513,14 @@ _EMPTY_FEED = f"""{_FEEDS}, feed_parts AS (
 )"""
 ORACLES["fetch_failure_policy"] = f"""WITH {_EMPTY_FEED},
 {_pages('SELECT NULL::DATE WHERE false')}, {_LISTED}, warnings AS (
-  SELECT run_date, source_config_id, string_agg(part || ': HTTP 503', '; ' ORDER BY part) AS reason
-  FROM feed_parts WHERE chunk % 10 = 9 GROUP BY ALL
+  SELECT run_date, source_config_id,
+    string_agg(part || CASE WHEN chunk % 10 = 9 THEN ': HTTP 503' ELSE ': body is no feed' END, '; ' ORDER BY part) AS reason
+  FROM feed_parts WHERE chunk % 10 = 9 OR chunk % 11 = 5 GROUP BY ALL
   HAVING (strftime(run_date, '%Y-%m-%d'), source_config_id)
     NOT IN (SELECT (run_date, source_config_id) FROM feeds)
   UNION ALL SELECT DISTINCT run_date, 'trending', 'HTTP 429' FROM ({_FAILED_PAGES})
-  UNION ALL SELECT DISTINCT run_date, 'stories', 'HTTP 500' FROM list_days WHERE chunk % 8 = 7
+  UNION ALL SELECT DISTINCT run_date, 'stories', CASE WHEN chunk % 8 = 7 THEN 'HTTP 500' ELSE 'body is no list' END
+  FROM list_days WHERE chunk % 8 IN (5, 7)
 )
 SELECT strftime(run_date, '%Y-%m-%d') AS run_date, source_config_id,
   source_config_id || ' failed: ' || reason AS message FROM warnings"""

@@ -192,6 +192,14 @@ def landed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_xml(
         F.struct(F.struct(F.col("entries").alias("item")).alias("channel")), {"rowTag": "rss"}
     )
+    # Some feeds hold what XML forbids, some break off at their end, and some are no feeds.
+    body = (
+        F.when(F.col("chunk") % 11 == 5, F.lit("<html><body>Down for maintenance<br></body>"))
+        .when(F.col("chunk") % 7 == 1, F.replace(
+            body, F.lit("<channel>"), F.lit("<channel><generator>Salt & pepper&nbsp;\x01</generator>")))
+        .when(F.col("chunk") % 7 == 2, F.regexp_replace(body, r"(?s)</channel>.*$", "<item><title>cut o"))
+        .otherwise(body)
+    )
     source = (F.col("chunk") % FEED_SOURCES).cast("string")
     part = (F.floor(F.col("chunk") / FEED_SOURCES) % FEED_PARTS).cast("string")
     return _landed(
@@ -243,7 +251,7 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three story lists per chunk: in order, reversed, and its middle first."""
+    """Three story lists per chunk: in order, reversed, and its middle first. Some are no JSON."""
     chunks = _chunks(table(spark, sf_dir, "documents"), LIST_CHUNK)
     by_day = chunks.withColumn("run_date", _day(1)).groupBy("run_date", "chunk").agg(
         F.array_sort(F.collect_list("doc_id")).alias("ids")
@@ -263,7 +271,7 @@ def landed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("part"),
         (F.col("chunk") % 8 == 7) & (F.col("part") == "new"),
         "HTTP 500",
-        F.to_json("ids"),
+        F.when(F.col("chunk") % 8 == 5, F.concat(F.lit("<"), F.to_json("ids"))).otherwise(F.to_json("ids")),
         F.col("run_date").cast("timestamp"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedrank.session import stored
-from feedrank.sources.feeds import scan_feeds
+from feedrank.sources.feeds import scan_feeds, unreadable_feeds
 from feedrank.sources.landing import (
     failed_feeds,
     failed_sources,
@@ -46,7 +46,7 @@ def _items(landed: DataFrame, stories: DataFrame, parts: DataFrame, failed: Data
 def _warnings(
     landed: DataFrame, parts: DataFrame, failed: DataFrame, unsupported: dict[str, str]
 ) -> DataFrame:
-    feeds = failed_feeds(landed, parts, scan_feeds)
+    feeds = failed_feeds(landed, parts, scan_feeds, unreadable_feeds)
     return reduce(
         DataFrame.unionByName, [failed, feeds, unsupported_warnings(landed, unsupported)]
     )

@@ -24,13 +24,53 @@ FEED_SCHEMA = (
 )
 
 
+# Characters that XML forbids; an ampersand that starts no XML entity; a text element with markup in it;
+# the whole entries of a feed that breaks off.
+_FORBIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
+_STRAY = "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9a-fA-F]+);)"
+_MARKUP = (
+    r"(?s)<(title|description|summary|content:encoded|content)((?:\s[^<>]*)?)(?<!/)>"
+    r"([^<]*<(?!!\[CDATA\[|/\1).*?)</\1\s*>"
+)
+_WHOLE_END = r"</(?:rss|feed|rdf:RDF|\w+:feed)\s*>\s*(?:<!--.*-->\s*)?$"
+
+
+def mended(body: Column) -> Column:
+    """A feed body that an XML parser reads: without forbidden characters and stray ampersands (names of
+    HTML entities are kept as text, and resolved with the other text), markup inside of text elements
+    taken as text, and closed behind its last whole entry if it breaks off."""
+    clean = F.regexp_replace(F.regexp_replace(body, _FORBIDDEN, ""), _STRAY, "&amp;")
+    text = F.regexp_replace(clean, _MARKUP, "<$1$2><![CDATA[$3]]></$1>")
+    closed = (
+        F.when(text.rlike("<rss[\\s>]"), F.regexp_replace(text, "(?s)^(.*</item\\s*>).*$", "$1</channel></rss>"))
+        .when(text.rlike("<rdf:RDF[\\s>]"), F.regexp_replace(text, "(?s)^(.*</item\\s*>).*$", "$1</rdf:RDF>"))
+        .otherwise(F.regexp_replace(text, "(?s)^(.*</entry\\s*>).*$", "$1</feed>"))
+    )
+    return F.when(text.rlike(_WHOLE_END), text).otherwise(closed)
+
+
+def _feed_entries(feed: str) -> Column:
+    return F.coalesce(F.col(f"{feed}.channel.item"), F.col(f"{feed}.item"), F.col(f"{feed}.entry"))
+
+
+def unreadable_feeds(fetched: DataFrame) -> DataFrame:
+    """Rows of fetched feeds, without the body, whose body is no feed even when mended: one without the root of a feed, or with entries of
+    which none could be read."""
+    others = [c for c in fetched.columns if c != "body"]
+    parsed = computed(fetched.where("body IS NOT NULL"), feed=F.from_xml(mended(F.col("body")), FEED_SCHEMA))
+    rootless = ~F.col("body").rlike(r"(?i)<(?:rss|feed|rdf:rdf|\w+:feed)[\s/>]")
+    lost = F.col("body").rlike(r"<(?:item|entry)[\s>]")
+    return parsed.filter(_feed_entries("feed").isNull() & (rootless | lost)).select(*others)
+
+
 def parse_entries(feeds: DataFrame, body: str = "body") -> DataFrame:
     """One row per entry, in document order (`row_pos`), next to the feed's other columns.
 
-    A body that is no feed gives no entries.
+    Damaged bodies are mended first; one that is no feed gives no entries. Of an element that comes
+    more than once in an entry, the last one counts.
     """
-    feed = F.from_xml(F.col(body), FEED_SCHEMA)
-    entries = F.coalesce(F.col("feed.channel.item"), F.col("feed.item"), F.col("feed.entry"))
+    feed = F.from_xml(mended(F.col(body)), FEED_SCHEMA)
+    entries = _feed_entries("feed")
     others = [c for c in feeds.columns if c != body]
     return computed(feeds, feed=feed).select(
         *others, F.posexplode(entries).alias("row_pos", "entry")

@@ -46,19 +46,33 @@ def landed_parts(landed: DataFrame, parts: DataFrame, source_type: str) -> DataF
 
 def _reason() -> Column:
     """Why an attempt makes its source fail, null if it does not (or not on its own)."""
-    kind, error = F.col("source_type"), F.coalesce("error", F.lit(""))
-    failed = F.col("status") != "ok"
+    kind, error = F.col("source_type"), F.coalesce("error", F.when(F.col("status").isNull(), "no status"), F.lit(""))
+    failed = F.coalesce("status", F.lit("")) != "ok"  # an attempt without a status failed
     due = (kind != "github_trending") | (F.to_date("fetched_at") == F.col("run_date"))
     return F.when(failed & (kind == "rss"), F.concat("part", F.lit(": "), error)).when(
         failed & due, error
     )
 
 
-def _failed_attempts(landed: DataFrame, parts: DataFrame) -> DataFrame:
+NO_FEED, NO_LIST = "body is no feed", "body is no list"
+
+
+def _unreadable_lists(landed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Fetched story lists that are no JSON array."""
+    lists = landed_parts(landed, parts, "hackernews").filter(F.col("status") == "ok")
+    kind = F.schema_of_variant(F.try_parse_json("body"))
+    return lists.filter(~F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)))
+
+
+def _failed_attempts(landed: DataFrame, parts: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Attempts that failed, and those of `unreadable` (with `error`), whose body says nothing."""
+    shown = ["run_date", "source_config_id", "source_type", "part_pos"]
     tried = landed.drop("body").join(parts, ["source_config_id", "part"])
-    return tried.select(
-        "run_date", "source_config_id", "source_type", "part_pos", _reason().alias("reason")
-    ).filter(F.col("reason").isNotNull())
+    failed = tried.select(*shown, _reason().alias("reason")).filter(F.col("reason").isNotNull())
+    if unreadable is None:
+        return failed
+    bad = unreadable.withColumn("status", F.lit("failed")).select(*shown, _reason().alias("reason"))
+    return failed.unionByName(bad)
 
 
 def _warning(reason: Column) -> Column:
@@ -68,8 +82,9 @@ def _warning(reason: Column) -> Column:
 def failed_sources(landed: DataFrame, parts: DataFrame) -> DataFrame:
     """Trending and story sources that failed on a date: one failed language or list loses the
     whole source. Trending pages count only on their own date."""
+    bad = _unreadable_lists(landed, parts).withColumn("error", F.lit(NO_LIST))
     return (
-        _failed_attempts(landed, parts)
+        _failed_attempts(landed, parts, bad)
         .filter(F.col("source_type") != "rss")
         .groupBy("run_date", "source_config_id")
         .agg(F.min_by("reason", "part_pos").alias("reason"))
@@ -78,15 +93,21 @@ def failed_sources(landed: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def failed_feeds(
-    landed: DataFrame, parts: DataFrame, scan: Callable[[DataFrame, DataFrame], DataFrame]
+    landed: DataFrame,
+    parts: DataFrame,
+    scan: Callable[[DataFrame, DataFrame], DataFrame],
+    unreadable: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Feed sources that failed on a date: some URL failed, and the others gave no item.
+    """Feed sources that failed on a date: some URL failed or gave what is no feed, and the others gave
+    no item.
 
-    Only the feeds of sources with a failed URL are scanned for this.
+    Only the feeds of such sources are scanned for this.
     """
     by = ["run_date", "source_config_id"]
+    fetched = landed_parts(landed, parts, "rss").filter(F.col("status") == "ok")
+    bad = unreadable(fetched).withColumn("error", F.lit(NO_FEED))
     suspects = (
-        _failed_attempts(landed, parts)
+        _failed_attempts(landed, parts, bad)
         .filter(F.col("source_type") == "rss")
         .groupBy(*by, "part_pos")
         .agg(F.min("reason").alias("reason"))

@@ -4,6 +4,7 @@ import json
 import pytest
 
 from feedrank.schemas import LANDED, LANDED_STORY
+from feedrank.sources import feeds
 from feedrank.sources.collect import collect
 from feedrank.sources.registry import (
     DEFAULT_PARTS,
@@ -159,7 +160,10 @@ def test_all_sources_in_registry_order(spark, registry):
         ("one", "A & B"), ("one", "By link"), ("one", "Atom"),
         ("trend", "owner/repo"), ("trend", "a/b"), ("stories", "said"), ("stories", "AI & more"),
     ]
-    assert warnings == {"odd": "odd failed: unsupported source type: carrier-pigeon"}
+    assert warnings == {
+        "odd": "odd failed: unsupported source type: carrier-pigeon",
+        "two": "two failed: u3: body is no feed",
+    }
     first, linked, atom, repo, bare, said, story = items
     assert (first.source, first.source_name, first.source_id, first.url) == ("rss", "x.com", "g1", "https://X.com/a")
     assert (first.published_at, first.summary) == ("2024-01-01T08:30:00Z", "<p>full & text</p>")
@@ -226,3 +230,33 @@ def test_lists_merge_in_order_without_repeats(spark):
 def test_parts_are_numbered(registry):
     parts = source_parts(registry).filter("source_config_id = 'one'").orderBy("part_pos").collect()
     assert [(p.part_pos, p.part) for p in parts] == [(0, "u1"), (1, "u2")]
+
+
+ENTRY = "<entry><title{0}>{1}</title><link href='http://h/{2}'/><updated>2024-01-01T10:00Z</updated>{3}</entry>"
+
+
+@pytest.mark.parametrize("body, expected", [
+    ("<rss><channel><title>A & B</title><item><title>Tom & Jerry&nbsp;x</title><link>http://h/1?a=1&b=2</link></item></channel></rss>",
+     [("Tom & Jerry x", "http://h/1?a=1&b=2", "")]),
+    ("<rss><channel><item><title>one\x01</title><link>http://h/1</link></item><item><title>cut of",
+     [("one", "http://h/1", "")]),
+    ("<feed>" + ENTRY.format(" type='xhtml'", "<div>Big <b>news</b></div>", 1, "<summary>plain</summary>") + "</feed>",
+     [("<div>Big <b>news</b></div>", "http://h/1", "plain")]),
+    ("<feed>" + ENTRY.format("", "t", 1, "<content type='html'><![CDATA[<p>a & b</p>]]></content>") + "<entry><title>x",
+     [("t", "http://h/1", "<p>a & b</p>")]),
+    ("<rss><channel><item><title>t</title><link>http://h/1</link><description>a <p>b</p></description></item></channel></rss>",
+     [("t", "http://h/1", "a <p>b</p>")]),
+    ("<rss><channel><item><title>t</title><link>http://h/1</link><description>first</description>"
+     "<description>second</description></item></channel></rss>", [("t", "http://h/1", "second")]),
+])
+def test_damaged_feeds_are_mended(spark, body, expected):
+    landed = spark.createDataFrame([(1, body)], "k int, body string")
+    rows = feeds.entry_items(feeds.parse_entries(landed)).collect()
+    assert [(r["title"], r["url"], r["summary"]) for r in rows] == expected
+
+
+def test_bodies_that_are_no_feed_are_found(spark):
+    bodies = ["<html>down</html>", "{}", "<rss><channel><title>t</title></channel></rss>", "<feed/>", None,
+              "<rss><channel><item><title>t</title></item></channel></rss>", "<rss><channel><item></rss"]
+    landed = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    assert sorted(r["k"] for r in feeds.unreadable_feeds(landed).collect()) == [0, 1, 6]
