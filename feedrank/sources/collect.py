@@ -18,7 +18,7 @@ from feedrank.sources.landing import (
     unsupported_warnings,
 )
 from feedrank.sources.registry import source_parts
-from feedrank.sources.stories import scan_stories
+from feedrank.sources.stories import scan_stories, unreadable_payloads
 from feedrank.sources.trending import scan_trending
 
 
@@ -55,13 +55,15 @@ def _warnings(
 def collect_items(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> DataFrame:
     """Raw items of the selected sources, in registry order; failed sources give none."""
     parts, _ = _listed(sources)
-    return _items(landed, stories, parts, failed_sources(landed, parts))
+    payloads = unreadable_payloads(landed, stories, parts)
+    return _items(landed, stories, parts, failed_sources(landed, parts, payloads))
 
 
-def fetch_warnings(landed: DataFrame, sources: DataFrame) -> DataFrame:
-    """One warning per run date and failed source."""
+def fetch_warnings(landed: DataFrame, sources: DataFrame, stories: DataFrame | None = None) -> DataFrame:
+    """One warning per run date and failed source; with `stories`, of unreadable payloads as well."""
     parts, unsupported = _listed(sources)
-    return _warnings(landed, parts, failed_sources(landed, parts), unsupported)
+    payloads = None if stories is None else unreadable_payloads(landed, stories, parts)
+    return _warnings(landed, parts, failed_sources(landed, parts, payloads), unsupported)
 
 
 def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collected:
@@ -70,7 +72,7 @@ def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collec
     `landed` and `stories` may hold many run dates; each is treated on its own.
     """
     parts, unsupported = _listed(sources)
-    failed = failed_sources(landed, parts)
+    failed = failed_sources(landed, parts, unreadable_payloads(landed, stories, parts))
     return Collected(
         _items(landed, stories, parts, failed), _warnings(landed, parts, failed, unsupported)
     )

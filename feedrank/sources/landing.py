@@ -79,13 +79,17 @@ def _warning(reason: Column) -> Column:
     return F.concat("source_config_id", F.lit(" failed: "), reason).alias("message")
 
 
-def failed_sources(landed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Trending and story sources that failed on a date: one failed language or list loses the
-    whole source. Trending pages count only on their own date."""
+def failed_sources(
+    landed: DataFrame, parts: DataFrame, payloads: DataFrame | None = None
+) -> DataFrame:
+    """Trending and story sources that failed on a date: one failed language, list or payload loses the
+    whole source. Trending pages count only on their own date. `payloads`: (run_date, source_config_id,
+    part_pos, reason) of story payloads that cannot be read."""
     bad = _unreadable_lists(landed, parts).withColumn("error", F.lit(NO_LIST))
+    by_part = ["run_date", "source_config_id", "part_pos", "reason"]
+    attempts = _failed_attempts(landed, parts, bad).filter(F.col("source_type") != "rss").select(by_part)
     return (
-        _failed_attempts(landed, parts, bad)
-        .filter(F.col("source_type") != "rss")
+        (attempts if payloads is None else attempts.unionByName(payloads.select(by_part)))
         .groupBy("run_date", "source_config_id")
         .agg(F.min_by("reason", "part_pos").alias("reason"))
         .select("run_date", "source_config_id", _warning(F.col("reason")))

@@ -9,7 +9,7 @@ from feedrank.functions.computed import computed
 from feedrank.functions.scoring import any_keyword
 from feedrank.functions.text import clean_text, first_non_empty
 from feedrank.functions.times import iso_utc, on_date
-from feedrank.sources.landing import landed_parts, popularity, position
+from feedrank.sources.landing import PART_BITS, landed_parts, popularity, position
 
 DISCUSSION_URL = "https://news.ycombinator.com/item?id="  # fixed value
 
@@ -70,14 +70,25 @@ def story_items(stories: DataFrame) -> DataFrame:
     )
 
 
+def _listed(landed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Ids on the landed lists, once per date and source."""
+    lists = landed_parts(landed, parts, "hackernews").filter(F.col("status") == "ok")
+    return merge_lists(
+        lists.withColumn("ids", F.from_json("body", "array<bigint>")), ["run_date", "source_config_id"])
+
+
+def unreadable_payloads(landed: DataFrame, stories: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per date and source the first listed story whose payload is no JSON, as a reason to fail."""
+    bad = stories.filter(F.col("body").isNotNull() & F.try_parse_json("body").isNull())
+    first = _listed(landed, parts).join(bad.select("run_date", "id"), ["run_date", "id"]).groupBy(
+        "run_date", "source_config_id").agg(F.min_by("id", "ord").alias("id"))
+    reason = F.concat(F.lit("story "), F.col("id").cast("string"), F.lit(": payload is no JSON"))
+    return first.select("run_date", "source_config_id", F.lit(2**PART_BITS).alias("part_pos"), reason.alias("reason"))
+
+
 def scan_stories(landed: DataFrame, stories: DataFrame, parts: DataFrame) -> DataFrame:
     """Items of the stories on the landed lists; stories without a payload are skipped."""
-    lists = landed_parts(landed, parts, "hackernews").filter(F.col("status") == "ok")
-    merged = merge_lists(
-        lists.withColumn("ids", F.from_json("body", "array<bigint>")),
-        ["run_date", "source_config_id"],
-    )
-    found = merged.join(stories.filter(F.col("body").isNotNull()), ["run_date", "id"])
+    found = _listed(landed, parts).join(stories.filter(F.col("body").isNotNull()), ["run_date", "id"])
     settings = parts.filter((F.col("source_type") == "hackernews") & (F.col("part_pos") == 0)).select(
         "source_config_id", "source_type", "source_pos", "keywords", "require_keyword_match"
     )

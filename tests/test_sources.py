@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedrank.schemas import LANDED, LANDED_STORY
 from feedrank.sources import feeds
@@ -260,3 +261,26 @@ def test_bodies_that_are_no_feed_are_found(spark):
               "<rss><channel><item><title>t</title></item></channel></rss>", "<rss><channel><item></rss"]
     landed = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
     assert sorted(r["k"] for r in feeds.unreadable_feeds(landed).collect()) == [0, 1, 6]
+
+
+def test_unreadable_lists_and_payloads_lose_the_story_source(spark, registry):
+    items, warnings = _collected(spark, registry, ("stories", "new", "<oops"))
+    assert "stories" not in {i.source_config_id for i in items}
+    assert warnings["stories"] == "stories failed: body is no list"
+    bad = [(DAY, 3, "{broken"), *(s for s in STORIES if s[1] != 3), (DAY, 99, "{not listed")]
+    found = collect(_landed(spark), spark.createDataFrame(bad, LANDED_STORY), select_sources(registry))
+    assert "stories" not in {r.source_config_id for r in found.items.collect()}
+    messages = {r.source_config_id: r.message for r in found.warnings.collect()}
+    assert messages["stories"] == "stories failed: story 3: payload is no JSON"
+
+
+def test_an_attempt_without_status_failed(spark, registry):
+    landed = _landed(spark).withColumn("status", F.when(F.col("part") != "u3", F.col("status")))
+    found = collect(landed, spark.createDataFrame(STORIES, LANDED_STORY), select_sources(registry))
+    assert {r.source_config_id: r.message for r in found.warnings.collect()}["two"] == "two failed: u3: no status"
+
+
+def test_params_that_are_no_object_abort(spark):
+    doc = '{"sources": [{"id": "a", "type": "rss", "params": ["x"]}]}'
+    with pytest.raises(Exception, match="params is no object"):
+        parse_registry(spark.createDataFrame([(doc,)], "doc string")).collect()
