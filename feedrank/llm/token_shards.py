@@ -24,12 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedrank.llm import tokens
 from feedrank.llm.common import rows_of
-from feedrank.llm.packing import tokenizer
 
 HEADER = "<qqqII"
 
@@ -52,7 +53,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, shards: Shards = Shards(), i
     """Rows (part, place, doc_id, start, n_ids, ids): the stream of each partition in pieces of `size` ids."""
 
     def run(batches):
-        encoder, ends = tokenizer(tokenizer_path)
+        encode, ends = tokens.load(tokenizer_path)
         if len(ends) > 1 << 16:
             raise ValueError("the vocabulary has more ids than 16 bits hold")
         part, place, size = TaskContext.get().partitionId(), 0, shards.size
@@ -87,7 +88,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, shards: Shards = Shards(), i
 
         for rows in rows_of(batches):
             for key, text in rows:
-                ids = np.append(np.frombuffer(encoder.encode(text or ""), "<u4").astype("<u2"), end)
+                ids = np.append(np.frombuffer(encode(text or ""), "<u4").astype("<u2"), end)
                 waiting.append((key, 0, ids))
                 held += len(ids)
             if held >= 256 * size:
@@ -127,39 +128,65 @@ def permuted(numbers: np.ndarray, total: int, key: int, rounds: int = 4, back: b
     return out.astype(np.int64)
 
 
-def records(pieces: DataFrame, shards: Shards = Shards()) -> DataFrame:
-    """Rows (shard, slot, record) for stored `pieces`. The driver sees one count per partition that made them."""
+def dealt(pieces: DataFrame, shards: Shards = Shards()) -> DataFrame:
+    """Rows (shard, heads, bodies) for stored `pieces`: what each task has for a shard, packed and compressed, so that
+    the shuffle moves little more than the entropy of the ids. The driver sees one count per partition."""
     counts = sorted(pieces.groupBy("part").count().collect())
     total, before = 0, {}
     for part, count in counts:
         before[part], total = total, total + count
     offsets = pieces.sparkSession.sparkContext.broadcast(before)
+    names = ["shard", "heads", "bodies"]
 
     def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data = batch.to_pydict()
             number = np.array([offsets.value[p] + i for p, i in zip(data["part"], data["place"])], np.int64)
             slot = permuted(number, total, shards.key, shards.rounds) if len(number) else number
-            out = []
-            for s, doc, start, n, ids in zip(slot.tolist(), data["doc_id"], data["start"], data["n_ids"], data["ids"]):
-                body = ids.ljust(2 * shards.size, b"\0")
-                out.append(struct.pack(HEADER, s, -1 if doc is None else doc, start, n, zlib.crc32(body)) + body)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((slot // shards.per_shard).astype(np.int32)), pa.array(slot), pa.array(out, pa.binary())],
-                ["shard", "slot", "record"])
-
-    return pieces.mapInArrow(run, "shard int, slot long, record binary")
+            shard, out = slot // shards.per_shard, []
+            order = np.argsort(shard, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+                heads = np.array([
+                    (slot[i], -1 if data["doc_id"][i] is None else data["doc_id"][i], data["start"][i], data["n_ids"][i])
+                    for i in own], "<i8")
+                bodies = packer.compress(b"".join(data["ids"][i].ljust(2 * shards.size, b"\0") for i in own))
+                out.append((int(shard[own[0]]), heads.tobytes(), bodies))
+            columns = list(zip(*out)) or [(), (), ()]
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return pieces.mapInArrow(run, "shard int, heads binary, bodies binary")
+
+
+def records(parts: DataFrame, shards: Shards = Shards()) -> DataFrame:
+    """Rows (shard, slot, record) from what `dealt` made: a shard, `per_shard` records, is put together by one task."""
+    size = 2 * shards.size
+
+    def build(table: pa.Table) -> pa.Table:
+        unpacker, rows = zstandard.ZstdDecompressor(), []
+        for heads, bodies in zip(table.column("heads").to_pylist(), table.column("bodies").to_pylist()):
+            ids = unpacker.decompress(bodies)
+            for i, (slot, doc, start, n) in enumerate(np.frombuffer(heads, "<i8").reshape(-1, 4).tolist()):
+                body = ids[i * size : (i + 1) * size]
+                rows.append((slot, struct.pack(HEADER, slot, doc, start, n, zlib.crc32(body)) + body))
+        shard = table.column("shard")[0].as_py()
+        slots, made = zip(*sorted(rows))
+        return pa.table({"shard": pa.array([shard] * len(rows), pa.int32()), "slot": pa.array(slots, pa.int64()),
+                         "record": pa.array(made, pa.binary())})
+
+    return parts.groupBy("shard").applyInArrow(build, "shard int, slot long, record binary")
 
 
 def write(pieces: DataFrame, path: str, shards: Shards = Shards(), only: list[int] | None = None) -> None:
     """Write the shards under `path`, or those in `only` again, as `shard=N/part-*`: one file each, made by one
     task, so that a lost executor costs no more than its shards."""
-    rows = records(pieces, shards)
+    parts = dealt(pieces, shards)
     if only is not None:
-        rows = rows.where(F.col("shard").isin(only))
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "slot")
+        parts = parts.where(F.col("shard").isin(only))
+    ordered = records(parts, shards).sortWithinPartitions("shard", "slot")
     # The text writer copies bytes as they are and ends each record with a line feed, on any file system of Spark's.
-    lines = dealt.select(F.col("record").cast("string").alias("value"), "shard")
+    lines = ordered.select(F.col("record").cast("string").alias("value"), "shard")
     lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").text(path)
 
 
