@@ -1,66 +1,26 @@
-"""What the operators of this subpackage share: words, stored tables, small expressions."""
+"""What the operators of this subpackage share: words, and rows of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from feedrank.session import configure
+from feedrank.session import configure, release, shared_folder, stored, stored_since
+
+__all__ = ["GAP", "WORD", "ready", "release", "rows_of", "shared_folder", "stored", "stored_since", "words"]
 
 #: A word is a run of other characters than space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_stored: list[str] = []
-
-
 def ready(spark: SparkSession) -> SparkSession:
     """The session with the settings that the operators rely on."""
     return configure(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session may go without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="feedrank-llm-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read again: a lineage cut that survives
-    lost executors, and whose real size the planner knows. Files stay until `release`."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.options(**options).parquet(path)
-    _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete stored tables: those given, or all of this driver so far. Call it only when nothing
-    that reads them will run again, as at the start of the next stage of a written pipeline."""
-    for path in list(_stored) if paths is None else paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        if path in _stored:
-            _stored.remove(path)
-
-
-def stored_since(mark: int) -> list[str]:
-    """The stored tables made after `mark = len(...)` of an earlier call with 0."""
-    return _stored[mark:]
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
