@@ -52,7 +52,8 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
     fold = toxicity.fold_of(F.col("doc_id"))
-    trusted = docs.select("doc_id", "text").where(fold != 2).join(good, F.col("doc_id") == F.col("id"))
+    # Always by a shuffle, since the labels grow with the documents.
+    trusted = docs.select("doc_id", "text").where(fold != 2).join(good.hint("merge"), F.col("doc_id") == F.col("id"))
     model = perplexity.fit(trusted)
     scored = stored(perplexity.perplexities(docs.select("doc_id", "lang", "text"), model), "perplexities")
     unseen = scored.where(fold == 2).join(good, F.col("doc_id") == F.col("id"))
