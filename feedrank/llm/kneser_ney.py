@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedrank.llm.common import rows_of, stored
+from feedrank.llm.common import rows_of, stored, unused
 
 #: Prime below 2**31 that spreads n-grams over slots.
 PRIME = 2147483629
@@ -152,10 +152,12 @@ def folded(table: DataFrame, key: str, value: Column, weight: Column, slots: int
     return out
 
 
-def scored(docs: DataFrame, score: Callable[[str | None], tuple[float, int]], text_column: str) -> DataFrame:
-    """`docs` with two more columns: __total, a sum over a whole text, and __units, what it is a sum over."""
-    added = T.StructType([T.StructField("__total", T.DoubleType()), T.StructField("__units", T.LongType())])
-    place, names = docs.columns.index(text_column), [*docs.columns, "__total", "__units"]
+def scored(docs: DataFrame, score: Callable[[str | None], tuple[float, int]], text_column: str) -> tuple[DataFrame, Column]:
+    """`docs` with two more columns, the score of a whole text and the number of units it is a sum over; and the
+    score per unit as a column of that."""
+    total, units = unused(docs, "total", "units")
+    added = T.StructType([T.StructField(total, T.DoubleType()), T.StructField(units, T.LongType())])
+    place, names = docs.columns.index(text_column), [*docs.columns, total, units]
 
     def run(batches):
         for batch in batches:
@@ -165,4 +167,5 @@ def scored(docs: DataFrame, score: Callable[[str | None], tuple[float, int]], te
                 new = [pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return rows, F.col(total) / F.greatest(units, F.lit(1))

@@ -77,9 +77,9 @@ def fit(trusted: DataFrame, settings: Perplexity = Perplexity(), text_column: st
 def perplexities(docs: DataFrame, model: Model, text_column: str = "text", out: str = "perplexity") -> DataFrame:
     """`docs` without the text and with the perplexity per byte of the whole text as `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    totals = kn.scored(docs, lambda text: shared.value.total(text), text_column)
-    value = F.exp(-F.col("__total") / F.greatest("__units", F.lit(1)))
-    return totals.select(*(c for c in docs.columns if c not in (text_column, out)), value.alias(out))
+    rows, mean = kn.scored(docs, lambda text: shared.value.total(text), text_column)
+    kept = (F.col(f"`{c}`") for c in docs.columns if c not in (text_column, out))
+    return rows.select(*kept, F.exp(-mean).alias(out))
 
 
 def thresholds(scored: DataFrame, settings: Perplexity = Perplexity()) -> DataFrame:

@@ -6,7 +6,7 @@ from llm.prose import prose
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators also use inside.
-EXTRA = ", word string, h long, fingerprint string, score string, bits long, __t long, u int, part int, `class` int"
+EXTRA = ", total double, units int, runs string, d int, t int, word string, h long, fingerprint string, score string, bits long, __t long, u int, part int, `class` int"
 
 
 @pytest.fixture
@@ -28,7 +28,7 @@ def odd_texts(rng):
 def odd_docs(spark, odd_texts):
     rows = [(i, t, "en" if i % 3 else None, None, None) for i, t in enumerate(odd_texts)]
     rows += [(None, "no id here", None, None, None), rows[9], rows[9]]
-    full = [(*r, "w", 1, "f", "s", 2, 3, 4, 5, 6) for r in rows]
+    full = [(*r, 1.0, 1, "r", 1, 1, "w", 1, "f", "s", 2, 3, 4, 5, 6) for r in rows]
     return spark.createDataFrame(full, DOCUMENTS + EXTRA)
 
 
