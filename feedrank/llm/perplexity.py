@@ -24,10 +24,11 @@ from feedrank.llm.common import release, stored, stored_since
 
 @dataclass(frozen=True)
 class Perplexity:
-    """`quantile` of unseen trusted perplexities that still passes; `slots` of the longest n-grams' table."""
+    """`quantile` of unseen trusted perplexities that still passes; `slots` of the longest n-grams' table, half as
+    many for each byte less."""
 
     order: int = 5
-    slots: int = 1 << 22
+    slots: int = 1 << 21
     quantile: float = 0.99
     accuracy: int = 10_000
     most_languages: int = 10_000
@@ -58,6 +59,11 @@ class Model:
         return total, n
 
 
+def slots_of(settings: Perplexity, order: int) -> int:
+    """The places of the table of one order; short n-grams have one each."""
+    return min(settings.slots >> settings.order - order, 1 << 8 * order)
+
+
 def fit(trusted: DataFrame, settings: Perplexity = Perplexity(), text_column: str = "text") -> Model:
     """The model of all rows of `trusted`."""
     spark, mark, order = trusted.sparkSession, len(stored_since(0)), settings.order
@@ -66,10 +72,9 @@ def fit(trusted: DataFrame, settings: Perplexity = Perplexity(), text_column: st
     tables.append(stored(kn.interpolated(top, order, tables[-1] if tables else None), f"order{order}"))
     p, left = [], []
     for k, table in enumerate(tables, 1):
-        slots = min(settings.slots, 1 << 8 * k)
-        p.append(kn.folded(table, "key", F.log("p"), F.col("c0"), slots))
+        p.append(kn.folded(table, "key", F.log("p"), F.col("c0"), slots_of(settings, k)))
         contexts = table.groupBy("context").agg(F.first("gamma").alias("gamma"), F.sum("c0").alias("w"))
-        left.append(kn.folded(contexts, "context", F.log("gamma"), F.col("w"), min(settings.slots, 1 << 8 * (k - 1))))
+        left.append(kn.folded(contexts, "context", F.log("gamma"), F.col("w"), slots_of(settings, k - 1)))
     release(spark, stored_since(mark))
     return Model(p, left)
 
