@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedrank.llm import (
     bpe, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
 )
+from feedrank.llm.oracle import ORACLES  # noqa: F401  registered with QUERIES
 from feedrank.llm.common import ready, release, shared_folder, stored, stored_since, words
 
 
@@ -125,4 +126,4 @@ QUERIES = {
     "op9_token_shards": op9_token_shards,
     "op10_sketches": op10_sketches,
 }
-ORACLES: dict[str, str] = {}
+
