@@ -23,17 +23,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedrank.llm.common import WORD
+from feedrank.llm.common import WORD, unused
 
 WORDS = 50
 
 
 def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows (d, t, units): the document's key, and of each line with words its place, hash and words."""
+    """Rows (d, t, units): the document's key, and of each line with words its hash and number of words."""
     text = docs[text_column]
     units = F.filter(
-        F.transform(F.split(text, "\n"), lambda line, i: F.struct(
-            i.alias("line"), F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("n"))),
+        F.transform(F.split(text, "\n"), lambda line: F.struct(
+            F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("n"))),
         lambda unit: unit["n"] > 0)
     rows = docs.where(text.isNotNull()).select(
         docs[id_column].alias("d"), F.xxhash64(text).alias("t"), units.alias("units"))
@@ -41,51 +41,73 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _windows(documents: DataFrame, words: int) -> DataFrame:
-    """A row per whole window: its document, its line's place among the units `u`, fingerprint, hash of its lines, its number
-    of units `c`, the units from its start on, and the line where it ends."""
+    """A row per whole window: its document, the place `u` of its first line among the units, its number of units `c`,
+    its fingerprint, and the hash of all its lines."""
     by_line = Window.partitionBy("d", "t").orderBy("u")
     units = documents.select("d", "t", F.posexplode("units").alias("u", "unit")).select(
-        "d", "t", "u", "unit.line", "unit.h", "unit.n")
+        "d", "t", "u", "unit.h", "unit.n")
     started = units.withColumn("start", F.sum("n").over(by_line) - F.col("n"))
     run = Window.partitionBy("d", "t").orderBy("start").rangeBetween(0, words - 1)
-    ahead = by_line.rowsBetween(0, 2 * words - 1)
     return started.select(
         "d", "t", "u", F.sum("n").over(run).alias("total"), F.count("n").over(run).cast("int").alias("c"),
-        F.min("h").over(run).alias("fingerprint"), F.collect_list(F.struct("h", "line")).over(ahead).alias("ahead"),
-    ).where(F.col("total") >= words).select(
-        "d", "t", "u", "c", "fingerprint",
-        F.xxhash64(F.transform(F.slice("ahead", 1, F.col("c")), lambda unit: unit["h"])).alias("content"),
-        F.transform("ahead", lambda unit: unit["line"]).alias("lines"),
-        F.transform(F.slice("ahead", F.col("c") + 1, words), lambda unit: unit["h"]).alias("tail"))
-
-
-def repeated_lines(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (d, t, lines): for each document, by its id and the hash of its text, the places of the lines to delete,
-    ascending, blank lines inside a deleted run included."""
-    windows = _windows(_documents(docs, id_column, text_column), words)
-    place = F.struct("d", "t", "u")
+        F.min("h").over(run).alias("fingerprint"), F.xxhash64(F.collect_list("h").over(run)).alias("content"),
+    ).where(F.col("total") >= words).drop("total")
+
+
+def _matches(windows: DataFrame) -> DataFrame:
+    """Rows (d, t, u, c, fd, ft, fu): every window that comes again, and where it came first."""
     firsts = (
         windows.groupBy("fingerprint", "content")
-        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "t", "u", "tail")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "t", "u")).alias("first"))
         .where(F.col("times") > 1)
-        .select("fingerprint", "content", F.struct("first.d", "first.t", "first.u").alias("at"), F.col("first.tail").alias("other")))
-    matched = windows.join(firsts, ["fingerprint", "content"]).where(~place.eqNullSafe(F.col("at")))
+        .select("fingerprint", "content", F.col("first.d").alias("fd"), F.col("first.t").alias("ft"), F.col("first.u").alias("fu")))
+    here, there = F.struct("d", "t", "u"), F.struct(F.col("fd").alias("d"), F.col("ft").alias("t"), F.col("fu").alias("u"))
+    again = windows.join(firsts, ["fingerprint", "content"]).where(~here.eqNullSafe(there))
+    return again.drop("fingerprint", "content")
+
+
+def repeated_runs(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (d, t, runs): for each document, by its id and the hash of its text, the first and last places, among its
+    lines with words, of what is to be deleted."""
+    documents = _documents(docs, id_column, text_column)
+    matches = _matches(_windows(documents, words))
+    # Only the last of the windows that match one after the other has to be extended.
+    order = Window.partitionBy("d", "t").orderBy("fd", "ft", "u")
+    follows = F.struct("fd", "ft", "fu", "u")
+    after = F.struct("fd", "ft", (F.col("fu") + 1).alias("fu"), (F.col("u") + 1).alias("u"))
+    marked = matches.withColumn("inner", F.lead(follows).over(order).eqNullSafe(after))
+    covered = marked.where("inner").select("d", "t", F.col("u").alias("a"), (F.col("u") + F.col("c") - 1).alias("b"))
+
+    def hashes(side: str) -> DataFrame:
+        return documents.select(F.col("d").alias(f"{side}_d"), F.col("t").alias(f"{side}_t"),
+                                F.transform("units", lambda unit: unit["h"]).alias(f"{side}_h"))
+
+    own, other = hashes("own"), hashes("other")
+    ends = (
+        marked.where("NOT inner").drop("inner")
+        .join(own, F.col("d").eqNullSafe(F.col("own_d")) & (F.col("t") == F.col("own_t")))
+        .select("d", "t", "u", "c", "fd", "ft", "fu", F.slice("own_h", F.col("u") + F.col("c") + 1, words).alias("tail"))
+        .join(other, F.col("fd").eqNullSafe(F.col("other_d")) & (F.col("ft") == F.col("other_t")))
+        .select("d", "t", "u", "c", "tail", F.slice("other_h", F.col("fu") + F.col("c") + 1, words).alias("following")))
     # How many units after the window go on alike: none differs before `stop`.
-    stop = F.array_position(F.zip_with("tail", "other", lambda a, b: a.eqNullSafe(b)), False)
-    alike = F.when(stop > 0, stop - 1).otherwise(F.least(F.size("tail"), F.size("other"))).cast("int")
-    spans = matched.select("d", "t", F.get("lines", F.lit(0)).alias("a"), F.get("lines", F.col("c") + alike - 1).alias("b"))
-    merged = spans.select("d", "t", F.explode(F.sequence("a", "b")).alias("line")).distinct()
-    return merged.groupBy("d", "t").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    stop = F.array_position(F.zip_with("tail", "following", lambda x, y: x.eqNullSafe(y)), False)
+    alike = F.when(stop > 0, stop - 1).otherwise(F.least(F.size("tail"), F.size("following"))).cast("int")
+    extended = ends.select("d", "t", F.col("u").alias("a"), (F.col("u") + F.col("c") - 1 + alike).alias("b"))
+    return covered.unionByName(extended).groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
 
 
 def without_repeats(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`docs` with the later occurrences of repeated runs deleted from the texts."""
-    gone = repeated_lines(docs, words, id_column, text_column).select(
-        F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("lines").alias("__gone"))
+    d, t, runs, units = unused(docs, "d", "t", "runs", "units")
+    found = repeated_runs(docs, words, id_column, text_column)
+    gone = found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("runs").alias(runs))
     text = docs[text_column]
-    joined = docs.join(gone, docs[id_column].eqNullSafe(gone["__d"]) & (F.xxhash64(text) == gone["__t"]), "left")
-    all_lines = F.split(text, "\n")
-    numbers = F.sequence(F.lit(0), F.size(all_lines) - 1)
-    left = F.transform(F.array_except(numbers, F.col("__gone")), lambda i: F.get(all_lines, i))
-    cut = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(left, "\n"))
-    return joined.select(*((cut if c == text_column else docs[c]).alias(c) for c in docs.columns))
+    joined = docs.join(gone, docs[id_column].eqNullSafe(gone[d]) & (F.xxhash64(text) == gone[t]), "left")
+    lines = F.split(text, "\n")
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    with_words = F.filter(numbers, lambda i: F.get(lines, i).rlike(WORD))
+    places = joined.select(*(docs[c] for c in docs.columns), runs, F.when(F.col(runs).isNotNull(), with_words).alias(units))
+    deleted = F.flatten(F.transform(runs, lambda run: F.sequence(F.get(units, run["a"]), F.get(units, run["b"]))))
+    left = F.transform(F.array_except(numbers, deleted), lambda i: F.get(lines, i))
+    cut = F.when(F.col(runs).isNull(), text).otherwise(F.array_join(left, "\n"))
+    return places.select(*((cut if c == text_column else F.col(f"`{c}`")).alias(c) for c in docs.columns))
