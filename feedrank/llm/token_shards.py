@@ -33,6 +33,8 @@ from feedrank.llm import tokens
 from feedrank.llm.common import rows_of
 
 HEADER = "<qqqII"
+#: Stands for a null document id in a header.
+NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -148,7 +150,7 @@ def dealt(pieces: DataFrame, shards: Shards = Shards()) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
                 heads = np.array([
-                    (slot[i], -1 if data["doc_id"][i] is None else data["doc_id"][i], data["start"][i], data["n_ids"][i])
+                    (slot[i], NO_ID if data["doc_id"][i] is None else data["doc_id"][i], data["start"][i], data["n_ids"][i])
                     for i in own], "<i8")
                 bodies = packer.compress(b"".join(data["ids"][i].ljust(2 * shards.size, b"\0") for i in own))
                 out.append((int(shard[own[0]]), heads.tobytes(), bodies))
@@ -197,11 +199,14 @@ def read(spark: SparkSession, path: str, shards: Shards = Shards(), shard: int |
     def parsed(record: bytes):
         slot, doc, start, n, crc = struct.unpack_from(HEADER, record)
         body = record[struct.calcsize(HEADER) : struct.calcsize(HEADER) + 2 * size]
-        return (slot, slot // per_shard, slot % per_shard, None if doc < 0 else doc, start, n,
+        return (slot, slot // per_shard, slot % per_shard, None if doc == NO_ID else doc, start, n,
                 zlib.crc32(body) == crc, body[: 2 * n])
 
     folder = f"{path}/shard={'*' if shard is None else shard}"
     schema = "slot long, shard long, place long, doc_id long, start long, n_ids int, intact boolean, ids binary"
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
+        return spark.createDataFrame([], schema)
     rows = spark.sparkContext.binaryRecords(folder, shards.stride).map(parsed)
     out = spark.createDataFrame(rows, schema)
     return out.where(F.col("place") >= first) if first else out

@@ -169,6 +169,22 @@ def test_shards_hold_every_sequence_at_its_slot(spark, make_docs, rng, odd_texts
     pieces_.unpersist()
 
 
+def test_shards_of_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
+    shards = token_shards.Shards(size=512, per_shard=8)
+    made = token_shards.sequences(no_docs, JSON, shards).cache()
+    token_shards.write(made, str(tmp_path / "none"), shards)
+    assert made.count() == 0 and token_shards.read(spark, str(tmp_path / "none"), shards).count() == 0
+    assert token_shards.read(spark, str(tmp_path / "missing"), shards).count() == 0
+    made = token_shards.sequences(odd_docs.coalesce(1), JSON, shards).cache()
+    token_shards.write(made, str(tmp_path / "odd"), shards)
+    rows = token_shards.read(spark, str(tmp_path / "odd"), shards).collect()
+    assert sum(r["n_ids"] for r in rows) == sum(len(plain_ids(r["text"])) for r in odd_docs.collect())
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and all(r["intact"] for r in rows)
+    alone = token_shards.sequences(odd_docs.where("doc_id IS NULL"), JSON, shards).cache()
+    token_shards.write(alone, str(tmp_path / "alone"), shards)
+    assert [r["doc_id"] for r in token_shards.read(spark, str(tmp_path / "alone"), shards).collect()] == [None]
+
+
 def test_registered_digests(spark, tmp_path, make_docs):
     make_docs(["one two", None]).write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r["doc_id"]: r for r in queries.op8_bpe(spark, str(tmp_path)).collect()}
