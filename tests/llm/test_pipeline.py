@@ -57,3 +57,23 @@ def test_run_equals_its_stages(spark, folder):
 def test_every_operator_has_its_query():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
     assert numbers == set(range(1, 11)) and set(queries.QUERIES) <= set(driver.queries())
+
+
+def test_stages_take_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for kind, docs in (("odd", odd_docs), ("no", no_docs)):
+        columns, ids = docs.columns, {r["doc_id"] for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{kind}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{kind}/{name}")
+            assert {r["doc_id"] for r in docs.collect()} <= ids
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == columns
+        assert (docs.count() > 0) == (kind == "odd")
+
+
+def test_queries_take_no_documents(spark, no_docs, tmp_path):
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in [*queries.QUERIES, "pipeline"]:
+        assert driver.queries()[name](spark, str(tmp_path)).count() == 0, name
