@@ -80,7 +80,7 @@ def url_canonical(spark, sf_dir):
     )
     awkward = F.concat(
         F.lit(" HTTPS://User@Example.COM:80/"), "source", F.lit("//?UTM_X=1&Ref=2&e&&q="),
-        F.replace(tables.headline(F.col("text")), F.lit("%"), F.lit("")), F.lit("&t=a+b%20~*#top"),
+        F.translate("text", "%\n", " "), F.lit("&t=a+b%20~*#top"),
     )
     documents = table(spark, sf_dir, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), awkward.alias("url")

@@ -293,7 +293,7 @@ FROM stats LEFT JOIN bodies USING (run_date)"""
 
 _AWKWARD = (
     f"' HTTPS://User@Example.COM:80/' || source || '//?UTM_X=1&Ref=2&e&&q=' || "
-    f"replace({_headline('text')}, '%', '') || '&t=a+b%20~*#top'"
+    f"replace(replace(text, '%', ' '), chr(10), '') || '&t=a+b%20~*#top'"
 )
 ORACLES["url_canonical"] = f"""WITH addresses AS (
   SELECT 'page' AS kind, page_id AS id, url FROM pages
