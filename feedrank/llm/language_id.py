@@ -158,10 +158,11 @@ def fit(docs: DataFrame, settings: LanguageId = LanguageId()) -> Model:
     if len(names) > settings.most_languages:
         raise ValueError(f"more than {settings.most_languages} languages")
     languages = sorted(names)
-    rows = counts.toPandas()  # at most languages x slots
     sums = np.zeros((len(languages), settings.slots))
-    place = {lang: i for i, lang in enumerate(languages)}
-    sums[rows["lang"].map(place).to_numpy(np.int64), rows["slot"].to_numpy(np.int64)] = rows["n"]
+    if languages:
+        place = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)))
+        rows = counts.select(place[F.col("lang")].alias("i"), F.col("slot").cast("int"), "n").toPandas()  # at most one per place
+        sums[rows["i"].to_numpy(np.int64), rows["slot"].to_numpy(np.int64)] = rows["n"]
     share = (sums + settings.smoothing) / (sums + settings.smoothing).sum(axis=1, keepdims=True)
     bits = codewords(len(languages))
     one = (bits.T @ share) / np.maximum(bits.sum(axis=0), 1)[:, None]
