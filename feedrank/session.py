@@ -13,7 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Long texts must not add up to huge batches on their way to Python.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 _stored: list[str] = []
