@@ -8,7 +8,7 @@ branches are pruned. Each leaf is a shard that finds its links exactly, and ever
 some shard: follow the two ends from the root; as long as they go the same way both stay together, and
 at the first node that parts them the outer one lies in the band and is sent inside as well.
 
-The tree is fitted on a bounded sample of fingerprints (`sample`), which only decides how even the
+The tree is fitted on a small, bounded sample of fingerprints (`per_leaf`, `sample`), which only decides how even the
 shards are: every fingerprint is routed and every shard is searched, whatever the sample. A shard
 searches with a local tree of the same kind and returns, instead of all its pairs, one link from
 each member to the least member that it reaches there, so a group of copies costs links in
@@ -38,13 +38,14 @@ SEED = 42
 
 @dataclass(frozen=True)
 class SimHash:
-    """`leaf`: fingerprints that a shard should hold; `sample`: the most that the tree is fitted on;
-    `local`: below how many a shard compares directly."""
+    """`leaf`: fingerprints that a shard should hold; `per_leaf`: how many of them, by a hash, the tree is fitted
+    on, and `sample` the most in all; `local`: below how many a shard compares directly."""
 
     shingle: int = 3
     max_bits: int = 2
     leaf: int = 8192
-    sample: int = 1 << 18
+    per_leaf: int = 64
+    sample: int = 1 << 20
     local: int = 384
 
 
@@ -104,7 +105,7 @@ class VantageTree:
     def __init__(self, sample: np.ndarray, leaves: int, seed: int = 7):
         self.vantage, self.radius, self.inside, self.outside = [], [], [], []
         self.leaves, rng = 0, np.random.default_rng(seed)
-        limit = max(64, len(sample) // max(leaves, 1))
+        limit = max(16, len(sample) // max(leaves, 1))
         self.root = self._grow(np.unique(sample), limit, rng)
         self.vantage = np.array(self.vantage, np.uint64)
         self.radius = np.array(self.radius, np.int64)
@@ -178,7 +179,7 @@ def linked(nodes: DataFrame, settings: SimHash = SimHash()) -> DataFrame:
     """Links (a, b) that join what `nodes` (node, bits; both distinct) links within `max_bits` bits: in
     every shard from each member to the least it reaches there. `nodes` should be a stored table."""
     total = nodes.count()
-    share = min(1.0, settings.sample / max(total, 1))
+    share = min(1.0, settings.per_leaf / settings.leaf, settings.sample / max(total, 1))
     chosen = F.pmod(F.xxhash64("bits"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
     rows = nodes.where(chosen).select("bits").limit(2 * settings.sample).toPandas()
     sample = rows["bits"].to_numpy(np.int64).view(np.uint64)
