@@ -4,9 +4,7 @@ An n-gram of up to 7 bytes is a long: its bytes, the first one highest. So the c
 `g >> 8` and its ending without the first byte `g & mask`, and all counts are joined by plain keys, sharded
 over the cluster. A context has at most 256 continuations, so the windows over contexts are small.
 
-For scoring, the estimated tables are folded into arrays of a fixed number of slots (a parameter), the
-mean by count where n-grams share one; that bounds what is broadcast, whatever the corpus. Counting and
-estimation are exact and cover all rows.
+Counting and estimation are exact and cover all rows.
 """
 
 from __future__ import annotations
@@ -21,8 +19,6 @@ from pyspark.sql import types as T
 
 from feedrank.llm.common import rows_of, stored, unused
 
-#: Prime below 2**31 that spreads n-grams over slots.
-PRIME = 2147483629
 BLOCK = 1 << 20
 
 
@@ -46,15 +42,6 @@ def keys(data: bytes, order: int):
         yield key
 
 
-def slots_of(key: np.ndarray, slots: int) -> np.ndarray:
-    """The slot of each n-gram; `slots` is a power of two."""
-    return (key % np.uint64(PRIME) & np.uint64(slots - 1)).astype(np.int64)
-
-
-def slot(key: Column, slots: int) -> Column:
-    return (key % F.lit(PRIME)).bitwiseAND(F.lit(slots - 1))
-
-
 def counted(docs: DataFrame, order: int, flush: int = 1 << 22) -> DataFrame:
     """Rows (key, c0): how often each n-gram is in the texts of `docs` (text). Each task adds up what it has read
     before anything is shuffled, and passes it on before that gets large."""
@@ -141,17 +128,6 @@ def interpolated(counts: DataFrame, order: int, below: DataFrame | None) -> Data
     return rows.select("key", "c0", "context", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"), "gamma")
 
 
-def folded(table: DataFrame, key: str, value: Column, weight: Column, slots: int) -> np.ndarray:
-    """An array of `slots` 32-bit floats on the driver: the mean of `value` by `weight` over the n-grams of each slot,
-    NaN where there is none."""
-    parts = table.select(slot(F.col(key), slots).alias("slot"), value.alias("v"), weight.cast("double").alias("w"))
-    rows = parts.groupBy("slot").agg(
-        (F.sum(F.col("v") * F.col("w")) / F.sum("w")).cast("float").alias("v")).select(F.col("slot").cast("int"), "v").toPandas()
-    out = np.full(slots, np.nan, np.float32)
-    out[rows["slot"].to_numpy(np.int64)] = rows["v"].to_numpy(np.float32)
-    return out
-
-
 def scored(docs: DataFrame, score: Callable[[str | None], tuple[float, int]], text_column: str) -> tuple[DataFrame, Column]:
     """`docs` with two more columns, the score of a whole text and the number of units it is a sum over; and the
     score per unit as a column of that."""

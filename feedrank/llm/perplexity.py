@@ -1,8 +1,8 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
 N-grams of bytes are counted over all trusted texts and estimated order by order as joins of Spark tables
-that are sharded by n-gram. The estimates are folded into arrays of fixed size for scoring, so each
-document's perplexity is computed where it is read. A document passes if its perplexity is at most
+that are sharded by n-gram. For scoring all estimates are broadcast in sorted parts of bounded size, of which a task holds
+one at a time, so each document's perplexity is computed where it is read, and is that of the whole model. A document passes if its perplexity is at most
 a quantile of its language's trusted texts that the model has not seen; every language has its own.
 
 Defined results: null and blank texts have the perplexity of one space; a text whose language has no
@@ -13,19 +13,22 @@ count as rows; an empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedrank.llm import kneser_ney as kn
+from feedrank.llm import lookup
 from feedrank.llm.common import release, stored, stored_since
 
 
 @dataclass(frozen=True)
 class Perplexity:
-    """`quantile` of unseen trusted perplexities that still passes; `slots` of the longest n-grams' table, half as
-    many for each byte less."""
+    """`quantile` of unseen trusted perplexities that still passes; `slots`: n-grams that are broadcast, and held by a
+    task, at a time (12 bytes each)."""
 
     order: int = 5
     slots: int = 1 << 21
@@ -36,32 +39,24 @@ class Perplexity:
 
 @dataclass
 class Model:
-    p: list[np.ndarray]  # by order from 1: log probability
-    left: list[np.ndarray]  # by order from 1: log of what its context leaves to shorter ones
-
-    def total(self, text: str | None) -> tuple[float, int]:
-        """The log-likelihood of the whole text and its bytes."""
-        order, total, n = len(self.p), 0.0, 0
-        for key in kn.keys(kn.prepared(text, order), order):
-            n += len(key)
-            open_, value = np.arange(len(key)), np.zeros(len(key), np.float32)
-            for k in range(order, 0, -1):
-                short = key[open_] & np.uint64((1 << 8 * k) - 1)
-                found = self.p[k - 1][kn.slots_of(short, len(self.p[k - 1]))]
-                known = ~np.isnan(found)
-                value[open_[known]] += found[known]
-                open_, short = open_[~known], short[~known]
-                if not len(open_):
-                    break
-                value[open_] += np.nan_to_num(self.left[k - 1][kn.slots_of(short >> np.uint64(8), len(self.left[k - 1]))])
-            value[open_] -= np.log(256)
-            total += float(value.sum(dtype=np.float64))
-        return total, n
-
-
-def slots_of(settings: Perplexity, order: int) -> int:
-    """The places of the table of one order; short n-grams have one each."""
-    return min(settings.slots >> settings.order - order, 1 << 8 * order)
+    """`tables` in the order in which backing off needs them: from the longest n-grams to bytes, the log probabilities by
+    n-gram and then by context the log of what it leaves to shorter ones."""
+
+    order: int
+    tables: lookup.Tables
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """The log probability of the last byte of each n-gram of `order` bytes."""
+        open_, value = np.arange(len(keys)), np.zeros(len(keys))
+        for table, pieces in groupby(self.tables.pieces(), lambda piece: piece[0]):
+            k = self.order - table // 2
+            short = keys[open_] & np.uint64((1 << 8 * k) - 1)
+            known, log = lookup.found(pieces, short >> np.uint64(8) if table % 2 else short)
+            value[open_] += log
+            if table % 2 == 0:
+                open_ = open_[~known]
+        value[open_] -= np.log(256)
+        return value
 
 
 def fit(trusted: DataFrame, settings: Perplexity = Perplexity(), text_column: str = "text") -> Model:
@@ -70,19 +65,21 @@ def fit(trusted: DataFrame, settings: Perplexity = Perplexity(), text_column: st
     top = stored(kn.counted(trusted.select(trusted[text_column].alias("text")), order), "counts")
     tables = kn.continuation(top.select("key"), order - 1)
     tables.append(stored(kn.interpolated(top, order, tables[-1] if tables else None), f"order{order}"))
-    p, left = [], []
+    entries = []
     for k, table in enumerate(tables, 1):
-        p.append(kn.folded(table, "key", F.log("p"), F.col("c0"), slots_of(settings, k)))
-        contexts = table.groupBy("context").agg(F.first("gamma").alias("gamma"), F.sum("c0").alias("w"))
-        left.append(kn.folded(contexts, "context", F.log("gamma"), F.col("w"), slots_of(settings, k - 1)))
+        contexts = table.groupBy("context").agg(F.first("gamma").alias("gamma"))
+        at = 2 * (order - k)
+        entries.append(table.select(F.lit(at).alias("table"), "key", F.log("p").alias("value")))
+        entries.append(contexts.select(F.lit(at + 1).alias("table"), F.col("context").alias("key"), F.log("gamma").alias("value")))
+    found = lookup.tables(reduce(DataFrame.unionByName, entries), settings.slots)
     release(spark, stored_since(mark))
-    return Model(p, left)
+    return Model(order, found)
 
 
 def perplexities(docs: DataFrame, model: Model, text_column: str = "text", out: str = "perplexity") -> DataFrame:
     """`docs` without the text and with the perplexity per byte of the whole text as `out`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows, mean = kn.scored(docs, lambda text: shared.value.total(text), text_column)
+    order = model.order
+    rows, mean = lookup.scored(docs, lambda text: kn.keys(kn.prepared(text, order), order), model.logs, text_column)
     kept = (F.col(f"`{c}`") for c in docs.columns if c not in (text_column, out))
     return rows.select(*kept, F.exp(-mean).alias(out))
 

@@ -138,6 +138,20 @@ def test_perplexity_is_that_of_the_definition(make_docs, rng, no_docs):
     assert math.isclose(perplexity.perplexities(make_docs(["abc"]), untaught).first()["perplexity"], 256, rel_tol=1e-5)
 
 
+def test_perplexity_is_exact_in_many_parts(make_docs, rng):
+    """Far more n-grams than a part holds: each is found under its own key, and unseen ones back off."""
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(40)] + ["Ü é"]
+    order, new = 3, [*texts[:3], "zq jz xx", "abc" * 50, "", None]
+    p = plain_model(texts, order)
+    model = perplexity.fit(make_docs(texts), perplexity.Perplexity(order=order, slots=64))
+    assert len(model.tables.parts) > 5
+    found = {r["doc_id"]: r["perplexity"] for r in perplexity.perplexities(make_docs(new), model).collect()}
+    for i, text in enumerate(new):
+        d = kn.prepared(text, order)
+        logs = [plain_log(p, d[j : j + order]) for j in range(len(d) - order + 1)]
+        assert math.isclose(found[i], math.exp(-sum(logs) / len(logs)), rel_tol=1e-5)
+
+
 def test_thresholds_are_by_language(spark):
     scored = spark.createDataFrame(
         [("a", float(i)) for i in range(100)] + [("b", 1000.0 + i) for i in range(100)] + [(None, 5.0)], "lang string, perplexity double")
