@@ -191,3 +191,19 @@ def test_continuation_counts_are_of_different_words(spark):
     counts = {r["word"]: (r["k0"], r["k1"], r["k"]) for r in toxicity.continuation_counts(toxicity.followed(texts)).collect()}
     b, a = (int(toxicity.hashed(w)[0]) for w in "ba")
     assert counts[b] == (1, 2, 3) and counts[a] == (2, 0, 2)
+
+
+def test_toxicity_counts_all_labels_and_keeps_all_words(spark, make_docs):
+    """With few labels for the curve and few words in a part; and a word after more words than 16 bits tell apart."""
+    toxic = [int(i % 2) for i in range(600)]
+    docs = make_docs([" ".join(f"bad{j}x good{j + i % 7}" if t else f"good{j} fine{i}" for j in range(i % 40, i % 40 + 12)) for i, t in enumerate(toxic)])
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    whole = toxicity.fit(docs, labels)
+    parts = toxicity.fit(docs, labels, toxicity.Toxicity(slots=16, most_labels=40))
+    words = toxicity.hashed(" ".join(f"bad{j}x" for j in range(51)))
+    assert len(parts.words.parts) > 1 and len(set(words.tolist())) == 51
+    assert (whole.values(words) > 0).sum() > 40 and (parts.values(words) == whole.values(words)).all()
+    n = 80_000
+    texts = spark.createDataFrame([(0, " ".join(f"w{i} the" for i in range(n)))], "`class` int, text string")
+    counts = toxicity.continuation_counts(toxicity.followed(texts)).where(F.col("word") == int(toxicity.hashed("the")[0]))
+    assert counts.first()["k0"] == n
