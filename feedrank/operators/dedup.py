@@ -9,10 +9,13 @@ undecided item that is the first one on all of its keys, and drops those that sh
 That is aggregation with map-side combining and one join on the key, so a key shared by a third of
 all items costs no more than any other.
 
-Only where a round decides hardly anything, as in long chains of alternating keys, what is left is
-decided in order: items are put into connected groups by their keys, the groups are spread over the
-tasks, and each task reads its groups in order, keeping in memory the taken keys of one group at a
-time. Both ways are exact.
+Where a round decides hardly anything, chains are decided at once: an item with a single undecided
+item before it is kept iff that one is not, so a row of such items hangs on the first one that is
+not of this kind, and pointer doubling over joins finds that one and whether it is an even number
+of steps away. Where that too decides hardly anything, the earliest undecided items, about
+RANGE_ITEMS of them, are decided in order, connected group by connected group, and what they block
+is removed by a join before the next ones. All three ways are exact, and no task holds more than
+the keys of RANGE_ITEMS items.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from feedrank.functions.urls import url_domain
 from feedrank.operators.components import components
 from feedrank.session import release, stored, stored_since
 
-SLOW_ROUND = 0.2  # after a round that decides less than this share, the rest is decided in order
+SLOW_ROUND = 0.2  # after a round that decides less than this share, the next way is taken
+RANGE_ITEMS = 100_000  # about so many items are decided in order at a time
 
 # `item` is the position times four plus the number of keys (1 to 3), so that a plain min()
 # finds the first item of a key and still tells how many keys that item has.
@@ -95,6 +99,53 @@ def _unblocked(undecided: DataFrame, kept: DataFrame, scope: Sequence[str]) -> D
     )
 
 
+def _kept_in_chains(undecided: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Kept ones of `undecided`: items with none before them, and those that a row of items with a single one
+    before them links to one of these by an even number of steps."""
+    scope, mark = list(scope), len(stored_since(0))
+    rows = undecided.select(*scope, "item", F.explode("keys").alias("key"))
+    first = rows.groupBy(*scope, "key").agg(F.min("item").alias("first"))
+    rows = rows.join(first, [*scope, "key"])
+    second = rows.where("item > first").groupBy(*scope, "key").agg(F.min("item").alias("second"))
+    before = rows.join(second, [*scope, "key"], "left").groupBy(*scope, "item").agg(
+        F.min(F.when(F.col("first") < F.col("item"), F.col("first"))).alias("least"),
+        F.max(F.when(F.col("first") < F.col("item"), F.col("first"))).alias("most"),
+        F.max(F.coalesce(F.col("item") > F.col("second"), F.lit(False))).alias("more"))
+    single = ~F.col("more") & F.col("least").eqNullSafe(F.col("most"))
+    links = stored(before.select(
+        *scope, "item", F.when(single, F.col("least")).alias("up"), F.lit(True).alias("odd"),
+        (single & F.col("least").isNull()).alias("root")), "links")
+    # `up` is an item before, by an odd number of steps or not; null at the first of a row.
+    steps = stored(links.where("up IS NOT NULL").drop("root"), "steps")
+    while True:
+        old = stored_since(mark)[1:]
+        above = steps.select(*scope, F.col("item").alias("up"), F.col("up").alias("top"), F.col("odd").alias("odd_above"))
+        joined = steps.join(above, [*scope, "up"], "left")
+        longer = joined.select(
+            *scope, "item", F.coalesce("top", "up").alias("up"),
+            F.when(F.col("top").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("odd_above")).alias("odd"),
+            F.col("top").isNotNull().alias("moved"))
+        moved = stored(longer, "steps")
+        release(undecided.sparkSession, old)
+        steps = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    roots = links.where("root").select(*scope, "item")
+    even = steps.where("NOT odd").join(roots.withColumnRenamed("item", "up"), [*scope, "up"], "left_semi").select(*scope, "item")
+    kept = undecided.join(roots.unionByName(even), [*scope, "item"], "left_semi").select(*scope, "item", "keys")
+    before_kept = stored_since(mark)
+    result = stored(kept, "winners")
+    release(undecided.sparkSession, before_kept)
+    return result
+
+
+def _earliest(undecided: DataFrame) -> DataFrame:
+    """About RANGE_ITEMS items, none of which has an undecided one before it that is not among them."""
+    share = min(RANGE_ITEMS / max(undecided.count(), 1), 1.0)
+    last = undecided.agg(F.percentile_approx("item", share, 100_000)).first()[0]
+    return undecided.where(F.col("item") <= last)
+
+
 def _kept_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in the order of (component, item), those that no kept one before them blocks."""
     component, taken = None, set()
@@ -132,13 +183,20 @@ def survivors(items: DataFrame, scope: Sequence[str] = ("run_date",), order: str
     kept = [keyed.filter(F.size("keys") == 0)]
     undecided = keyed.filter(F.size("keys") > 0)
     rows, before = undecided.count(), None
-    while rows and (before is None or rows <= before * (1 - SLOW_ROUND)):
-        winners = stored(_first_on_all_keys(undecided, scope), "winners")
+    way = 0
+    while rows:
+        # A fast round is followed by plain ones; after a slow one, chains are decided, then a range, and so on.
+        if before is not None:
+            way = 0 if rows <= before * (1 - SLOW_ROUND) else way % 2 + 1
+        if way == 0:
+            winners = stored(_first_on_all_keys(undecided, scope), "winners")
+        elif way == 1:
+            winners = _kept_in_chains(undecided, scope)
+        else:
+            winners = stored(_decided_in_order(_earliest(undecided), scope).select(*scope, "item", "keys"), "winners")
         kept.append(winners)
         undecided = stored(_unblocked(undecided, winners, scope), "undecided")
         rows, before = undecided.count(), rows
-    if rows:
-        kept.append(_decided_in_order(undecided, scope))
     rounds = stored_since(mark)
     result = stored(reduce(DataFrame.unionByName, kept).select(*scope, position), "survivors")
     release(spark, rounds)

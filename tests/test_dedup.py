@@ -92,6 +92,28 @@ def test_long_chain_needs_few_rounds(spark, monkeypatch):
     assert len(rounds) < 4
 
 
+def test_chain_is_not_decided_by_one_task(spark, monkeypatch):
+    """All items in one chain, of which only pointer doubling decides more than a few a round."""
+    n = 400
+    rows = [("d", i, f"http://h/{(i + 1) // 2}", f"t{i // 2}", f"c{i}") for i in range(n)]
+    read = []
+    original = d._decided_in_order
+    monkeypatch.setattr(d, "_decided_in_order", lambda u, *a: read.append(u.count()) or original(u, *a))
+    assert _kept(spark, rows) == [("d", i) for i in range(0, n, 2)]
+    assert not read
+
+
+def test_what_is_decided_in_order_is_bounded(spark, monkeypatch):
+    """Each item meets several before it, so that neither rounds nor chains decide much."""
+    rows = [("d", i, f"http://h/{i // 3}", f"t{(i + 1) // 3}", f"c{(i + 2) // 3}") for i in range(120)]
+    read = []
+    original = d._decided_in_order
+    monkeypatch.setattr(d, "RANGE_ITEMS", 40)
+    monkeypatch.setattr(d, "_decided_in_order", lambda u, *a: read.append(u.count()) or original(u, *a))
+    assert _kept(spark, rows) == _fold(rows)
+    assert read and max(read) <= 40
+
+
 def test_hot_key_is_whole_and_split(spark):
     """A third of all items share one URL; the others are unique."""
     rows = [
