@@ -16,7 +16,8 @@ partition. Nothing is shuffled; each partition ends with windows of powers of tw
 
 Defined results: a null or empty text is a document of its end id alone; repeated rows are packed
 each for itself; an empty table gives no rows; a document longer than a window is cut; other
-columns are neither read nor returned.
+columns are neither read nor returned; of cuts that cost the same, the one with the longest window
+is taken, unless a window of a power of two is as cheap.
 """
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ class _Stream:
         sentence = np.flatnonzero(self.is_end[ids]) + 1
         total = len(ids)
         if final:  # binary places of the rest, so that the last windows need no padding
-            tail = total - np.cumsum([1 << k for k in range(p.size.bit_length()) if total % p.size >> k & 1])
+            powers = np.array([1 << k for k in range(p.size.bit_length()) if total % p.size >> k & 1], np.int64)
+            tail = total - np.cumsum(powers)
             sentence = np.concatenate([sentence, tail[tail > 0]])
         places = _places(ends, sentence, total, p.size)
         penalties = np.full(len(places), p.free_cut)

@@ -15,19 +15,21 @@ each member to the least member that it reaches there, so a group of copies cost
 proportion to its size. Equal fingerprints are merged before the search.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; repeated
-rows have equal fingerprints and so one component; a null doc_id gets a fingerprint but takes no part
-in the search (its component is null); an empty table gives no rows.
+rows have equal fingerprints and so one component; a row with a null doc_id is linked like any other but
+names no component, and its own component_id is null; a very long text is hashed in blocks, whole; other
+columns are neither read nor returned, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedrank.llm.common import rows_of, stored
@@ -68,16 +70,21 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (doc_id, bits): the fingerprint as a signed long with the same bits."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text",
+                 marks: Sequence[Column] = ()) -> DataFrame:
+    """Rows (doc_id, bits, m0, m1, ...): the fingerprint as a signed long with the same bits, and for each of `marks`
+    its value, a long that tells rows of one id apart."""
+    extra = [f"m{i}" for i in range(len(marks))]
 
     def run(batches):
         for rows in rows_of(batches):
             bits = np.array([fingerprint(r[1], shingle) for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(bits)], ["doc_id", "bits"])
+            kept = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, *range(2, len(extra) + 2))]
+            yield pa.RecordBatch.from_arrays([kept[0], pa.array(bits), *kept[1:]], ["doc_id", "bits", *extra])
 
-    narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, bits long")
+    narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"),
+                         *(mark.cast("long").alias(name) for mark, name in zip(marks, extra)))
+    return narrow.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "bits", *extra)))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -207,15 +214,26 @@ def linked(nodes: DataFrame, settings: SimHash = SimHash()) -> DataFrame:
     return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
+def groups(prints: DataFrame, settings: SimHash = SimHash()) -> DataFrame:
+    """Rows (bits, component, component_id) for the distinct fingerprints of `prints` (doc_id, bits), which should be
+    a stored table: the least fingerprint, as a signed long, and the smallest doc_id of all that are reachable
+    over links. Fingerprints are the nodes, so rows that repeat a doc_id with other texts are not mixed up."""
+    nodes = stored(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(linked(nodes.select(F.col("bits").alias("node"), "bits"), settings))
+    members = stored(found.join(nodes, found["node"] == nodes["bits"]).select("node", "component", "least"), "members")
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = members.select("node", "component").join(names, "component")
+    single = F.col("component").isNull()
+    return nodes.join(named, nodes["bits"] == named["node"], "left").select(
+        "bits", F.when(single, F.col("bits")).otherwise(F.col("component")).alias("component"),
+        F.when(single, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(prints: DataFrame, settings: SimHash = SimHash()) -> DataFrame:
     """Rows (doc_id, bits, component_id) for `prints` (doc_id, bits), which should be a stored table. The
     component is named by the smallest doc_id that is reachable over links, the document itself included."""
-    merged = prints.where("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node"))
-    nodes = stored(merged, "nodes")
-    found = components(linked(nodes, settings))
-    named = nodes.join(found, "node", "left").select(
-        F.col("bits").alias("__bits"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, prints["bits"] == named["__bits"], "left").select(
+    found = groups(prints, settings).select(F.col("bits").alias("__bits"), "component_id")
+    return prints.join(found, prints["bits"] == found["__bits"], "left").select(
         "doc_id", "bits", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -108,6 +108,24 @@ def test_packing_covers_every_id_with_little_padding(make_docs, rng, odd_texts):
     assert sum(packing.padding(n, 64) for n in lengths) < 0.2 * sum(lengths)
 
 
+def test_streams_of_any_length_are_packed(spark):
+    """Streams of no ids, one, about a sequence, and whole sequences, in one block and in several."""
+    def text(ids):  # with the end id
+        return " ".join(["the"] * (ids - 1))
+
+    assert [len(plain_ids(text(n))) for n in (1, 2, 2047, 2048)] == [1, 2, 2047, 2048]
+    for size, lengths in ((2048, (1, 2047, 2048, 2049, 4096)), (64, (1, 63, 64, 65, 128, 640))):
+        for n in lengths:
+            for parts in ([n], [1] * min(n, 130), [n - n // 2, n // 2] if n > 1 else [1], [n, size, n]):
+                texts = {i: text(m) for i, m in enumerate(parts)}
+                docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+                for block in (1 << 20, size):
+                    found = packing.pack(docs, JSON, packing.Packing(size=size, block=block, undecided=1)).collect()
+                    check_pieces(found, texts, size)
+    empty = spark.createDataFrame([(0, "the the")], "doc_id long, text string").repartition(8)
+    check_pieces(packing.pack(empty, JSON).collect(), {0: "the the"}, 2048)
+
+
 def test_cuts_cost_the_least(rng):
     def brute(places, penalties, size):
         best = {0: 0}

@@ -1,16 +1,18 @@
+import random
+
 import corpus_pipeline
 import pytest
 
 import __spark_entry__ as driver
 from feedrank.llm import queries
 from llm.prose import prose
+from llm.test_bpe_and_packing import check_pieces
+from llm.test_near_dedup import plain_components, plain_fingerprint
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Tables with clean, copied, poor and toxic documents, and the odd ones."""
-    import random
-
     rng, path = random.Random(8), tmp_path_factory.mktemp("tables")
     texts, labels = [], []
     for i in range(600):
@@ -77,3 +79,37 @@ def test_queries_take_no_documents(spark, no_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name in [*queries.QUERIES, "pipeline"]:
         assert driver.queries()[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_near_dedup_loses_no_text_of_a_repeated_id(spark, no_docs):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (3, a), (3, b), (5, b), (5, b), (5, c), (5, c), (None, c), (None, d), (None, d), (None, a), (7, d + " "), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], no_docs.schema).repartition(4)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.distinct(spark, docs, "").collect())
+    assert kept == sorted([("1", a), ("3", b), ("5", c), ("7", d + " "), ("9", None)])
+
+
+def plain_distinct(rows):
+    """Of each component of fingerprints the smallest ids, by comparing all pairs."""
+    prints = [plain_fingerprint(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    found = plain_components(links, range(len(rows)))
+    return sorted(min(rows[i][0] for i in found if found[i] == c) for c in set(found.values()))
+
+
+def test_near_dedup_equals_brute_force(spark, no_docs):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.choice([3, 8, 300])) for _ in range(60)]
+    texts += [" ".join(t.split(" ")[: -rng.randint(1, 2)]) for t in texts] + texts[:20]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], no_docs.schema).repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()) == plain_distinct(rows)
+
+
+def test_packing_stage_covers_every_document(spark, folder):
+    path, texts = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    pieces = corpus_pipeline.packed(spark, docs, path).collect()
+    check_pieces(pieces, {r["doc_id"]: r["text"] for r in docs.collect()}, 2048)
