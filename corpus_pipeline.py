@@ -5,8 +5,9 @@ begins; all but the last return the columns of `documents`. What a stage stores
 is deleted when the next stage begins. The stages have no common form in SQL (trained models, packing), so
 ORACLE_SQL is None; tests hold each stage against a brute-force version.
 
-Defined results: as the operators define them. Documents with a null doc_id pass near-dedup as they are; of rows
-that repeat a doc_id one stays there.
+Defined results: as the operators define them. Near-dedup decides by rows: those that repeat a doc_id with other
+texts are documents of their own, of rows that are equal in all columns one stays, and documents with a null
+doc_id stay only where no other of their group has one.
 """
 
 from __future__ import annotations
@@ -68,18 +69,29 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id."""
+    """Of each component of near duplicates one row: that with the smallest doc_id, then fingerprint, then hashes."""
     settings = simhash.SimHash(shingle=3, max_bits=2)
-    prints = stored(simhash.fingerprints(docs, settings.shingle), "prints")
-    found = simhash.near_duplicates(prints, settings)
-    dropped = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(
-        prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = [F.xxhash64(*columns), F.hash(*columns)]  # tell rows of one id apart
+    prints = stored(simhash.fingerprints(docs, settings.shingle, marks=row), "prints")
+    found = simhash.groups(prints.select("doc_id", "bits"), settings).select("bits", "component")
+    rows = stored(
+        prints.groupBy("doc_id", "bits", "m0", "m1").agg(F.count(F.lit(1)).alias("times")).join(found, "bits"), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "bits", "m0", "m1")
+    firsts = rows.groupBy("component").agg(F.min(key).alias("kept"))
+    marked = rows.join(firsts, "component").select("doc_id", "m0", "m1", "times", (key != F.col("kept")).alias("gone"))
+
+    def of(decided: DataFrame, how: str) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(decided["__d"]) & (row[0] == decided["__m0"]) & (row[1] == decided["__m1"])
+        return docs.join(decided, same, how).select(*columns)
+
+    names = [F.col("doc_id").alias("__d"), F.col("m0").alias("__m0"), F.col("m1").alias("__m1")]
+    decided = stored(marked.where("gone OR times > 1").select(*names, "gone"), "decided")
+    left = of(decided, "left_anti")
+    copies = decided.where("NOT gone")
+    if copies.isEmpty():
         return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return left.unionByName(of(copies, "left_semi").distinct())
 
 
 @_stage
