@@ -113,4 +113,32 @@ SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines,
   CASE WHEN d.doc_id IN (SELECT doc_id FROM gone) THEN coalesce(c.text, '') ELSE d.text END AS text
 FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id"""
 
-ORACLES = {"op3_quality_rules": OP3, "op6_line_dedup": OP6}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _plain_words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP11 = rf"""WITH items AS (SELECT item_id, {_plain_words('text')} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), docs AS (SELECT doc_id, {_plain_words('text')} AS w FROM documents),
+found AS (
+  SELECT doc_id, i, n, s FROM (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))
+  ) WHERE s IN (SELECT s FROM windows)
+), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY 1
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT f.doc_id, v.item_id::VARCHAR AS item FROM found f JOIN windows v ON v.s = f.s WHERE v.item_id IS NOT NULL)
+  GROUP BY 1
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN listed l ON l.doc_id = d.doc_id"""
+
+ORACLES = {"op3_quality_rules": OP3, "op6_line_dedup": OP6, "op11_decontamination": OP11}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedrank.llm import (
-    bpe, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
+    bpe, decontamination, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
 )
 from feedrank.llm.oracle import ORACLES  # noqa: F401  registered with QUERIES
 from feedrank.llm.common import ready, release, shared_folder, stored, stored_since, words
@@ -114,6 +114,13 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.containment(own, other).alias("contained_in_edited"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -125,5 +132,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_shards": op9_token_shards,
     "op10_sketches": op10_sketches,
+    "op11_decontamination": op11_decontamination,
 }
 
