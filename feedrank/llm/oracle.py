@@ -141,4 +141,33 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN listed l ON l.doc_id = d.doc_id"""
 
-ORACLES = {"op3_quality_rules": OP3, "op6_line_dedup": OP6, "op11_decontamination": OP11}
+OP12 = rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, (VALUES (1), (2), (3)) lengths(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY 1),
+candidates AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS p FROM counts WHERE k > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(p[1:2], ' ') AS phrase, f FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(p[2:3], ' '), f FROM candidates WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer g ON g.lang = c.lang AND g.phrase = c.phrase
+  WHERE c.k = 3 OR g.f IS NULL OR 100 * g.f < 50 * c.f
+), rated AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, cut,
+    ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[cut + 1:c.k], ' ')
+), lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000"""
+
+ORACLES = {"op3_quality_rules": OP3, "op6_line_dedup": OP6, "op11_decontamination": OP11,
+           "op12_collocations": OP12}

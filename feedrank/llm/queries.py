@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedrank.llm import (
-    bpe, decontamination, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
+    bpe, collocations, decontamination, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
 )
 from feedrank.llm.oracle import ORACLES  # noqa: F401  registered with QUERIES
 from feedrank.llm.common import ready, release, shared_folder, stored, stored_since, words
@@ -121,6 +121,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -133,5 +137,6 @@ QUERIES = {
     "op9_token_shards": op9_token_shards,
     "op10_sketches": op10_sketches,
     "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
 }
 
