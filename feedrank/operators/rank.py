@@ -25,19 +25,33 @@ def ranking(now: Column) -> list[Column]:
     ]
 
 
+def first_of_each(
+    rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", parts: int = 1
+) -> DataFrame:
+    """The first `n` rows of each group in the given order, numbered from 1 in `rank`.
+
+    A task passes on no more than its own first `n` of each group, so what is shuffled is bounded by
+    tasks, groups and `n`, however large a group is. With `parts`, groups are first cut in so many
+    parts by a hash of the order, so that one task ends up with `parts` times `n` rows of a group at most,
+    whatever the number of tasks. Ties should be broken by `order`.
+    """
+    rows.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(2**31 - 1))
+    n = max(n, 0)
+    groups = [Window.partitionBy(*by).orderBy(*order)]
+    if parts > 1:
+        dealt = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+        groups.insert(0, Window.partitionBy(*by, dealt).orderBy(*order))
+    for group in groups:
+        rows = rows.withColumn(rank, F.row_number().over(group)).filter(F.col(rank) <= n)
+    return rows
+
+
 def top_n(
     items: DataFrame, n: int, now: Column, by: Sequence[str] = ("run_date",)
 ) -> DataFrame:
-    """The `n` best items of each group, numbered from 1 in `rank`; of all items if `by` is
-    empty. A group is first cut to its `n` best in each of many parts, as many as shuffles have
-    partitions, so a date with very many items is ranked by many tasks."""
-    n = max(n, 0)
+    """The `n` best items of each group, numbered from 1 in `rank`; of all items if `by` is empty."""
     order = ranking(now)
     if not by:
-        best = items.orderBy(*order).limit(n)
+        best = items.orderBy(*order).limit(max(n, 0))
         return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = Window.partitionBy(*by, F.pmod(F.xxhash64("ord"), F.lit(parts))).orderBy(*order)
-    items = items.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= n)
-    group = Window.partitionBy(*by).orderBy(*order)
-    return items.withColumn("rank", F.row_number().over(group)).filter(F.col("rank") <= n)
+    return first_of_each(items, by, order, n)
