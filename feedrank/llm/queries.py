@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedrank.llm import (
-    bpe, collocations, decontamination, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
+    bpe, collocations, decontamination, hard_negatives, language_id, line_dedup, packing, perplexity, quality_rules, simhash, sketches, token_shards, toxicity,
 )
 from feedrank.llm.oracle import ORACLES  # noqa: F401  registered with QUERIES
 from feedrank.llm.common import ready, release, shared_folder, stored, stored_since, words
@@ -125,6 +125,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 get the next label; those divisible by 100 are the anchors."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -138,5 +146,6 @@ QUERIES = {
     "op10_sketches": op10_sketches,
     "op11_decontamination": op11_decontamination,
     "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 

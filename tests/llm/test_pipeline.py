@@ -1,9 +1,11 @@
 import random
 
 import corpus_pipeline
+import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from conftest import SMALL
 from feedrank.llm import queries
 from llm.prose import prose
 from llm.test_bpe_and_packing import check_pieces
@@ -58,7 +60,19 @@ def test_run_equals_its_stages(spark, folder):
 
 def test_every_operator_has_its_query():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
-    assert numbers == set(range(1, 11)) and set(queries.QUERIES) <= set(driver.queries())
+    assert numbers == set(range(1, 14)) and set(queries.QUERIES) <= set(driver.queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_its_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "labels", "benchmark", "embeddings"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    result, relation = driver.queries()[name](spark, SMALL), duck.sql(driver.oracle_sql()[name])
+    columns = sorted(result.columns)
+    assert sorted(relation.columns) == columns
+    rows, places = sorted(repr(tuple(r[c] for c in columns)) for r in result.collect()), [relation.columns.index(c) for c in columns]
+    assert rows == sorted(repr(tuple(r[p] for p in places)) for r in relation.fetchall()) and rows
 
 
 def test_stages_take_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
@@ -77,6 +91,8 @@ def test_stages_take_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
 def test_queries_take_no_documents(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name in [*queries.QUERIES, "pipeline"]:
         assert driver.queries()[name](spark, str(tmp_path)).count() == 0, name
 
