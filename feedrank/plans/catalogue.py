@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedrank.functions import scoring, text, times, urls
 from feedrank.operators.dedup import dedup, first_per_key
 from feedrank.operators.enrich import content_hash, effective_source_id, enrich, with_identity
+from feedrank.operators.keyword_table import table_hits, table_points
 from feedrank.operators.keywords import keyword_hits
 from feedrank.operators.rank import select_candidates, top_n
 from feedrank.operators.stats import run_stats, source_counts
@@ -324,6 +325,36 @@ def keyword_join(spark, sf_dir):
     return hits.select("doc_id", "keyword_group", "keyword", "weight")
 
 
+def _table_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword table: the words of at least six letters of the benchmark items, and how each item begins."""
+    items = table(spark, sf_dir, "benchmark")
+    words = items.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), 1)).alias("keyword")).select(
+        F.concat(F.lit("letters "), (F.length("keyword") % 5).cast("string")).alias("keyword_group"), "keyword",
+        (F.length("keyword") % 4 + 0.1).cast("double").alias("weight"))
+    begins = items.select(
+        F.lit("begin").alias("keyword_group"), F.substring("text", 1, 90).alias("keyword"), F.lit(7.5).alias("weight"))
+    return words.unionByName(begins)
+
+
+def _table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return table_hits(documents, F.col("text"), _table_keywords(spark, sf_dir), ["doc_id"])
+
+
+@query
+def keyword_table_join(spark, sf_dir):
+    """Documents with the keywords of a table that grows by itself."""
+    return _table_hits(spark, sf_dir)
+
+
+@query
+def keyword_table_score(spark, sf_dir):
+    """Points of all documents by that table, with a cap."""
+    points = table_points(_table_hits(spark, sf_dir), ["doc_id"], 60.0)
+    documents = table(spark, sf_dir, "documents").select("doc_id")
+    return documents.join(points, "doc_id", "left").select("doc_id", F.coalesce("points", F.lit(0.0)).alias("points"))
+
+
 @query
 def popularity_score(spark, sf_dir):
     k, votes = F.get_json_object("props", "$.k").cast("bigint"), F.col("value").cast("bigint")

@@ -470,6 +470,18 @@ list_days AS (
   SELECT run_date, chunk, doc_id, min({_ord('0', 'part_pos', 'row_pos')}) AS ord
   FROM listed WHERE row_pos < {MAX_PER_LIST} AND chunk % 8 <> 5 GROUP BY ALL
 )"""
+_TABLE_HITS = """WITH words AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS keyword FROM benchmark),
+keywords AS (
+  SELECT DISTINCT 'letters ' || length(keyword) % 5 AS keyword_group, keyword, (length(keyword) % 4 + 0.1)::DOUBLE AS weight FROM words
+  UNION SELECT 'begin', substr(text, 1, 90), 7.5::DOUBLE FROM benchmark
+), hits AS (
+  SELECT doc_id, keyword_group, keyword, weight FROM documents JOIN keywords ON contains(lower(text), lower(keyword)) WHERE keyword <> ''
+)"""
+ORACLES["keyword_table_join"] = f"{_TABLE_HITS} SELECT * FROM hits"
+ORACLES["keyword_table_score"] = f"""{_TABLE_HITS}
+SELECT doc_id, least(coalesce(sum(weight::DECIMAL(28, 8))::DOUBLE, 0.0), 60.0)::DOUBLE AS points
+FROM documents LEFT JOIN hits USING (doc_id) GROUP BY 1"""
+
 _RELEVANT = " OR ".join(f"contains(hay, {_quoted(k)})" for k in STORY_KEYWORDS)
 
 

@@ -41,6 +41,7 @@ STORY_KEYWORDS = ("the", "eau", "ción")
 # Known schemas spare every read a look at the files.
 SCHEMAS = {
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "benchmark": "item_id BIGINT, text STRING",
     "pages": "page_id BIGINT, url STRING, html STRING",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
     "props STRING",

@@ -8,7 +8,7 @@ from conftest import SMALL
 from feedrank.plans.catalogue import QUERIES as CATALOGUE
 
 QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
-TABLES = ("documents", "pages", "events", "lineitem")
+TABLES = ("documents", "pages", "events", "lineitem", "benchmark")
 
 
 @pytest.fixture(scope="module")
