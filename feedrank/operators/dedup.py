@@ -9,30 +9,38 @@ undecided item that is the first one on all of its keys, and drops those that sh
 That is aggregation with map-side combining and one join on the key, so a key shared by a third of
 all items costs no more than any other.
 
-Where a round decides hardly anything, chains are decided at once: an item with a single undecided
-item before it is kept iff that one is not, so a row of such items hangs on the first one that is
-not of this kind, and pointer doubling over joins finds that one and whether it is an even number
-of steps away. Where that too decides hardly anything, the earliest undecided items, about
-RANGE_ITEMS of them, are decided in order, connected group by connected group, and what they block
-is removed by a join before the next ones. All three ways are exact, and no task holds more than
-the keys of RANGE_ITEMS items.
+Where a round decides hardly anything, undecided items are dealt by order into blocks of about
+BLOCK_ITEMS, and every block is settled in a task of its own. An item is kept if none of its keys is
+held before it, dropped if a kept item holds one, and left open if it hangs on an earlier block. That
+is repeated while it decides much. Where it does not, blocks exchange their boundaries only: a block that
+hangs on few keys from before says for each way these may be taken which of the keys that later blocks
+ask for it takes. Put one after the other, these few numbers tell what every block meets, so that a row of
+dependent items through all blocks is settled in one step, however long. Between boundaries that are too
+wide for that, chains are decided by pointer doubling over joins: an item with a single undecided item
+before it is kept iff that one is not. All ways are exact, and no task holds more than a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from feedrank.functions.urls import url_domain
-from feedrank.operators.components import components
 from feedrank.session import release, stored, stored_since
 
 SLOW_ROUND = 0.2  # after a round that decides less than this share, the next way is taken
-RANGE_ITEMS = 100_000  # about so many items are decided in order at a time
+BLOCK_ITEMS = 100_000  # about so many items are settled by a task
+BOUNDARY_KEYS = 4  # a block that hangs on more keys from before waits for them
+EXPORTED_KEYS = 62  # a block that later blocks ask for more keys stops the exchange
+
+_NEXT_WAY = {"rounds": "blocks", "blocks": "boundaries", "boundaries": "chains", "chains": "blocks"}
 
 # `item` is the position times four plus the number of keys (1 to 3), so that a plain min()
 # finds the first item of a key and still tells how many keys that item has.
@@ -139,36 +147,120 @@ def _kept_in_chains(undecided: DataFrame, scope: Sequence[str]) -> DataFrame:
     return result
 
 
-def _earliest(undecided: DataFrame) -> DataFrame:
-    """About RANGE_ITEMS items, none of which has an undecided one before it that is not among them."""
-    share = min(RANGE_ITEMS / max(undecided.count(), 1), 1.0)
-    last = undecided.agg(F.percentile_approx("item", share, 100_000)).first()[0]
-    return undecided.where(F.col("item") <= last)
-
-
-def _kept_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (component, item), those that no kept one before them blocks."""
-    component, taken = None, set()
-    for batch in batches:
-        chosen = []
-        for own, keys in zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist()):
-            if own != component:
-                component, taken = own, set()
-            chosen.append(taken.isdisjoint(keys))
-            if chosen[-1]:
-                taken.update(keys)
-        yield batch.filter(pa.array(chosen, pa.bool_()))
-
-
-def _decided_in_order(undecided: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """The kept ones of `undecided`, connected group by connected group. Items and keys are nodes by
-    hash; were two hashes equal, groups would be decided together, which changes nothing."""
-    node = F.xxhash64(*scope, "item")
-    links = undecided.select(node.alias("a"), F.explode("keys").alias("key")).select(
-        "a", F.xxhash64("key", F.lit("key")).alias("b"))
-    rows = undecided.withColumn("node", node).join(components(links), "node").drop("node")
-    ordered = rows.repartition("component").sortWithinPartitions("component", "item")
-    return ordered.mapInArrow(_kept_in_order, ordered.schema).drop("component")
+def _blocks(undecided: DataFrame, rows: int, scope: Sequence[str]) -> DataFrame:
+    """(scope, item, block, keys) with the keys as (key, before, after): whether earlier or later blocks have
+    undecided items with the key. Blocks follow the order of the items."""
+    parts = -(-rows // BLOCK_ITEMS)
+    shares = [i / parts for i in range(1, parts)]
+    bounds = undecided.agg(F.percentile_approx("item", shares, max(10_000, 10 * parts))).first()[0] if shares else []
+
+    def dealt(batches):
+        for batch in batches:
+            block = np.searchsorted(np.array(bounds, np.int64), batch.column("item").to_numpy())
+            yield batch.append_column("block", pa.array(block, pa.int32()))
+
+    own = undecided.mapInArrow(dealt, StructType([*undecided.schema.fields, StructField("block", IntegerType())]))
+    each = own.select(*scope, "item", "block", F.explode("keys").alias("key"))
+    spans = each.groupBy("key").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    marked = F.struct("key", (F.col("first") < F.col("block")).alias("before"), (F.col("last") > F.col("block")).alias("after"))
+    found = each.join(spans, "key").groupBy(*scope, "item", "block").agg(F.collect_list(marked).alias("keys"))
+    return stored(found, "blocks")
+
+
+def _in_order(blocks: DataFrame, scope: Sequence[str]) -> DataFrame:
+    return blocks.repartition("block").sortWithinPartitions("block", *scope, "item")
+
+
+def _settled(items: list[list[bytes]], taken: set, maybe: set) -> list[bool | None]:
+    """Which of a block's items, given by their keys, are kept (None: open), where kept items of earlier blocks hold
+    `taken` and open ones `maybe`. Both sets are extended."""
+    out = []
+    for keys in items:
+        if not taken.isdisjoint(keys):
+            out.append(False)
+        elif maybe.isdisjoint(keys):
+            out.append(True)
+            taken.update(keys)
+        else:
+            out.append(None)
+            maybe.update(keys)
+    return out
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], list[list[dict]]]]:
+    """(block, its rows, their keys) for each block."""
+    parts = (
+        (batch.slice(int(start), int(stop - start)))
+        for batch in batches if batch.num_rows
+        for cuts in [np.flatnonzero(np.diff(batch.column("block").to_numpy())) + 1]
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]))
+    for block, own in groupby(parts, key=lambda part: part.column("block")[0].as_py()):
+        rows = list(own)
+        yield block, rows, [keys for part in rows for keys in part.column("keys").to_pylist()]
+
+
+def _boundaries(blocks: DataFrame, scope: Sequence[str]) -> list[tuple]:
+    """(block, keys it hangs on, keys that later blocks ask for, for each way in which the former may be taken the
+    latter that it takes) by block; None for what is too much. A few numbers per block."""
+
+    def run(batches):
+        for block, _, rows in _whole_blocks(batches):
+            before = sorted({k["key"] for keys in rows for k in keys if k["before"]})
+            after = sorted({k["key"] for keys in rows for k in keys if k["after"]})
+            ways = None
+            if len(before) <= BOUNDARY_KEYS and len(after) <= EXPORTED_KEYS:
+                items, ways = [[k["key"] for k in keys] for keys in rows], []
+                for way in range(1 << len(before)):
+                    taken = {key for i, key in enumerate(before) if way >> i & 1}
+                    _settled(items, taken, set())
+                    ways.append(sum(1 << i for i, key in enumerate(after) if key in taken))
+            known = [before, after] if ways is not None else [None, None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), *(pa.array([x], pa.list_(pa.binary())) for x in known), pa.array([ways], pa.list_(pa.int64()))],
+                ["block", "before", "after", "ways"])
+
+    found = _in_order(blocks, scope).mapInArrow(run, "block int, before array<binary>, after array<binary>, ways array<long>")
+    return sorted(found.collect(), key=lambda r: r["block"])
+
+
+def _met(boundaries: list[tuple]) -> tuple[dict[int, set], int]:
+    """What each block meets: the keys it hangs on that are taken. And the last block for which that is known."""
+    met, taken, last = {}, set(), -1
+    for block, before, after, ways in boundaries:
+        last = block
+        if ways is None:
+            met[block] = set(taken)
+            break
+        met[block] = taken & set(map(bytes, before))
+        way = sum(1 << i for i, key in enumerate(before) if bytes(key) in taken)
+        taken |= {bytes(key) for i, key in enumerate(after) if ways[way] >> i & 1}
+    return met, last
+
+
+def _kept_in_blocks(undecided: DataFrame, rows: int, scope: Sequence[str], exchange: bool) -> DataFrame:
+    """Items that are kept as far as the blocks know by themselves or, if `exchange`, by their boundaries as well."""
+    mark = len(stored_since(0))
+    blocks = _blocks(undecided, rows, scope)
+    met, last = _met(_boundaries(blocks, scope)) if exchange else ({}, -1)
+
+    def run(batches):
+        for block, parts, rows in _whole_blocks(batches):
+            known = block <= last
+            maybe = set() if known else {k["key"] for keys in rows for k in keys if k["before"]}
+            kept = _settled([[k["key"] for k in keys] for keys in rows], set(met.get(block, ())), maybe)
+            at = 0
+            for part in parts:
+                chosen = [k is True for k in kept[at : at + part.num_rows]]
+                at += part.num_rows
+                own = part.filter(pa.array(chosen, pa.bool_()))
+                keys = pa.array([[k["key"] for k in keys] for keys in own.column("keys").to_pylist()], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in (*scope, "item")), keys], [*scope, "item", "keys"])
+
+    schema = undecided.select(*scope, "item", "keys").schema
+    steps = stored_since(mark)
+    winners = stored(_in_order(blocks, scope).mapInArrow(run, schema), "winners")
+    release(undecided.sparkSession, steps)
+    return winners
 
 
 def survivors(items: DataFrame, scope: Sequence[str] = ("run_date",), order: str = "ord") -> DataFrame:
@@ -183,17 +275,17 @@ def survivors(items: DataFrame, scope: Sequence[str] = ("run_date",), order: str
     kept = [keyed.filter(F.size("keys") == 0)]
     undecided = keyed.filter(F.size("keys") > 0)
     rows, before = undecided.count(), None
-    way = 0
+    way = "rounds"
     while rows:
-        # A fast round is followed by plain ones; after a slow one, chains are decided, then a range, and so on.
-        if before is not None:
-            way = 0 if rows <= before * (1 - SLOW_ROUND) else way % 2 + 1
-        if way == 0:
+        # A way that decides much goes on; after one that does not, the next is taken.
+        if before is not None and rows > before * (1 - SLOW_ROUND):
+            way = _NEXT_WAY[way]
+        if way == "rounds":
             winners = stored(_first_on_all_keys(undecided, scope), "winners")
-        elif way == 1:
+        elif way == "chains":
             winners = _kept_in_chains(undecided, scope)
         else:
-            winners = stored(_decided_in_order(_earliest(undecided), scope).select(*scope, "item", "keys"), "winners")
+            winners = _kept_in_blocks(undecided, rows, scope, way == "boundaries")
         kept.append(winners)
         undecided = stored(_unblocked(undecided, winners, scope), "undecided")
         rows, before = undecided.count(), rows

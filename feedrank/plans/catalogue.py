@@ -480,6 +480,15 @@ def dedup_long_chain(spark, sf_dir):
     return dedup(_linked(table(spark, sf_dir, "documents"), url, title), scope=()).select("ord", "canonical_url")
 
 
+@query
+def dedup_braid(spark, sf_dir):
+    """Every document shares one key or another with the two before it, and copies share their hash, too."""
+    doc = F.col("doc_id")
+    url = F.concat(F.lit("http://braid.example.com/"), F.floor(doc / 3).cast("string"))
+    title = F.concat(F.lit("title "), F.floor((doc + F.when(doc % 1000 < 700, 1).otherwise(2)) / 3).cast("string"))
+    return dedup(_linked(table(spark, sf_dir, "documents"), url, title), scope=()).select("ord", "canonical_url")
+
+
 @query
 def dedup_single_key(spark, sf_dir):
     events = table(spark, sf_dir, "events")

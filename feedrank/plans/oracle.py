@@ -224,7 +224,10 @@ _HOT = _LINKED.format(
     title="CASE WHEN doc_id % 3 = 1 THEN 'one title' ELSE 'title ' || doc_id END")
 _CHAIN = _LINKED.format(
     domain="'chain.example.com'", url="'http://chain.example.com/' || (doc_id + 1) // 2", title="'title ' || doc_id // 2")
-for _name, _rows in (("dedup_hot_key", _HOT), ("dedup_long_chain", _CHAIN)):
+_BRAID = _LINKED.format(
+    domain="'braid.example.com'", url="'http://braid.example.com/' || doc_id // 3",
+    title="'title ' || (doc_id + CASE WHEN doc_id % 1000 < 700 THEN 1 ELSE 2 END) // 3")
+for _name, _rows in (("dedup_hot_key", _HOT), ("dedup_long_chain", _CHAIN), ("dedup_braid", _BRAID)):
     ORACLES[_name] = f"""WITH RECURSIVE linked AS ({_rows}), {_fold('linked', "''")}
 SELECT l.ord, l.canonical_url FROM linked l JOIN survivors s ON s.ord = l.ord"""
 ORACLES["daily_one_date"] = (

@@ -81,37 +81,64 @@ def test_without_scope(spark):
     assert sorted(r.ord for r in survivors(df, scope=()).collect()) == expected
 
 
-def test_long_chain_needs_few_rounds(spark, monkeypatch):
+def _braid(n):
+    """Each item meets two before it."""
+    return [("d", i, f"http://h/{i // 3}", f"t{(i + 1) // 3}", f"c{(i + 2) // 3}") for i in range(n)]
+
+
+def _chain(n):
     """Each item shares its URL with the one before and its title with the one after."""
-    n = 120
-    rows = [("d", i, f"http://h/{(i + 1) // 2}", f"t{i // 2}", f"c{i}") for i in range(n)]
-    rounds = []
-    original = d._unblocked
-    monkeypatch.setattr(d, "_unblocked", lambda *a: rounds.append(1) or original(*a))
-    assert _kept(spark, rows) == _fold(rows) == [("d", i) for i in range(0, n, 2)]
-    assert len(rounds) < 4
-
-
-def test_chain_is_not_decided_by_one_task(spark, monkeypatch):
-    """All items in one chain, of which only pointer doubling decides more than a few a round."""
-    n = 400
-    rows = [("d", i, f"http://h/{(i + 1) // 2}", f"t{i // 2}", f"c{i}") for i in range(n)]
-    read = []
-    original = d._decided_in_order
-    monkeypatch.setattr(d, "_decided_in_order", lambda u, *a: read.append(u.count()) or original(u, *a))
-    assert _kept(spark, rows) == [("d", i) for i in range(0, n, 2)]
-    assert not read
-
-
-def test_what_is_decided_in_order_is_bounded(spark, monkeypatch):
-    """Each item meets several before it, so that neither rounds nor chains decide much."""
-    rows = [("d", i, f"http://h/{i // 3}", f"t{(i + 1) // 3}", f"c{(i + 2) // 3}") for i in range(120)]
-    read = []
-    original = d._decided_in_order
-    monkeypatch.setattr(d, "RANGE_ITEMS", 40)
-    monkeypatch.setattr(d, "_decided_in_order", lambda u, *a: read.append(u.count()) or original(u, *a))
+    return [("d", i, f"http://h/{(i + 1) // 2}", f"t{i // 2}", f"c{i}") for i in range(n)]
+
+
+def _interleaved(n, rows):
+    """Many chains side by side, so that every boundary is wide."""
+    return [("d", i, f"http://h/{i % rows}/{(i // rows + 1) // 2}", f"t{i % rows}/{i // rows // 2}", f"c{i}") for i in range(n)]
+
+
+@pytest.mark.parametrize("make", [_chain, _braid])
+def test_rows_of_items_through_all_blocks_need_few_steps(spark, monkeypatch, make):
+    steps, original = [], d._kept_in_blocks
+    monkeypatch.setattr(d, "BLOCK_ITEMS", 25)
+    monkeypatch.setattr(d, "_kept_in_blocks", lambda *a: steps.append(a[-1]) or original(*a))
+    monkeypatch.setattr(d, "_kept_in_chains", lambda *a: pytest.fail("not needed"))
+    rows = make(1000)  # 40 blocks
+    assert _kept(spark, rows) == _fold(rows)
+    assert steps == [False, True]
+
+
+def test_a_task_settles_no_more_than_a_block(spark, monkeypatch):
+    sizes, original = [], d._blocks
+    monkeypatch.setattr(d, "BLOCK_ITEMS", 40)
+    monkeypatch.setattr(
+        d, "_blocks", lambda *a: (found := original(*a), sizes.extend(r["count"] for r in found.groupBy("block").count().collect()))[0])
+    for rows in (_braid(300), _random_rows(400, 1, 30, 30, 200, 3)):
+        assert _kept(spark, rows) == _fold(rows)
+    assert sizes and max(sizes) <= 80
+
+
+def test_wide_boundaries_are_left_to_chains(spark, monkeypatch):
+    used, original = [], d._kept_in_chains
+    monkeypatch.setattr(d, "BLOCK_ITEMS", 30)
+    monkeypatch.setattr(d, "_kept_in_chains", lambda *a: used.append(1) or original(*a))
+    rows = _interleaved(450, 10)
+    assert _kept(spark, rows) == _fold(rows)
+    assert used == [1]
+
+
+@pytest.mark.parametrize("block", [7, 30])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_any_blocks_match_the_definition(spark, monkeypatch, block, seed):
+    monkeypatch.setattr(d, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(d, "SLOW_ROUND", 1.0)  # every way is taken in turn
+    rows = _random_rows(110, 2, 25, 20, 60, seed)
     assert _kept(spark, rows) == _fold(rows)
-    assert read and max(read) <= 40
+
+
+def test_boundaries_are_put_one_after_the_other():
+    chain = [(0, [], [b"a"], [1]), (1, [b"a"], [b"b"], [1, 0]), (2, [b"b"], [b"c"], [1, 0]), (3, None, None, None), (4, [b"c"], [], [0, 0])]
+    met, last = d._met(chain)
+    assert last == 3 and met[1] == {b"a"} and met[2] == set() and b"c" in met[3] and 4 not in met
 
 
 def test_hot_key_is_whole_and_split(spark):
@@ -160,9 +187,9 @@ def test_wrong_positions_are_refused(spark):
 
 
 def test_the_way_does_not_hang_on_the_size(spark, monkeypatch):
-    """Few items and many go through the same steps; none is left to be decided in order."""
+    """Few items and many go through the same steps."""
     seen = []
-    for name in ("_first_on_all_keys", "_unblocked", "_decided_in_order"):
+    for name in ("_first_on_all_keys", "_unblocked", "_kept_in_blocks"):
         own = getattr(d, name)
         monkeypatch.setattr(d, name, lambda *a, own=own, name=name: seen.append(name) or own(*a))
     steps = []
