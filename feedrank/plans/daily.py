@@ -17,7 +17,7 @@ from feedrank.operators.stats import run_stats
 from feedrank.params import Params
 from feedrank.session import configure, stored
 from feedrank.sinks.raw import run_header, write_raw
-from feedrank.sinks.report import report_documents, write_reports
+from feedrank.sinks.report import report_documents
 from feedrank.sources.collect import collect
 from feedrank.sources.registry import (
     check_registry,
@@ -96,7 +96,7 @@ def run_job(
     dates: Iterable[dt.date | str] | None = None,
     relative: str | None = None,
 ) -> DataFrame:
-    """Landed fetches to raw JSON and reports under `output`; returns the warnings.
+    """Landed fetches to raw JSON and reports, published together under `output`; returns the warnings.
 
     Without a registry path the default sources are used; `sources` selects by id or alias. `dates` are
     the run dates, or `relative` names one as of `now` (today, yesterday, day-before); without either,
@@ -114,6 +114,5 @@ def run_job(
     items = stored(collected.items, "items")  # parsed once; far smaller than the landed bodies
     run = daily_run(items, as_timestamp(now), params, landed.select("run_date"))
     ids = [r[0] for r in chosen.orderBy("source_pos").select("source_config_id").collect()]
-    write_raw(run.deduped, run_header(run.stats, registry_path, ids), f"{output}/raw")
-    write_reports(run.reports, f"{output}/top")
+    write_raw(run.deduped, run_header(run.stats, registry_path, ids), output, run.reports)
     return collected.warnings

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +19,12 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
-_stored: list[str] = []
+_own = threading.local()
+
+
+def _stored() -> list[str]:
+    """The tables stored by this thread: jobs that run side by side don't delete each other's."""
+    return _own.__dict__.setdefault("tables", [])
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -42,20 +50,35 @@ def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}/{name}"
     df.write.options(**options).parquet(path)
-    _stored.append(path)
+    _stored().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_since(mark: int) -> list[str]:
-    """The stored tables made after `mark`, which is the length of an earlier list from 0."""
-    return _stored[mark:]
+    """The stored tables that this thread made after `mark`, which is the length of an earlier list from 0."""
+    return _stored()[mark:]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, wherever it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete stored tables: those given, or all of this driver so far. Only for tables that nothing
+    """Delete stored tables: those given, or all of this thread so far. Only for tables that nothing
     will read again."""
-    for path in list(_stored) if paths is None else paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        if path in _stored:
-            _stored.remove(path)
+    for path in list(_stored()) if paths is None else paths:
+        delete(spark, path.rsplit("/", 1)[0])
+        if path in _stored():
+            _stored().remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what this thread stored inside. Results must have been written by then."""
+    mark = len(stored_since(0))
+    try:
+        yield
+    finally:
+        release(spark, stored_since(mark))

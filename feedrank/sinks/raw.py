@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from feedrank.sinks.published import publish, read_published
+from feedrank.sinks.report import report_files
+
 
 def run_header(stats: DataFrame, config_path: str | None, source_ids: Sequence[str]) -> DataFrame:
     """One row per run date: its statistics and what the run was configured with."""
@@ -24,27 +27,21 @@ def run_header(stats: DataFrame, config_path: str | None, source_ids: Sequence[s
     )
 
 
-def _write_json(rows: DataFrame, path: str) -> None:
-    (
-        # Rebalancing splits the rows of a large date over several files and tasks.
-        rows.hint("rebalance", "run_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("ignoreNullFields", "false")
-        .partitionBy("run_date")
-        .json(path)
-    )
+OUTPUTS = ["items", "runs", "reports"]
 
 
 def read_raw(spark: SparkSession, path: str, items: StructType, header: StructType) -> DataFrame:
-    """What `write_raw` has written: every item with the statistics of its run date."""
-    lines = spark.read.schema(items).json(f"{path.rstrip('/')}/items")
-    runs = spark.read.schema(header).json(f"{path.rstrip('/')}/runs").select("run_date", "stats.*")
+    """What `write_raw` has published: every item with the statistics of its run date."""
+    lines = read_published(spark, path, "items", items)
+    runs = read_published(spark, path, "runs", header).select("run_date", "stats.*")
     return lines.join(runs, "run_date")
 
 
-def write_raw(deduped: DataFrame, header: DataFrame, path: str) -> None:
-    """Kept items (whatever their score) under `items/`, one line each, and the run headers
-    under `runs/`, both by run date; rewritten dates are replaced."""
-    _write_json(deduped, f"{path.rstrip('/')}/items")
-    _write_json(header, f"{path.rstrip('/')}/runs")
+def write_raw(deduped: DataFrame, header: DataFrame, path: str, reports: DataFrame | None = None) -> str:
+    """Publish kept items (whatever their score) as `items`, one line each, the run headers as `runs`, and the
+    Markdown of `reports`, all for the dates of the headers; returns the version. Dates that were published
+    before are replaced as a whole, others stay."""
+    outputs = {"items": deduped, "runs": header}
+    if reports is not None:
+        outputs["reports"] = report_files(reports)
+    return publish(outputs, header, path)

@@ -69,17 +69,9 @@ def report_documents(top: DataFrame, stats: DataFrame, params: Params = Params()
     )
 
 
-def write_reports(documents: DataFrame, path: str) -> None:
-    """One text file per run date under `run_date=...`, ending in a line break; rewritten
-    dates are replaced."""
-    (
-        documents.select("run_date", F.rtrim("document", F.lit("\n")).alias("value"))
-        .repartition("run_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date")
-        .text(path)
-    )
+def report_files(documents: DataFrame) -> DataFrame:
+    """(run_date, value): the documents as a text writer takes them, which adds the last line break."""
+    return documents.select("run_date", F.rtrim("document", F.lit("\n")).alias("value"))
 
 
 def preview(top: DataFrame) -> DataFrame:

@@ -1,19 +1,27 @@
 import datetime as dt
 import json
 import re
+import subprocess
+import sys
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
+from conftest import SMALL
 from feedrank.functions import times
 from feedrank.operators.enrich import enrich, with_identity
 from feedrank.operators.rank import select_candidates
 from feedrank.params import Params
 from feedrank.plans.daily import daily_run, for_dates, run_job
 from feedrank.schemas import LANDED, LANDED_STORY, RAW_ITEM
-from feedrank.sinks.raw import run_header, write_raw
-from feedrank.sinks.report import preview, write_reports
+from feedrank.session import release, scope, stored
+from feedrank.sinks import published
+from feedrank.sinks.raw import OUTPUTS, read_raw, run_header, write_raw
+from feedrank.sinks.report import preview, report_files
 
 DAY, NEXT = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
 NOW = "2024-01-02T00:00:00Z"
@@ -69,17 +77,19 @@ def run(spark):
     return daily_run(items, times.as_timestamp(NOW))
 
 
-def _single(folder: Path, suffix: str) -> str:
-    (file,) = folder.glob(f"*.{suffix}")
+def _single(folder: Path, date: str, suffix: str) -> str:
+    (file,) = folder.glob(f"version=*/run_date={date}/*.{suffix}")
     return file.read_text()
 
 
 def test_reports(run, tmp_path):
     documents = {r.run_date: r.document for r in run.reports.collect()}
     assert documents == {DAY: REPORT, NEXT: EMPTY}
-    write_reports(run.reports, str(tmp_path))
-    assert _single(tmp_path / "run_date=2024-01-01", "txt") == REPORT
-    assert _single(tmp_path / "run_date=2024-01-02", "txt") == EMPTY + "\n"
+    published.publish({"reports": report_files(run.reports)}, run.reports, str(tmp_path))
+    assert _single(tmp_path / "reports", "2024-01-01", "txt") == REPORT
+    assert _single(tmp_path / "reports", "2024-01-02", "txt") == EMPTY + "\n"
+    read = published.read_published(run.reports.sparkSession, str(tmp_path), "reports", report_files(run.reports).schema)
+    assert {r["run_date"]: r["value"] for r in read.collect()} == {DAY: REPORT, NEXT: EMPTY + "\n"}
 
 
 def test_preview(run):
@@ -91,13 +101,13 @@ def test_preview(run):
 
 def test_raw_output_round_trip(spark, run, tmp_path):
     write_raw(run.deduped, run_header(run.stats, "sources.json", ["s"]), str(tmp_path))
-    items = spark.read.schema(run.deduped.schema).json(str(tmp_path / "items"))
+    items = published.read_published(spark, str(tmp_path), "items", run.deduped.schema)
     assert sorted(items.select(sorted(items.columns)).collect()) == sorted(
         run.deduped.select(sorted(items.columns)).collect()
     )
-    line = json.loads(_single(tmp_path / "items" / "run_date=2024-01-02", "json"))
+    line = json.loads(_single(tmp_path / "items", "2024-01-02", "json"))
     assert line["raw_popularity"] is None and line["tags"] == [] and line["score"] == 25.0
-    header = json.loads(_single(tmp_path / "runs" / "run_date=2024-01-02", "json"))
+    header = json.loads(_single(tmp_path / "runs", "2024-01-02", "json"))
     assert header == {
         "stats": {"total_fetched": 1, "after_dedup": 1, "above_threshold": 0, "top_n": 0,
                   "threshold": 45.0, "generated_at": NOW},
@@ -105,12 +115,107 @@ def test_raw_output_round_trip(spark, run, tmp_path):
     }
 
 
-def test_rewriting_a_date_leaves_the_others(run, tmp_path):
+def _read(spark, path, run, header):
+    rows = read_raw(spark, str(path), run.deduped.schema, header.schema).collect()
+    return sorted((str(r["run_date"]), r["ord"], r["title"], r["total_fetched"], r["top_n"]) for r in rows)
+
+
+def test_rewriting_a_date_leaves_the_others(spark, run, tmp_path):
+    header = run_header(run.stats, None, [])
+    write_raw(run.deduped, header, str(tmp_path))
+    before = _read(spark, tmp_path, run, header)
+    assert {row[0] for row in before} == {"2024-01-01", "2024-01-02"}
+    changed = run.deduped.filter("run_date = '2024-01-02'").withColumn("title", F.lit("new"))
+    write_raw(changed, header.filter("run_date = '2024-01-02'"), str(tmp_path))
+    after = _read(spark, tmp_path, run, header)
+    assert [row for row in after if row[0] == "2024-01-01"] == [row for row in before if row[0] == "2024-01-01"]
+    assert {row[2] for row in after if row[0] == "2024-01-02"} == {"new"}
+
+
+def test_a_date_published_again_without_items_has_none(spark, run, tmp_path):
     header = run_header(run.stats, None, [])
     write_raw(run.deduped, header, str(tmp_path))
-    before = _single(tmp_path / "items" / "run_date=2024-01-01", "json")
-    write_raw(run.deduped.filter("ord < 0 or run_date = '2024-01-02'"), header, str(tmp_path))
-    assert _single(tmp_path / "items" / "run_date=2024-01-01", "json") == before
+    write_raw(run.deduped.limit(0), header, str(tmp_path))
+    assert _read(spark, tmp_path, run, header) == []
+    assert published.read_published(spark, str(tmp_path), "runs", header.schema).count() == 2
+
+
+def test_a_run_that_breaks_off_leaves_every_date_whole(spark, run, tmp_path, monkeypatch):
+    header = run_header(run.stats, None, [])
+    write_raw(run.deduped, header, str(tmp_path), run.reports)
+    before = _read(spark, tmp_path, run, header)
+    items = run.deduped.withColumn("title", F.lit("new"))
+    broken = header.withColumn("run_date", F.when(F.col("run_date") > "2024-01-01", F.raise_error(F.lit("lost")).cast("date")).otherwise(F.col("run_date")))
+    with pytest.raises(Exception, match="lost"):
+        write_raw(items, broken, str(tmp_path))  # items are written, headers are not
+    assert len(list((tmp_path / "items").glob("version=*"))) == 2
+    assert _read(spark, tmp_path, run, header) == before
+    with monkeypatch.context() as patch:  # all is written but the manifest
+        patch.setattr(published, "MANIFEST", "nowhere/\0")
+        with pytest.raises(Exception):
+            write_raw(items, header, str(tmp_path), run.reports)
+    assert _read(spark, tmp_path, run, header) == before
+    write_raw(items, header, str(tmp_path), run.reports)
+    assert {row[2] for row in _read(spark, tmp_path, run, header)} == {"new"}
+
+
+def test_a_killed_driver_leaves_every_date_whole(spark, run, tmp_path):
+    """A process that ends between two writes, without any handler."""
+    header = run_header(run.stats, None, [])
+    write_raw(run.deduped, header, str(tmp_path))
+    before = _read(spark, tmp_path, run, header)
+    script = f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+from feedrank.sinks import published
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+items = spark.sql("SELECT DATE'2024-01-01' AS run_date, 'half' AS title")
+class Ends(dict):
+    def items(self):
+        yield "items", items
+        os._exit(9)
+published.publish(Ends(), items, {str(tmp_path)!r})
+"""
+    ended = subprocess.run([sys.executable, "-c", script], capture_output=True, timeout=300)
+    assert ended.returncode == 9 and len(list((tmp_path / "items").glob("version=*"))) == 2
+    assert _read(spark, tmp_path, run, header) == before
+
+
+def test_other_versions_are_not_read_and_can_be_cleaned(spark, run, tmp_path):
+    header = run_header(run.stats, None, [])
+    first = write_raw(run.deduped, header, str(tmp_path))
+    second = write_raw(run.deduped, header.filter("run_date = '2024-01-02'"), str(tmp_path))
+    current = {str(r["run_date"]): r["version"] for r in published.current(spark, str(tmp_path)).collect()}
+    assert current == {"2024-01-01": first, "2024-01-02": second}
+    assert published.clean(spark, str(tmp_path), OUTPUTS) == []
+    before = _read(spark, tmp_path, run, header)
+    third = write_raw(run.deduped, header, str(tmp_path))
+    assert sorted(published.clean(spark, str(tmp_path), OUTPUTS)) == sorted([first, second])
+    assert [p.name for p in (tmp_path / "items").glob("version=*")] == [f"version={third}"]
+    assert _read(spark, tmp_path, run, header) == before
+
+
+def test_jobs_side_by_side_keep_their_tables(spark):
+    """Each thread releases its own stored tables only."""
+    both = threading.Barrier(2)
+
+    def job(rows, first):
+        with scope(spark):
+            table = stored(spark.range(rows), "own")
+            both.wait(60)
+            if first:
+                release(spark)
+            both.wait(60)
+            return None if first else table.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.submit(job, 5, True), pool.submit(job, 20, False)
+        assert (first.result(), second.result()) == (None, 20)
+    queries = driver.queries()
+    with ThreadPoolExecutor(2) as pool:
+        counts = [pool.submit(lambda name=name: queries[name](spark, SMALL).count()) for name in ("dedup_hot_key", "dedup_braid")]
+        assert all(c.result() > 0 for c in counts)
 
 
 def test_malformed_time_aborts_even_on_a_duplicate(spark):
@@ -146,9 +251,9 @@ def test_job_from_landed_fetches_to_files(spark, tmp_path):
     out = str(tmp_path / "out")
     warnings = run_job(spark, str(registry), landed, stories, out, NOW, sources="rss")
     assert [(w.run_date, w.message) for w in warnings.collect()] == [(NEXT, "f failed: u: boom")]
-    assert "## 1. Copilot news" in _single(tmp_path / "out/top/run_date=2024-01-01", "txt")
-    assert "Top 0 - 2024-01-02" in _single(tmp_path / "out/top/run_date=2024-01-02", "txt")
-    header = json.loads(_single(tmp_path / "out/raw/runs/run_date=2024-01-01", "json"))
+    assert "## 1. Copilot news" in _single(tmp_path / "out/reports", "2024-01-01", "txt")
+    assert "Top 0 - 2024-01-02" in _single(tmp_path / "out/reports", "2024-01-02", "txt")
+    header = json.loads(_single(tmp_path / "out/runs", "2024-01-01", "json"))
     assert header["run_meta"]["selected_sources"] == ["f", "g"]
 
 
