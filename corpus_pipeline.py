@@ -12,6 +12,7 @@ doc_id stay only where no other of their group has one.
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 import public_tokenizers
@@ -23,7 +24,7 @@ from feedrank.llm.common import ready, release, stored, stored_since
 
 ORACLE_SQL = None
 
-_scratch: list[str] = []
+_own = threading.local()  # what the last stage of this thread stored for itself
 
 
 def _stage(step):
@@ -31,10 +32,10 @@ def _stage(step):
 
     @wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(ready(spark), list(_scratch))
+        release(ready(spark), getattr(_own, "scratch", []))
         mark = len(stored_since(0))
         result = step(spark, docs, sf_dir)
-        _scratch[:] = stored_since(mark)
+        _own.scratch = stored_since(mark)
         return result
 
     return run_stage
