@@ -17,7 +17,7 @@ from feedrank.operators.bitmaps import bitmap, mixed, passing
 __all__ = ["Texts", "bitmap", "grouped", "mixed", "passing", "shingles", "words_of"]
 
 #: Bytes that are hashed at once; longer words are hashed by themselves.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
