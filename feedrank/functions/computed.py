@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,8 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     always = F.monotonically_increasing_id() >= 0
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, *(F.when(always, v).alias(name) for name, v in columns.items()))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -1,8 +1,7 @@
 """Text cleaning: entity unescaping, Unicode folding, whitespace, truncation, digits.
 
-Everything runs as built-in expressions except entity unescaping and NFKC, which Spark
-lacks. Those go through Arrow, and only for values that can change: every other row sends
-a null to Python.
+Everything runs as built-in expressions except NFKC, which Spark lacks. That goes through Arrow,
+together with unescaping, and only for values that can change: every other row sends a null to Python.
 """
 
 from __future__ import annotations
@@ -17,6 +16,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from feedrank.functions.computed import once
+from feedrank.functions.entities import unescaped
+
 # What Python's str.isspace() accepts besides U+0020, below and above U+0100.
 _LOW_SPACE = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x{85}\x{A0}"
 _HIGH_SPACE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -38,11 +40,6 @@ def _each(values: pa.Array, fn) -> pa.Array:
     return pa.array([None if v is None else fn(v) for v in values.to_pylist()], pa.string())
 
 
-@F.arrow_udf(StringType())
-def _unescape(values: pa.Array) -> pa.Array:
-    return _each(values, html.unescape)
-
-
 @F.arrow_udf(StringType())
 def _unescape_and_fold(values: pa.Array) -> pa.Array:
     return _each(values, lambda v: unicodedata.normalize("NFKC", html.unescape(v)))
@@ -79,8 +76,8 @@ def normalize_title(col: Column) -> Column:
 
 def clean_text(col: Column, max_len: int = 800) -> Column:
     """Unescape one level, collapse whitespace; longer text is cut and ends in "..."."""
-    unescaped = _unescape(F.when(F.contains(col, F.lit("&")), col))
-    return truncate(collapse_whitespace(F.coalesce(unescaped, col, F.lit(""))), max_len)
+    plain = F.when(F.contains(col, F.lit("&")), unescaped(col)).otherwise(F.coalesce(col, F.lit("")))
+    return once(once(plain, collapse_whitespace), lambda text: truncate(text, max_len))
 
 
 def truncate(col: Column, max_len: int) -> Column:

@@ -22,6 +22,7 @@ from feedrank.plans.tables import PARAMS, table
 from feedrank.session import shared_folder, stored
 from feedrank.sinks.raw import read_raw, run_header, write_raw
 from feedrank.sinks.report import preview, report_blocks
+from feedrank.sources import bodies
 from feedrank.sources.collect import collect_items, fetch_warnings
 from feedrank.sources.feeds import scan_feeds
 from feedrank.sources.registry import (
@@ -603,6 +604,25 @@ def scan_feed_items(spark, sf_dir):
     return _shown_raw(scan_feeds(tables.landed_feeds(spark, sf_dir), _parts(spark)))
 
 
+@query
+def scan_feed_bytes(spark, sf_dir):
+    """The same feeds landed as bytes: UTF-8, UTF-16 with a mark, and Windows-1252 and GB18030 by declaration or header."""
+    landed, kind = tables.landed_feeds(spark, sf_dir), F.pmod(F.xxhash64("source_config_id", "part", "run_date"), F.lit(6))
+
+    def declared(name: str) -> Column:
+        return F.concat(F.lit(f"<?xml version='1.0' encoding='{name}'?>"), "body")
+
+    content = (
+        F.when(kind == 0, bodies.encoded(F.col("body"), "UTF-8")).when(kind == 1, bodies.encoded(F.col("body"), "UTF-16LE"))
+        .when(kind == 2, bodies.encoded(declared("ISO-8859-1"), "windows-1252"))
+        .when(kind == 3, bodies.encoded(declared("gb2312"), "GB18030"))
+        .when(kind == 4, bodies.encoded(F.col("body"), "GB18030")).otherwise(bodies.encoded(F.col("body"), "UTF-16BE")))
+    content_type = F.when(kind == 4, "text/xml; charset=GBK").when(kind == 0, "text/xml; charset=unknown")
+    fetched = landed.withColumn("content", content).withColumn("content_type", content_type)
+    read = fetched.withColumn("body", bodies.decoded(F.col("content"), F.col("content_type"))).drop("content", "content_type")
+    return _shown_raw(scan_feeds(read, _parts(spark)))
+
+
 @query
 def scan_html_rows(spark, sf_dir):
     return _shown_raw(scan_trending(tables.landed_pages(spark, sf_dir), _parts(spark)))
@@ -649,6 +669,31 @@ def fetch_failure_policy(spark, sf_dir):
     return warnings.withColumn("run_date", F.col("run_date").cast("string"))
 
 
+def _retried(landed: DataFrame) -> DataFrame:
+    """Every second part was tried before and failed; what succeeded was fetched once more, in vain; and some failed twice."""
+    some = F.pmod(F.xxhash64("source_config_id", "part", "run_date"), F.lit(2)) == 0
+    earlier = landed.where(some).withColumns({
+        "status": F.lit("failed"), "error": F.lit("timed out"), "body": F.lit(None).cast("string"),
+        "fetched_at": F.col("fetched_at") - F.expr("INTERVAL 1 HOUR")})
+    later = landed.where((F.col("status") == "ok") & some).withColumns({
+        "body": F.lit("<html>busy</html>"), "fetched_at": F.col("fetched_at") + F.expr("INTERVAL 30 DAYS")})
+    return landed.unionByName(earlier).unionByName(later)
+
+
+@query
+def retried_items(spark, sf_dir):
+    """The items of sources whose parts were fetched several times: the same as of their settled fetches."""
+    landed, stories = _retried(_landed(spark, sf_dir)), tables.landed_stories(spark, sf_dir)
+    return _shown_raw(collect_items(landed, stories, _sources(spark)))
+
+
+@query
+def fetch_retries(spark, sf_dir):
+    """The warnings for such sources."""
+    warnings = fetch_warnings(_retried(_landed(spark, sf_dir)), _sources(spark))
+    return warnings.withColumn("run_date", F.col("run_date").cast("string"))
+
+
 @query
 def registry_select(spark, sf_dir):
     """Documents of the selected sources, where each document source is a registry entry."""

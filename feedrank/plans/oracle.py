@@ -553,3 +553,9 @@ ORACLES["registry_select"] = """WITH numbered AS (
 )
 SELECT source AS source_config_id, source_type, CAST(request * stride + number AS INTEGER) AS source_pos, documents
 FROM chosen WHERE request IS NOT NULL"""
+
+# Fetching again settles to the same attempts.
+ORACLES["retried_items"] = ORACLES["source_union"]
+ORACLES["fetch_retries"] = ORACLES["fetch_failure_policy"]
+# So do feeds in whatever bytes they land.
+ORACLES["scan_feed_bytes"] = ORACLES["scan_feed_items"]

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Bodies come in more charsets than Spark's own few, and with bytes that theirs do not have.
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
     # Long texts must not add up to huge batches on their way to Python.
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }

@@ -13,6 +13,7 @@ from feedrank.sources.feeds import scan_feeds, unreadable_feeds
 from feedrank.sources.landing import (
     failed_feeds,
     failed_sources,
+    settled,
     union_items,
     unsupported_sources,
     unsupported_warnings,
@@ -55,6 +56,7 @@ def _warnings(
 def collect_items(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> DataFrame:
     """Raw items of the selected sources, in registry order; failed sources give none."""
     parts, _ = _listed(sources)
+    landed = settled(landed)
     payloads = unreadable_payloads(landed, stories, parts)
     return _items(landed, stories, parts, failed_sources(landed, parts, payloads))
 
@@ -62,6 +64,7 @@ def collect_items(landed: DataFrame, stories: DataFrame, sources: DataFrame) ->
 def fetch_warnings(landed: DataFrame, sources: DataFrame, stories: DataFrame | None = None) -> DataFrame:
     """One warning per run date and failed source; with `stories`, of unreadable payloads as well."""
     parts, unsupported = _listed(sources)
+    landed = settled(landed)
     payloads = None if stories is None else unreadable_payloads(landed, stories, parts)
     return _warnings(landed, parts, failed_sources(landed, parts, payloads), unsupported)
 
@@ -72,6 +75,7 @@ def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collec
     `landed` and `stories` may hold many run dates; each is treated on its own.
     """
     parts, unsupported = _listed(sources)
+    landed = settled(landed)
     failed = failed_sources(landed, parts, unreadable_payloads(landed, stories, parts))
     return Collected(
         _items(landed, stories, parts, failed), _warnings(landed, parts, failed, unsupported)

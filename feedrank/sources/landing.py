@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedrank.schemas import ITEM_COLUMNS, POPULARITY
+from feedrank.session import stored
 from feedrank.sources.registry import PART_PARAMS, STORY_FEEDS
 
 # Bits of `ord` for the positions of a source, of a part in it, and of a row in that.
@@ -44,6 +45,28 @@ def landed_parts(landed: DataFrame, parts: DataFrame, source_type: str) -> DataF
     return landed.join(chosen, ["source_config_id", "part"])
 
 
+def settled(landed: DataFrame) -> DataFrame:
+    """One attempt for each part of a source on a date: of several, the first that succeeded, those on the run date
+    before others, or the last that failed. Bodies travel only for parts that were tried more than once."""
+    by = ["run_date", "source_config_id", "part"]
+    repeated = stored(landed.groupBy(*by).count().where("count > 1").select(*by), "repeated")
+    if repeated.isEmpty():
+        return landed
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    named = repeated.select(*(F.col(c).alias(f"__{c}") for c in by))
+    others = [c for c in landed.columns if c not in by]
+    moment = F.unix_micros("fetched_at")
+    state = (
+        F.when(F.coalesce("status", F.lit("")) != "ok", 2)
+        .when(F.coalesce(F.to_date("fetched_at") == F.col("run_date"), F.lit(False)), 0).otherwise(1))
+    # Attempts at the same moment are told apart by what they say, so that the choice does not depend on their order.
+    order = F.struct(
+        state.alias("state"), F.when(state == 2, -moment).otherwise(moment).alias("moment"),
+        F.coalesce("error", F.lit("")).alias("error"), F.xxhash64("body").alias("hash"))
+    tried = landed.join(named, same, "left_semi").groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("own"))
+    return landed.join(named, same, "left_anti").unionByName(tried.select(*by, "own.*").select(*landed.columns))
+
+
 def _reason() -> Column:
     """Why an attempt makes its source fail, null if it does not (or not on its own)."""
     kind, error = F.col("source_type"), F.coalesce("error", F.when(F.col("status").isNull(), "no status"), F.lit(""))
