@@ -22,12 +22,11 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
-_own = threading.local()
-
 
 def _stored() -> list[str]:
-    """The tables stored by this thread: jobs that run side by side don't delete each other's."""
-    return _own.__dict__.setdefault("tables", [])
+    """The tables stored by this thread: jobs that run side by side don't delete each other's. Kept with the thread, since
+    what functions refer to in this package is sent to executors with them."""
+    return threading.current_thread().__dict__.setdefault("feedrank_stored", [])
 
 
 def configure(spark: SparkSession) -> SparkSession:
