@@ -24,7 +24,10 @@ from feedrank.llm.common import ready, release, stored, stored_since
 
 ORACLE_SQL = None
 
-_own = threading.local()  # what the last stage of this thread stored for itself
+
+def _scratch() -> list[str]:
+    """What the last stage of this thread has stored for itself."""
+    return threading.current_thread().__dict__.setdefault("pipeline_scratch", [])
 
 
 def _stage(step):
@@ -32,10 +35,10 @@ def _stage(step):
 
     @wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(ready(spark), getattr(_own, "scratch", []))
+        release(ready(spark), list(_scratch()))
         mark = len(stored_since(0))
         result = step(spark, docs, sf_dir)
-        _own.scratch = stored_since(mark)
+        _scratch()[:] = stored_since(mark)
         return result
 
     return run_stage
