@@ -1,20 +1,28 @@
 """Toxicity by two class-conditional Kneser-Ney models of words.
 
-In the models of toxic and of ordinary text a word weighs by the number of different words it follows in
-that class, less the modified Kneser-Ney discount; what the discounts leave is given out by counts shared
-by both classes, which back off to all words alike. A word's log-likelihood ratio is trusted by its
-shared count k as k / (k + `doubt`), so that rare expressions are smoothed to no evidence, and counts by
-what it exceeds `margin`. The sum over the whole text per word of it is its raw score; a logistic curve, fitted on labelled
-rows that the models have not seen, turns it into a score from 0 to 1.
+The models of toxic and of ordinary text give each word a probability after the word before it. They have three
+levels: pairs of words and words, counted by class as the number of documents that hold them, so that a document that repeats
+itself counts once; and below, shared by both classes, words by the number of different words they follow in either. Every
+level is discounted, and what that leaves is given out by the level below it.
+
+A class keeps a probability of its own only as far as its counts tell: with G2 the likelihood-ratio statistic of the two counts
+of an expression against what the level below expects of them, it is trusted by 1 - (`doubt`² / G2), the rest is that of the
+level below, and so is all of it where G2 is smaller. A word is also trusted by 1 - (`margin` / |log-ratio|), since counts of large
+corpora tell small differences of no use. A pair that only one document holds is not trusted. So expressions too rare or too much alike
+in both classes get the shared probability in both.
+
+A text's raw score is its log-likelihood per word in the toxic model less that in the ordinary model, over the whole text, with what speaks
+for either class. A logistic curve, fitted on labelled rows that the models have not seen, turns it into a score from 0 to 1.
 
 Labelled rows are used by the hash of their id modulo 4: 0 and 1 for the models, 3 for the curve, 2 (held
 out) for nothing. All labelled documents of folds 0 and 1 are counted. The curve has two parameters and is fitted on up to
 `most_labels` documents of fold 3, by another hash of the id, all if there are no more. The models reach the
-tasks as sorted parts of about `slots` words that speak for toxicity, of which a task holds one at a time.
+tasks as sorted parts of about `slots` trusted expressions, of which a task holds one at a time.
 
 Defined results: null and blank texts, and texts without words, have raw score 0; a document with several labels is
 toxic if one says so; null labels are ignored; without labels of both classes every score is 0; repeated
-rows are scored each for itself; an empty table gives no rows.
+rows are scored each for itself, and count each for itself where labelled; texts of any length are scored whole; an empty table
+gives no rows; extra columns, whatever their names, are left as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,19 +40,26 @@ from pyspark.sql import functions as F
 from feedrank.llm import kneser_ney as kn
 from feedrank.llm import lookup
 from feedrank.llm.common import release, rows_of, stored, stored_since
+from feedrank.operators.bitmaps import bitmap, passing
 
 _WORD = re.compile(r"\w+")
-#: Bits of a word's hash.
+#: Bits of the hash of a word, and of a pair.
 WORD_BITS = 63
+#: In place of the word before: the row counts documents with the word itself.
+ALONE = -1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    """`bins`: of the histogram that the curve is fitted on; `most_labels`: labelled documents that it is
-    fitted on (16 bytes each); `slots`: words that are broadcast at a time (12 bytes each); `threshold`: from which score on a text is taken as toxic."""
+    """`doubt`, `pair_doubt`: standard errors that the counts of words and of pairs have to exceed; `margin`: of the log-ratio
+    of words; `bins`: of the histogram that the curve is fitted on; `most_labels`: labelled documents that it is fitted on (16
+    bytes each); `slots`: expressions that are broadcast at a time (12 bytes each); `threshold`: from which score on a text
+    is taken as toxic."""
 
     doubt: float = 3.0
-    margin: float = 1.0
+    pair_doubt: float = 4.0
+    margin: float = 0.5
     slots: int = 1 << 21
     bins: int = 4096
     most_labels: int = 1 << 20
@@ -62,14 +78,31 @@ def hashed(text: str | None) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words)) >> np.uint64(64 - WORD_BITS)
 
 
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 63-bit hash of each pair of words."""
+    mixed = (before + np.uint64(1)) * _MIX ^ word
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * _MIX) >> np.uint64(64 - WORD_BITS)
+
+
+def expressions(text: str | None):
+    """The keys of a text's words, and of each word with the one before it: as many."""
+    word = hashed(text)
+    return [word, pair_keys(_before(word), word)]
+
+
+def _before(word: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), word])[: len(word)]
+
+
 @dataclass
 class Model:
-    words: lookup.Tables  # the evidence of each word that speaks for toxicity
+    trusted: lookup.Tables  # log-ratio of each trusted word, and what each trusted pair adds to that of its word
     slope: float
     shift: float
 
-    def values(self, words: np.ndarray) -> np.ndarray:
-        return lookup.found(self.words.pieces(), words)[1]
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        return lookup.found(self.trusted.pieces(), keys)[1]
 
 
 def known_labels(labels: DataFrame, most: int | None = None) -> DataFrame:
@@ -82,62 +115,165 @@ def known_labels(labels: DataFrame, most: int | None = None) -> DataFrame:
     return known.withColumn("fold", fold_of(F.col("id")))
 
 
-def followed(texts: DataFrame, flush: int = 1 << 22) -> DataFrame:
-    """Rows (word, before, class) of `texts` (class, text): each word with the word before it, once per class and task
-    at most."""
+def held(texts: DataFrame, flush: int = 1 << 22) -> DataFrame:
+    """Rows (word, before, n0, n1) of `texts` (class, text): how many documents of each class hold a word after another, and, with
+    ALONE before it, the word. A task adds up what it has read, and passes it on before that gets large."""
 
     def run(batches):
-        waiting, size = ([], []), 0
+        waiting, size = [], 0
 
         def emit() -> pa.RecordBatch:
-            pairs = [_distinct(*(np.concatenate(c) for c in zip(*w))) if w else (np.zeros(0, np.uint64),) * 2 for w in waiting]
-            classes = np.repeat(np.arange(2, dtype=np.int32), [len(word) for word, _ in pairs])
-            columns = [pa.array(np.concatenate(c).view(np.int64)) for c in zip(*pairs)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(classes)], ["word", "before", "class"])
+            word, before, class_ = (np.concatenate(c) for c in zip(*waiting))
+            word, before, counts = _summed(word, before, class_)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (word, before, *counts)], ["word", "before", "n0", "n1"])
 
         for rows in rows_of(batches):
             for class_, text in rows:
                 word = hashed(text)
-                if len(word):
-                    waiting[class_].append((word, np.concatenate([np.zeros(1, np.uint64), word[:-1]])))
-                    size += len(word)
-            if size >= flush:
-                yield emit()
-                waiting, size = ([], []), 0
-        yield emit()
+                if not len(word):
+                    continue
+                before, distinct = _before(word), np.unique(word)
+                _, place = np.unique(pair_keys(before, word), return_index=True)
+                own = np.concatenate([word[place], distinct]).view(np.int64)
+                last = np.concatenate([before[place].view(np.int64), np.full(len(distinct), ALONE, np.int64)])
+                waiting.append((own, last, np.full(len(own), class_, np.int8)))
+                size += len(own)
+                if size >= flush:
+                    yield emit()
+                    waiting, size = [], 0
+        if waiting:
+            yield emit()
+
+    return texts.mapInArrow(run, "word long, before long, n0 int, n1 int")
+
+
+def _summed(word: np.ndarray, before: np.ndarray, class_: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    order = np.lexsort((before, word))
+    word, before, class_ = word[order], before[order], class_[order]
+    starts = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (before[1:] != before[:-1])]))
+    ones = np.add.reduceat(class_, starts, dtype=np.int32)
+    size = np.diff(np.append(starts, len(word))).astype(np.int32)
+    return word[starts], before[starts], [size - ones, ones]
 
-    return texts.mapInArrow(run, "word long, before long, class int")
 
+def counted(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """From rows (class, text): words (word, n0, n1, k) with the documents of each class and the number of different words they
+    follow in both; contexts (before, n0, n1, t0, t1) with the sums of their pairs and the number of different ones in each
+    class; pairs (word, before, n0, n1) of several documents; and the discounts of pairs. One shuffle of pairs serves them all."""
+    pairs = held(texts).groupBy("word", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    n, zero = [F.col("n0"), F.col("n1")], F.lit(0).cast("long")
+    alone = F.col("before") == ALONE
 
-def _distinct(word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((before, word))
-    word, before = word[order], before[order]
-    new = np.concatenate([[True], (word[1:] != word[:-1]) | (before[1:] != before[:-1])])
-    return word[new], before[new]
+    def part(kind: int, rows: DataFrame, **columns: Column) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), *(columns.get(c, zero).cast("long").alias(c) for c in ("word", "before", "n0", "n1", "t0", "t1")))
+
+    # No filter on the keys here: it would be pushed below the shuffle, which then could not be shared.
+    words = pairs.groupBy("word").agg(*(F.sum(F.when(alone, c)).alias(f"n{i}") for i, c in enumerate(n)), F.count_if(~alone).alias("t0"))
+    contexts = pairs.groupBy("before").agg(
+        *(F.sum(c).alias(f"n{i}") for i, c in enumerate(n)), *(F.count_if(c > 0).alias(f"t{i}") for i, c in enumerate(n)))
+    repeated = pairs.where(F.least(F.col("before"), n[0] + n[1] - 2) >= 0)
+    rare = pairs.agg(*(F.count_if((c == times) & ~alone).alias(f"{'nt'[times - 1]}{i}") for i, c in enumerate(n) for times in (1, 2)))
+    of = {c: F.col(c) for c in ("word", "before", "n0", "n1", "t0", "t1")}
+
+    def some(*names: str) -> dict[str, Column]:
+        return {c: of[c] for c in names}
+
+    both = ("n0", "n1", "t0", "t1")
+    everything = stored(
+        part(0, words, **some("word", "n0", "n1", "t0")).unionByName(part(1, contexts, **some("before", *both)))
+        .unionByName(part(2, repeated, **some("word", "before", "n0", "n1"))).unionByName(part(3, rare, **some(*both))), "counts")
+    once = everything.where("kind = 3").first()
+    discounts = tuple(_discount(once[f"n{c}"], once[f"t{c}"]) for c in (0, 1))
+    return (everything.where("kind = 0").select("word", "n0", "n1", F.col("t0").alias("k")),
+            everything.where(f"kind = 1 AND before <> {ALONE}").select("before", *both),
+            everything.where("kind = 2").select("word", "before", "n0", "n1"), discounts)
+
+
+def _among(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of `docs` (doc_id) that may be in `known` (id), by a filter of fixed size; only ids are sent to Python."""
+    bits = np.frombuffer(bitmap(known.select(F.xxhash64("id").alias("h")), "h"), np.uint8)
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        return pd.Series(passing(h.to_numpy().view(np.uint64), bits))
+
+    return docs.where(likely(F.xxhash64("doc_id")))
 
 
-def continuation_counts(pairs: DataFrame) -> DataFrame:
-    """Rows (word, k0, k1, k): after how many different words it comes in each class, and in both."""
-    each = pairs.groupBy("word", "before").agg(*(F.max((F.col("class") == c).cast("long")).alias(f"k{c}") for c in (0, 1)))
-    return each.groupBy("word").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"), F.count(F.lit(1)).alias("k"))
+def _discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
 
 
-def evidence(counts: DataFrame, settings: Toxicity) -> DataFrame | None:
-    """Rows (word, value) of the words that speak for toxicity; None if a class has no text."""
-    columns = ("k0", "k1", "k")
-    discount = {c: kn.discounts(counts, c) for c in columns}
+def _trust(n0: Column, n1: Column, share: Column, doubt: float) -> Column:
+    """What is trusted of two counts where `share` of them are expected in class 1."""
+
+    def term(n: Column, expected: Column) -> Column:
+        return F.when(n > 0, n * F.log(n / ((n0 + n1) * expected))).otherwise(F.lit(0.0))
+
+    statistic = 2 * (term(n1, share) + term(n0, 1 - share))
+    return F.when(statistic > doubt * doubt, 1 - F.lit(doubt * doubt) / statistic).otherwise(F.lit(0.0))
+
+
+def word_model(words: DataFrame, settings: Toxicity) -> DataFrame | None:
+    """`words` with the probabilities q0 and q1 of both models; None if a class has no text."""
+    columns = ("n0", "n1", "k")
+    discount = {c: kn.discounts(words, c) for c in columns}
     taken = {c: kn.taken(F.col(c), discount[c]) for c in columns}
-    sums = counts.agg(F.count(F.lit(1)).alias("words"), *(F.sum(c).alias(c) for c in columns),
-                      *(F.sum(t).alias(f"t_{c}") for c, t in taken.items())).first()
-    if not sums["k0"] or not sums["k1"]:
+    sums = words.agg(F.count(F.lit(1)).alias("words"), *(F.sum(c).alias(c) for c in columns),
+                     *(F.sum(t).alias(f"t_{c}") for c, t in taken.items())).first()
+    if not sums["n0"] or not sums["n1"]:
         return None
 
     def share(c: str, below: Column) -> Column:
         return (F.col(c) - taken[c]) / F.lit(float(sums[c])) + F.lit(sums[f"t_{c}"] / sums[c]) * below
 
-    shared = share("k", F.lit(1 / sums["words"]))
-    ratio = F.log(share("k1", shared) / share("k0", shared)) * F.col("k") / (F.col("k") + F.lit(settings.doubt))
-    return counts.select("word", (ratio - F.lit(settings.margin)).alias("value")).where("value > 0")
+    rows = words.withColumn("shared", share("k", F.lit(1 / sums["words"])))
+    rows = rows.withColumn("p0", share("n0", F.col("shared"))).withColumn("p1", share("n1", F.col("shared")))
+    differ = F.abs(F.log(F.col("p1") / F.col("p0")))
+    expected = F.lit(sums["n1"] / (sums["n0"] + sums["n1"]))
+    large = F.when(differ > settings.margin, 1 - F.lit(settings.margin) / differ).otherwise(F.lit(0.0))
+    trust = _trust(F.col("n0"), F.col("n1"), expected, settings.doubt) * large
+    rows = rows.withColumn("trust", trust)
+    mixed = (F.col("trust") * F.col(f"p{c}") + (1 - F.col("trust")) * F.col("shared") for c in (0, 1))
+    return rows.select("word", "trust", *(m.alias(f"q{c}") for c, m in enumerate(mixed)))
+
+
+def pair_model(pairs: DataFrame, contexts: DataFrame, words: DataFrame, discounts: tuple[float, float], settings: Toxicity) -> DataFrame:
+    """Rows (before, word, value) of trusted pairs: what they add to the log-ratio of their word."""
+    sums = contexts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    likely = [F.lit(float(sums[f"n{c}"])) * F.col(f"q{c}") for c in (0, 1)]
+    trust = _trust(F.col("n0"), F.col("n1"), likely[1] / (likely[0] + likely[1]), settings.pair_doubt)
+    told = pairs.join(words.select("word", "q0", "q1"), "word").withColumn("trust", trust).where("trust > 0")
+    after = contexts.select("before", *(F.col(f"{x}{c}").alias(f"{x}_{c}") for x in "nt" for c in (0, 1)))
+    rows = told.join(after, "before")
+
+    def mixed(c: int) -> Column:
+        own = (F.greatest(F.col(f"n{c}") - discounts[c], F.lit(0.0)) + discounts[c] * F.col(f"t_{c}") * F.col(f"q{c}")) / F.col(f"n_{c}")
+        known = F.when(F.col(f"n_{c}") > 0, own).otherwise(F.col(f"q{c}"))
+        return F.col("trust") * known + (1 - F.col("trust")) * F.col(f"q{c}")
+
+    return rows.select("before", "word", (F.log(mixed(1) / mixed(0)) - F.log(F.col("q1") / F.col("q0"))).alias("value"))
+
+
+def _keyed(pairs: DataFrame) -> DataFrame:
+    """Rows (key, value) of rows (before, word, value)."""
+
+    def run(batches):
+        for batch in batches:
+            before, word = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word).view(np.int64)), batch.column(2)], ["key", "value"])
+
+    return pairs.mapInArrow(run, "key long, value double")
+
+
+def trusted(texts: DataFrame, settings: Toxicity) -> DataFrame | None:
+    """Rows (key, value) of what the models of `texts` (class, text) trust; None if a class has no text."""
+    words, contexts, pairs, discounts = counted(texts)
+    model = word_model(words, settings)
+    if model is None:
+        return None
+    single = model.where("trust > 0").select(F.col("word").alias("key"), F.log(F.col("q1") / F.col("q0")).alias("value"))
+    return single.unionByName(_keyed(pair_model(pairs, contexts, model, discounts, settings)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Toxicity = Toxicity(), id_column: str = "doc_id",
@@ -147,14 +283,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Toxicity = Toxicity(), id_
     known = stored(known_labels(labels), "known")
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     same = F.col("doc_id") == F.col("id")
-    # Always by a shuffle, since the labels grow with the documents.
-    taught = narrow.where(fold_of(F.col("doc_id")) < 2).join(known.where("fold < 2").hint("merge"), same)
-    counts = stored(continuation_counts(followed(taught.select("class", "text"))), "counts")
-    words = evidence(counts, settings)
-    none = counts.limit(0).select("word", F.lit(0.0).alias("value"))
-    entries = (none if words is None else words).select(F.lit(0).alias("table"), F.col("word").alias("key"), "value")
+    teachers = known.where("fold < 2")
+    # Always by a shuffle, since the labels grow with the documents; of a filter of fixed size, what it lets pass is joined.
+    likely = _among(narrow.where(fold_of(F.col("doc_id")) < 2), teachers)
+    taught = likely.join(teachers.hint("merge"), same)
+    found = trusted(taught.select("class", "text"), settings)
+    none = known.limit(0).select(F.col("id").alias("key"), F.lit(0.0).alias("value"))
+    entries = (none if found is None else found).select(F.lit(0).alias("table"), "key", "value")
     model = Model(lookup.tables(entries, settings.slots), 0.0, -np.inf)
-    if words is not None:
+    if found is not None:
         sample = stored(known_labels(labels.where(fold_of(F.col("doc_id").cast("long")) == 3), settings.most_labels), "sample")
         unseen, raw = _raw(narrow.join(F.broadcast(sample), same).select("class", "text"), model)
         tests = stored(unseen.select(raw.alias("raw"), "class"), "raw")
@@ -164,8 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Toxicity = Toxicity(), id_
 
 
 def _raw(docs: DataFrame, model: Model, text_column: str = "text") -> tuple[DataFrame, Column]:
-    """`docs` with what their evidence per word is computed from, and that."""
-    return lookup.scored(docs, lambda text: [hashed(text)], model.values, text_column)
+    """`docs` with what the difference of their log-likelihoods per word is computed from, and that."""
+    rows, mean = lookup.scored(docs, expressions, model.values, text_column)
+    return rows, 2 * mean  # two keys a word
 
 
 def curve(tests: DataFrame, bins: int) -> tuple[float, float]:
