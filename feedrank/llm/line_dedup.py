@@ -1,29 +1,33 @@
 """Repeated runs of lines, found by winnowing over line hashes and deleted where they come again.
 
-Lines are cut at line feeds; lines without a word are blank, and runs pass over them. Each line starts a window:
-the shortest run of lines from there that has `words` words or more. The least line hash of a window is
-its fingerprint. Any run of `words` words or more that two documents share holds a whole window with
-the same lines, and so the same minimum: no such run is missed. Occurrences are joined by fingerprint,
-told apart by the hash of all lines of the window, and matched with the first occurrence in the order
-of (doc_id, hash of the text, line). Backwards a match needs no extension, since the window one line
-earlier would be a match of its own; forwards it is extended line by line, over up to `words` further
-lines, as long as both go on alike. The matched lines of the later occurrence are deleted; the first
-one stays, so every deleted line is still there in an earlier place.
+Lines are cut at line feeds; lines without a word are blank, and runs pass over them. A line is deleted if it lies in a run of
+`words` words or more whose lines all come, one after the other, at an earlier place too, in the order of (doc_id, hash of the
+text, line).
+
+Windows are the shortest runs of `words` words from a line on, and those up to a line. The first place of a window's least line
+hash is selected; windows that overlap mostly select the same place, so a document has few. Any run of `words` words or more that two
+documents share holds a whole window with the same lines, which selects the same line of it in both: no such run is missed.
+Selected places are joined by the hash of their line, and only where it is selected elsewhere too are they
+extended, backwards and forwards, to the windows that selected them; windows with equal lines, by the hash of all of them, are
+one class, of which all but the first are deleted. A longer match is the union of its windows: those from each of its lines on cover
+it up to its last `words` words, and those up to each of its lines the rest, whatever the first places of each are. So nothing
+has to be compared in pairs, and a place that a third of all documents hold is counted before it is shuffled.
 
 Everything is DataFrame expressions. Lines travel as hashes; texts move once, to be joined with what is
-to be deleted. An occurrence is matched with one other, never with all of a group.
+to be deleted. Every deleted line is still there in an earlier place.
 
 Defined results: null texts stay null, and empty ones empty; rows that repeat doc_id and text count
 as one document, and all lose the same lines; documents with a null doc_id come first in the order; a
-document may lose all its lines and is then empty; all columns of the input are kept as they are.
+document may lose all its lines and is then empty; of equal hashes in a window the first place is selected; the lines of a very long
+text are rows like others; an empty table gives no rows; all columns of the input, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedrank.llm.common import WORD, unused
+from feedrank.llm.common import WORD, stored, unused
 
 WORDS = 50
 
@@ -40,60 +44,38 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.groupBy("d", "t").agg(F.first("units").alias("units"))
 
 
-def _windows(documents: DataFrame, words: int) -> DataFrame:
-    """A row per whole window: its document, the place `u` of its first line among the units, its number of units `c`,
-    its fingerprint, and the hash of all its lines."""
-    by_line = Window.partitionBy("d", "t").orderBy("u")
-    units = documents.select("d", "t", F.posexplode("units").alias("u", "unit")).select(
-        "d", "t", "u", "unit.h", "unit.n")
-    started = units.withColumn("start", F.sum("n").over(by_line) - F.col("n"))
-    run = Window.partitionBy("d", "t").orderBy("start").rangeBetween(0, words - 1)
-    return started.select(
-        "d", "t", "u", F.sum("n").over(run).alias("total"), F.count("n").over(run).cast("int").alias("c"),
-        F.min("h").over(run).alias("fingerprint"), F.xxhash64(F.collect_list("h").over(run)).alias("content"),
-    ).where(F.col("total") >= words).drop("total")
-
-
-def _matches(windows: DataFrame) -> DataFrame:
-    """Rows (d, t, u, c, fd, ft, fu): every window that comes again, and where it came first."""
-    firsts = (
-        windows.groupBy("fingerprint", "content")
-        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "t", "u")).alias("first"))
-        .where(F.col("times") > 1)
-        .select("fingerprint", "content", F.col("first.d").alias("fd"), F.col("first.t").alias("ft"), F.col("first.u").alias("fu")))
-    here, there = F.struct("d", "t", "u"), F.struct(F.col("fd").alias("d"), F.col("ft").alias("t"), F.col("fu").alias("u"))
-    again = windows.join(firsts, ["fingerprint", "content"]).where(~here.eqNullSafe(there))
-    return again.drop("fingerprint", "content")
+def _selected(documents: DataFrame, words: int) -> DataFrame:
+    """A row per selected place: its document (d, t), the hash `h` of its line, and the windows that selected it, with the place
+    `a` of their first line among the units, their number of units `c` and the hash `content` of all their lines."""
+    document = Window.partitionBy("d", "t")
+    units = documents.select("d", "t", F.posexplode("units").alias("u", "unit")).select("d", "t", "u", "unit.h", "unit.n")
+    ended = units.withColumn("end", F.sum("n").over(document.orderBy("u"))).withColumn("start", F.col("end") - F.col("n"))
+    onward, back = document.orderBy("start").rangeBetween(0, words - 1), document.orderBy("end").rangeBetween(1 - words, 0)
+
+    def window(run) -> Column:
+        """Null where there are less than `words` words."""
+        first = F.min("u").over(run)
+        return F.when(F.sum("n").over(run) >= words, F.struct(
+            F.min(F.struct("h", "u")).over(run).alias("least"), first.alias("a"),
+            (F.max("u").over(run) - first + 1).alias("c"), F.xxhash64(F.collect_list("h").over(run)).alias("content")))
+
+    both = ended.select("d", "t", window(onward).alias("on"), window(back).alias("up"))
+    windows = both.select("d", "t", F.explode(F.array_distinct(F.array_compact(F.array("on", "up")))).alias("w"))
+    return windows.groupBy("d", "t", "w.least").agg(
+        F.collect_set(F.struct("w.a", "w.c", "w.content")).alias("windows")).select("d", "t", "least.h", "windows")
 
 
 def repeated_runs(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (d, t, runs): for each document, by its id and the hash of its text, the first and last places, among its
     lines with words, of what is to be deleted."""
-    documents = _documents(docs, id_column, text_column)
-    matches = _matches(_windows(documents, words))
-    # Only the last of the windows that match one after the other has to be extended.
-    order = Window.partitionBy("d", "t").orderBy("fd", "ft", "u")
-    follows = F.struct("fd", "ft", "fu", "u")
-    after = F.struct("fd", "ft", (F.col("fu") + 1).alias("fu"), (F.col("u") + 1).alias("u"))
-    marked = matches.withColumn("inner", F.lead(follows).over(order).eqNullSafe(after))
-    covered = marked.where("inner").select("d", "t", F.col("u").alias("a"), (F.col("u") + F.col("c") - 1).alias("b"))
-
-    def hashes(side: str) -> DataFrame:
-        return documents.select(F.col("d").alias(f"{side}_d"), F.col("t").alias(f"{side}_t"),
-                                F.transform("units", lambda unit: unit["h"]).alias(f"{side}_h"))
-
-    own, other = hashes("own"), hashes("other")
-    ends = (
-        marked.where("NOT inner").drop("inner")
-        .join(own, F.col("d").eqNullSafe(F.col("own_d")) & (F.col("t") == F.col("own_t")))
-        .select("d", "t", "u", "c", "fd", "ft", "fu", F.slice("own_h", F.col("u") + F.col("c") + 1, words).alias("tail"))
-        .join(other, F.col("fd").eqNullSafe(F.col("other_d")) & (F.col("ft") == F.col("other_t")))
-        .select("d", "t", "u", "c", "tail", F.slice("other_h", F.col("fu") + F.col("c") + 1, words).alias("following")))
-    # How many units after the window go on alike: none differs before `stop`.
-    stop = F.array_position(F.zip_with("tail", "following", lambda x, y: x.eqNullSafe(y)), False)
-    alike = F.when(stop > 0, stop - 1).otherwise(F.least(F.size("tail"), F.size("following"))).cast("int")
-    extended = ends.select("d", "t", F.col("u").alias("a"), (F.col("u") + F.col("c") - 1 + alike).alias("b"))
-    return covered.unionByName(extended).groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    selected = stored(_selected(_documents(docs, id_column, text_column), words), "selected")
+    again = selected.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    extended = selected.join(again, "h").select("d", "t", F.explode("windows").alias("w")).select("d", "t", "w.*")
+    place = F.struct("d", "t", "a")
+    firsts = extended.groupBy("content").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1")
+    later = extended.join(firsts.select("content", "first"), "content").where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("d", "t").agg(
+        F.collect_set(F.struct("a", (F.col("a") + F.col("c") - 1).cast("int").alias("b"))).alias("runs"))
 
 
 def without_repeats(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

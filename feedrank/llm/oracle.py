@@ -87,23 +87,18 @@ OP6 = rf"""WITH lines AS (
   SELECT doc_id, place, line, len(regexp_extract_all(line, '{_ANY_WORD}+')) AS n,
     row_number() OVER (PARTITION BY doc_id ORDER BY place) AS u
   FROM lines WHERE regexp_matches(line, '{_ANY_WORD}')
-), started AS (
-  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY u) - n AS start FROM units
+), ended AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY u) AS e FROM units
 ), windows AS (
-  SELECT doc_id, u, sum(n) OVER run AS total, count(*) OVER run AS c, list(line) OVER run AS content FROM started
-  WINDOW run AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {WORDS - 1} FOLLOWING)
-), matches AS (
-  SELECT doc_id, u, c, first_value(doc_id) OVER earlier AS fd, first_value(u) OVER earlier AS fu
-  FROM windows WHERE total >= {WORDS} WINDOW earlier AS (PARTITION BY content ORDER BY doc_id, u)
-), whole AS (
-  SELECT doc_id, list(line ORDER BY u) AS l, list(place ORDER BY u) AS p FROM units GROUP BY 1
-), compared AS (
-  SELECT m.doc_id, m.u, m.c, a.p, least({WORDS}, len(a.l) - m.u - m.c + 1, len(b.l) - m.fu - m.c + 1) AS most, a.l AS x, b.l AS y, m.fu
-  FROM matches m JOIN whole a ON a.doc_id = m.doc_id JOIN whole b ON b.doc_id = m.fd WHERE (m.doc_id, m.u) <> (m.fd, m.fu)
+  SELECT doc_id, u AS a, sum(n) OVER r AS total, count(*) OVER r AS c, list(line) OVER r AS content, place AS lo, max(place) OVER r AS hi
+  FROM (SELECT *, e - n AS s FROM ended)
+  WINDOW r AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {WORDS - 1} FOLLOWING)
+  UNION
+  SELECT doc_id, min(u) OVER r, sum(n) OVER r, count(*) OVER r, list(line) OVER r, min(place) OVER r, place
+  FROM ended WINDOW r AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN {WORDS - 1} PRECEDING AND CURRENT ROW)
 ), spans AS (
-  SELECT doc_id, p[u] AS a,
-    p[u + c - 1 + coalesce(nullif(list_position(list_transform(range(0, most), lambda i: x[u + c + i] = y[fu + c + i]), false), 0) - 1, most)] AS b
-  FROM compared
+  SELECT doc_id, lo AS a, hi AS b FROM windows WHERE total >= {WORDS}
+  QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, windows.a) > 1
 ), gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS place FROM spans),
 cut AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.place) AS text
