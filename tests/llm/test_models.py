@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from feedrank.llm import kneser_ney as kn
@@ -186,24 +187,114 @@ def test_toxic_words_are_learned(spark, make_docs, rng, odd_docs, no_docs):
     assert toxicity.known_labels(labels, 100).count() < 160
 
 
-def test_continuation_counts_are_of_different_words(spark):
-    texts = spark.createDataFrame([(0, "a b a b c"), (0, "a b"), (1, "x b b")], "`class` int, text string").repartition(2)
-    counts = {r["word"]: (r["k0"], r["k1"], r["k"]) for r in toxicity.continuation_counts(toxicity.followed(texts)).collect()}
-    b, a = (int(toxicity.hashed(w)[0]) for w in "ba")
-    assert counts[b] == (1, 2, 3) and counts[a] == (2, 0, 2)
+def test_expressions_are_counted_by_documents(spark):
+    texts = spark.createDataFrame([(0, "a b a b c"), (0, "a b"), (1, "x b b"), (1, None), (0, "  ")], "`class` int, text string").repartition(2)
+    words, contexts, pairs, _ = toxicity.counted(texts)
+    a, b = (int(toxicity.hashed(w)[0]) for w in "ab")
+    assert {r["word"]: (r["n0"], r["n1"], r["k"]) for r in words.collect()}[b] == (2, 1, 3)
+    assert {r["before"]: (r["n0"], r["n1"], r["t0"], r["t1"]) for r in contexts.collect()}[b] == (2, 1, 2, 1)
+    assert [tuple(r) for r in pairs.where(F.col("word") == b).collect()] == [(b, a, 2, 0)]
+
+
+def plain_ratio(texts, settings):
+    """What each word after another adds to a raw score, by definition; `texts`: (class, words)."""
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for c, w in texts:
+        words[c].update(set(w))
+        pairs[c].update(set(zip([""] + w[:-1], w)))
+    after = Counter(w for _, w in pairs[0].keys() | pairs[1].keys())
+
+    def three(values):
+        n = [sum(v == i for v in values) for i in (1, 2, 3, 4)]
+        if not n[0]:
+            return (0.5,) * 3
+        y = n[0] / (n[0] + 2 * n[1])
+        found = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+        return [min(max(d, 0.05), 0.95 * i) for i, d in zip((1, 2, 3), found)]
+
+    def level(counts, below):
+        d, total = three(list(counts.values())), sum(counts.values())
+        taken = {w: d[min(n, 3) - 1] for w, n in counts.items()}
+        left = sum(taken.values()) / total
+        return lambda w: (counts[w] - taken.get(w, 0)) / total + left * below(w)
+
+    def trust(n, share, doubt):
+        g = 2 * sum(n[c] * math.log(n[c] / (sum(n) * s)) for c, s in ((0, 1 - share), (1, share)) if n[c])
+        return max(0.0, 1 - doubt**2 / g) if g > 0 else 0.0
+
+    shared = level(after, lambda w: 1 / len(after))
+    own = [level(words[c], shared) for c in (0, 1)]
+    totals = [sum(words[c].values()) for c in (0, 1)]
+
+    def single(w):
+        p = [f(w) for f in own]
+        far = abs(math.log(p[1] / p[0]))
+        s = trust([words[0][w], words[1][w]], totals[1] / sum(totals), settings.doubt) * max(0.0, 1 - settings.margin / far) if far else 0.0
+        return [s * x + (1 - s) * shared(w) for x in p]
+
+    sums = [sum(pairs[c].values()) for c in (0, 1)]
+
+    def value(before, w):
+        if not after[w]:
+            return 0.0
+        q, n = single(w), [pairs[0][before, w], pairs[1][before, w]]
+        s = trust(n, sums[1] * q[1] / (sums[1] * q[1] + sums[0] * q[0]), settings.pair_doubt) if sum(n) > 1 else 0.0
+        out = []
+        for c in (0, 1):
+            once, twice = (sum(v == i for v in pairs[c].values()) for i in (1, 2))
+            d = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
+            here = [v for (b, _), v in pairs[c].items() if b == before]
+            p = (max(n[c] - d, 0) + d * len(here) * q[c]) / sum(here) if here else q[c]
+            out.append(s * p + (1 - s) * q[c])
+        return math.log(out[1] / out[0])
+
+    return value
+
+
+def test_raw_scores_are_those_of_the_definition(spark, make_docs, rng):
+    vocabulary = [f"w{i}" for i in range(25)]
+    texts = [[rng.choice(vocabulary[: 25 if i % 3 else 12]) for _ in range(rng.randint(1, 25))] for i in range(160)]
+    for i in range(0, 160, 3):
+        texts[i] += ["w1", "bad", "w2", "w3"] if i % 2 else ["w4", "w5"] * 2
+    toxic = [int(i % 3 == 0) for i in range(160)]
+    settings = toxicity.Toxicity(doubt=1.0, pair_doubt=1.5, margin=0.1)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    docs = make_docs([" ".join(w) for w in texts] + ["unknown words", "", None, "W1! bad"])
+    model = toxicity.fit(docs, labels, settings)
+    value = plain_ratio([(toxic[i], w) for i, w in enumerate(texts) if fold(i) < 2], settings)
+    found = {r["doc_id"]: r["raw"] for r in toxicity.score(docs, model).collect()}
+    plain = [sum(value(b, x) for b, x in zip([""] + w[:-1], w)) / max(1, len(w)) for w in [*texts, ["unknown", "words"], [], [], ["w1", "bad"]]]
+    assert [found[i] for i in range(len(plain))] == pytest.approx(plain, abs=1e-5)
+    assert min(plain) < -0.05 and max(plain) > 0.05  # evidence for either class
+
+
+def test_an_expression_of_ordinary_words_is_found(spark, make_docs, rng):
+    """Both words are as frequent in both classes; only one after the other are they toxic."""
+    texts, toxic = [], [int(i % 4 == 0) for i in range(1200)]
+    for t in toxic:
+        words = prose(rng, rng.randint(20, 60)).split(" ")
+        for _ in range(2):
+            at = rng.randrange(len(words))
+            words[at:at] = ["green", "cheese"] if t else rng.choice([["cheese", "green"], ["green", "and", "cheese"]])
+        texts.append(" ".join(words))
+    docs = make_docs(texts)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held_out = [i for i in range(1200) if fold(i) == 2]
+    assert np.mean([(found[i] >= 0.3) == bool(toxic[i]) for i in held_out]) > 0.95
 
 
-def test_toxicity_counts_all_labels_and_keeps_all_words(spark, make_docs):
-    """With few labels for the curve and few words in a part; and a word after more words than 16 bits tell apart."""
+def test_toxicity_keeps_all_expressions(spark, make_docs):
+    """With few labels for the curve and few expressions in a part; and a word after more words than 16 bits tell apart."""
     toxic = [int(i % 2) for i in range(600)]
     docs = make_docs([" ".join(f"bad{j}x good{j + i % 7}" if t else f"good{j} fine{i}" for j in range(i % 40, i % 40 + 12)) for i, t in enumerate(toxic)])
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
     whole = toxicity.fit(docs, labels)
     parts = toxicity.fit(docs, labels, toxicity.Toxicity(slots=16, most_labels=40))
     words = toxicity.hashed(" ".join(f"bad{j}x" for j in range(51)))
-    assert len(parts.words.parts) > 1 and len(set(words.tolist())) == 51
-    assert (whole.values(words) > 0).sum() > 40 and (parts.values(words) == whole.values(words)).all()
+    assert len(parts.trusted.parts) > 1 and len(set(words.tolist())) == 51
+    assert (whole.values(words) > 0).sum() > 30 and (parts.values(words) == whole.values(words)).all()
     n = 80_000
     texts = spark.createDataFrame([(0, " ".join(f"w{i} the" for i in range(n)))], "`class` int, text string")
-    counts = toxicity.continuation_counts(toxicity.followed(texts)).where(F.col("word") == int(toxicity.hashed("the")[0]))
-    assert counts.first()["k0"] == n
+    the = toxicity.counted(texts)[0].where(F.col("word") == int(toxicity.hashed("the")[0])).first()
+    assert (the["n0"], the["n1"], the["k"]) == (1, 0, n)

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from feedrank.llm.common import stored, words
 from feedrank.operators.components import components
 from llm.prose import prose
 
+SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -85,26 +87,17 @@ def test_near_duplicates_of_no_documents(no_docs):
 
 
 def plain_repeats(texts, minimum):
-    """The same rule one document after the other; `texts`: (doc_id, text) in order."""
-    first, gone = {}, defaultdict(set)
-    units = [[(i, line, len(WORD.findall(line))) for i, line in enumerate(t.split("\n")) if WORD.search(line)]
-             for _, t in texts]
+    """The rule by all runs of `minimum` words or more, of any length; `texts`: (doc_id, text) in order."""
+    units = [[(i, line, len(WORD.findall(line))) for i, line in enumerate(t.split("\n")) if WORD.search(line)] for _, t in texts]
+    seen, gone = set(), defaultdict(set)
     for d, own in enumerate(units):
         for start in range(len(own)):
-            total, end = 0, start
-            while end < len(own) and total < minimum:
-                total, end = total + own[end][2], end + 1
-            if total < minimum:
-                continue
-            key = tuple(u[1] for u in own[start:end])
-            if key not in first:
-                first[key] = d, start
-                continue
-            other, at = first[key]
-            size = end - start
-            while start + size < len(own) and at + size < len(units[other]) and own[start + size][1] == units[other][at + size][1]:
-                size += 1
-            gone[d] |= set(range(own[start][0], own[start + size - 1][0] + 1))
+            for end in range(start + 1, len(own) + 1):
+                if sum(u[2] for u in own[start:end]) >= minimum:
+                    key = tuple(u[1] for u in own[start:end])
+                    if key in seen:
+                        gone[d] |= set(range(own[start][0], own[end - 1][0] + 1))
+                    seen.add(key)
     return ["\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone[d]) for d, (_, t) in enumerate(texts)]
 
 
@@ -122,6 +115,39 @@ def test_repeated_runs_are_deleted(make_docs, rng):
         assert {r["doc_id"]: r["text"] for r in found} == dict(enumerate(plain_repeats(list(enumerate(texts)), minimum)))
 
 
+def test_lines_around_a_repeated_run_are_compared_with_all_its_places(make_docs, rng):
+    """The run comes first with other lines around it than those it is repeated with."""
+    w, x, y, z = (prose(rng, n, per_line=n) for n in (60, 40, 40, 10))
+    texts = [f"{w}\n{x}", f"{w}\n{y}", f"{w}\n{y}\n{x}", f"{y}\n{w}", f"{z}\n{y}\n{w}\n{x}"]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(make_docs(texts)).collect()}
+    assert found == {0: texts[0], 1: y, 2: x, 3: y, 4: z}
+    assert plain_repeats(list(enumerate(texts)), 50) == list(found[i] for i in range(5))
+
+
+def test_overlapping_runs_of_few_different_lines(make_docs, rng):
+    lines = [prose(rng, n, per_line=n) for n in (1, 2, 4, 7, 11)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    for minimum in (3, 15, 30):
+        found = line_dedup.without_repeats(make_docs(texts), minimum).collect()
+        assert {r["doc_id"]: r["text"] for r in found} == dict(enumerate(plain_repeats(list(enumerate(texts)), minimum)))
+
+
+def test_few_places_are_selected(make_docs, rng):
+    docs = make_docs([prose(rng, 3000, per_line=2)])
+    selected = line_dedup._selected(line_dedup._documents(docs, "doc_id", "text"), 50)
+    assert selected.count() < 1500 / 8  # 25 lines a window: two in 26
+
+
+def test_sql_of_line_dedup(spark, tmp_path):
+    from feedrank.llm import queries
+
+    found = {r["doc_id"]: r["text"] for r in queries.op6_line_dedup(spark, SMALL).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    rows = db.execute(queries.ORACLES["op6_line_dedup"]).fetchall()
+    assert found == {r[0]: r[2] for r in rows} and len(rows) > 50
+
+
 def test_line_dedup_of_odd_documents(odd_docs, no_docs):
     assert line_dedup.without_repeats(no_docs).count() == 0
     before = odd_docs.collect()
