@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedrank.llm.common import release, stored, stored_since, unused
+from feedrank.operators.bitmaps import passing
 
 #: Entries of a packed row, and keys of documents that are sorted at a time.
 BLOCK = 1 << 19
@@ -98,15 +99,18 @@ def tables(entries: DataFrame, most: int) -> Tables:
 
 
 def scored(docs: DataFrame, keys_of: Callable[[str | None], Iterator[np.ndarray]], values_of: Callable[[np.ndarray], np.ndarray],
-           text_column: str) -> tuple[DataFrame, Column]:
+           text_column: str, likely: bytes | None = None) -> tuple[DataFrame, Column]:
     """`docs` with two more columns, the sum over all keys of a whole text of what `values_of` gives for them, and the number
-    of keys; and the mean per key as a column of that. `values_of` gets distinct keys in order."""
+    of keys; and the mean per key as a column of that. `values_of` gets distinct keys in order. A key that the bitmap `likely`
+    rules out has the value 0 and is not looked up."""
+    useful = None if likely is None else np.frombuffer(likely, np.uint8)
     total, units = unused(docs, "total", "units")
     added = T.StructType([T.StructField(total, T.DoubleType()), T.StructField(units, T.LongType())])
     place, names = docs.columns.index(text_column), [*docs.columns, total, units]
 
     def sums(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         blocks, waiting, owners, size = [], [], [], 0
+        sum_, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
 
         def block() -> tuple:
             distinct, inverse = np.unique(np.concatenate(waiting), return_inverse=True)
@@ -114,6 +118,9 @@ def scored(docs: DataFrame, keys_of: Callable[[str | None], Iterator[np.ndarray]
 
         for i, text in enumerate(texts):
             for keys in keys_of(text.as_py()):
+                count[i] += len(keys)
+                if useful is not None:
+                    keys = keys[passing(keys, useful)]
                 if len(keys):
                     waiting.append(keys)
                     owners.append(i)
@@ -123,14 +130,12 @@ def scored(docs: DataFrame, keys_of: Callable[[str | None], Iterator[np.ndarray]
                     waiting, owners, size = [], [], 0
         if waiting:
             blocks.append(block())
-        sum_, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if blocks:
             wanted = blocks[0][0] if len(blocks) == 1 else np.unique(np.concatenate([b[0] for b in blocks]))
             values = values_of(wanted)
             for distinct, inverse, owner, n in blocks:
                 each = values[np.searchsorted(wanted, distinct)][inverse]
                 np.add.at(sum_, owner, np.add.reduceat(each, np.cumsum(n) - n))
-                np.add.at(count, owner, n)
         return sum_, count
 
     def run(batches):

@@ -17,7 +17,8 @@ for either class. A logistic curve, fitted on labelled rows that the models have
 Labelled rows are used by the hash of their id modulo 4: 0 and 1 for the models, 3 for the curve, 2 (held
 out) for nothing. All labelled documents of folds 0 and 1 are counted. The curve has two parameters and is fitted on up to
 `most_labels` documents of fold 3, by another hash of the id, all if there are no more. The models reach the
-tasks as sorted parts of about `slots` trusted expressions, of which a task holds one at a time.
+tasks as sorted parts of about `slots` trusted expressions, of which a task holds one at a time, behind a bitmap of fixed size that
+spares most others the search.
 
 Defined results: null and blank texts, and texts without words, have raw score 0; a document with several labels is
 toxic if one says so; null labels are ignored; without labels of both classes every score is 0; repeated
@@ -100,6 +101,7 @@ class Model:
     trusted: lookup.Tables  # log-ratio of each trusted word, and what each trusted pair adds to that of its word
     slope: float
     shift: float
+    likely: bytes  # a bitmap that all trusted keys pass
 
     def values(self, keys: np.ndarray) -> np.ndarray:
         return lookup.found(self.trusted.pieces(), keys)[1]
@@ -289,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Toxicity = Toxicity(), id_
     taught = likely.join(teachers.hint("merge"), same)
     found = trusted(taught.select("class", "text"), settings)
     none = known.limit(0).select(F.col("id").alias("key"), F.lit(0.0).alias("value"))
-    entries = (none if found is None else found).select(F.lit(0).alias("table"), "key", "value")
-    model = Model(lookup.tables(entries, settings.slots), 0.0, -np.inf)
+    entries = stored((none if found is None else found).select(F.lit(0).alias("table"), "key", "value"), "trusted")
+    model = Model(lookup.tables(entries, settings.slots), 0.0, -np.inf, bitmap(entries, "key"))
     if found is not None:
         sample = stored(known_labels(labels.where(fold_of(F.col("doc_id").cast("long")) == 3), settings.most_labels), "sample")
         unseen, raw = _raw(narrow.join(F.broadcast(sample), same).select("class", "text"), model)
@@ -302,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Toxicity = Toxicity(), id_
 
 def _raw(docs: DataFrame, model: Model, text_column: str = "text") -> tuple[DataFrame, Column]:
     """`docs` with what the difference of their log-likelihoods per word is computed from, and that."""
-    rows, mean = lookup.scored(docs, expressions, model.values, text_column)
+    rows, mean = lookup.scored(docs, expressions, model.values, text_column, model.likely)
     return rows, 2 * mean  # two keys a word
 
 
