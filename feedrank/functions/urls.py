@@ -84,6 +84,58 @@ def canonicalize_url(
     )
 
 
+def _split(url: Column) -> Column:
+    """The pieces of a reference, each with its delimiter; one that is not there is empty."""
+    return F.struct(
+        F.regexp_extract(url, rf"^({_SCHEME})", 1).alias("scheme"),
+        F.regexp_extract(url, rf"^(?:{_SCHEME})?(//[^/?#]*)", 1).alias("authority"),
+        F.regexp_extract(url, rf"^(?:{_SCHEME})?(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
+        F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+        F.regexp_extract(url, r"(?s)^[^#]*(#.*)", 1).alias("fragment"),
+    )
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without "." and ".." segments, as a fold over its segments; other paths stay as they are."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == ".", kept).when(segment == "..", shorter).otherwise(F.array_append(kept, segment))
+
+    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), F.array().cast("array<string>"), step)
+    ended = F.when(path.rlike(r"/\.\.?\z"), F.array_append(kept, F.lit(""))).otherwise(kept)
+    dotted = F.startswith(path, F.lit("/")) & path.rlike(r"/\.\.?(?:/|\z)")
+    return F.when(dotted, F.concat(F.lit("/"), F.array_join(ended, "/"))).otherwise(path)
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """The address that a reference means in a document at `base`, by the strict rules of RFC 3986 (5.2). Where the base has no
+    scheme and authority, or is null, the reference stays as it is; a null reference is null."""
+
+    def joined(both: Column) -> Column:
+        b, r = both["base"], both["reference"]
+        whole = (r["scheme"] != "") | (r["authority"] != "")
+        folder = F.regexp_extract(b["path"], r"(?s)^(.*/)", 1)
+        merged = F.concat(F.when(b["path"] == "", F.lit("/")).otherwise(folder), r["path"])
+        path = F.when(whole | F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(merged)
+        same = ~whole & (r["path"] == "")
+        return F.concat(
+            F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"]),
+            F.when(whole, r["authority"]).otherwise(b["authority"]),
+            F.when(same, b["path"]).otherwise(_without_dots(path)),
+            F.when(same & (r["query"] == ""), b["query"]).otherwise(r["query"]),
+            r["fragment"],
+        )
+
+    both = F.struct(_split(base).alias("base"), _split(reference).alias("reference"))
+    return F.when(base.rlike(_ROOT), F.transform(F.array(both), joined)[0]).otherwise(reference)
+
+
+def inner_base(outer: Column, own: Column) -> Column:
+    """The base address inside of an element that may have one of its own."""
+    return F.coalesce(resolved(outer, own), outer)
+
+
 def url_domain(url: Column) -> Column:
     """Lower-cased authority of a URL, empty if it has none."""
     return F.lower(F.regexp_extract(_parseable(F.coalesce(url, F.lit(""))), _AUTHORITY, 1))

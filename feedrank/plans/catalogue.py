@@ -109,6 +109,26 @@ def source_name(spark, sf_dir):
     )
 
 
+@query
+def link_resolve(spark, sf_dir):
+    """References of twelve kinds, each with a whole text in it, inside of documents with an address."""
+    tail = F.concat(F.lit("t"), F.translate(F.coalesce("text", F.lit("")), "/?#:", "    "))
+    base = F.concat(
+        F.lit("http://"), F.coalesce("source", F.lit("none")), F.lit(".example.com/"), F.coalesce("lang", F.lit("und")),
+        F.lit("/b/c;p?q="), F.col("doc_id").cast("string"),
+    )
+    kinds = F.array(*(
+        F.concat(F.lit(before), F.col("tail"), F.lit(after)) for before, after in (
+            ("g", ""), ("./", "/."), ("../", ""), ("../../../", "/x/.."), ("/x/./y/../", ""), ("//Other.example.com/", ""),
+            ("?y=", ""), ("#", ""), ("https://else.example.com/a/../", ""), ("mailto:", ""), ("g/../", "?a/../b"),
+        )
+    ))
+    documents = table(spark, sf_dir, "documents").select("doc_id", tail.alias("tail"), base.alias("base"))
+    reference = F.coalesce(F.try_element_at(kinds, (F.pmod(F.col("doc_id"), F.lit(12)) + 1).cast("int")), F.lit(""))
+    return documents.select("doc_id", "base", reference.alias("reference")).select(
+        "doc_id", urls.resolved(F.col("base"), F.col("reference")).alias("url"))
+
+
 @query
 def link_date(spark, sf_dir):
     ts = F.col("ts")
@@ -604,6 +624,18 @@ def scan_feed_items(spark, sf_dir):
     return _shown_raw(scan_feeds(tables.landed_feeds(spark, sf_dir), _parts(spark)))
 
 
+@query
+def scan_feed_relative(spark, sf_dir):
+    """The same feeds with relative links, below a base address of the channel and, for some, of the item."""
+    landed = tables.landed_feeds(spark, sf_dir)
+    site, some = "https://news.example.com/", F.pmod(F.xxhash64("source_config_id", "part", "run_date"), F.lit(2)) == 0
+    body = F.replace(F.col("body"), F.lit("<channel>"), F.lit(f'<channel xml:base="{site}feeds/all.xml">'))
+    shallow = F.replace(body, F.lit(f"<link>{site}"), F.lit("<link>../"))
+    deep = F.replace(F.replace(body, F.lit("<item>"), F.lit('<item xml:base="../a/b/./">')),
+                     F.lit(f"<link>{site}"), F.lit("<link>../../"))
+    return _shown_raw(scan_feeds(landed.withColumn("body", F.when(some, deep).otherwise(shallow)), _parts(spark)))
+
+
 @query
 def scan_feed_bytes(spark, sf_dir):
     """The same feeds landed as bytes: UTF-8, UTF-16 with a mark, and Windows-1252 and GB18030 by declaration or header."""

@@ -303,7 +303,19 @@ ORACLES["url_canonical"] = f"""WITH addresses AS (
   UNION ALL SELECT 'document', doc_id, {_AWKWARD} FROM documents
 )
 SELECT kind, id, {_canonical('url')} AS canonical_url FROM addresses"""
-ORACLES["url_domain"] = f"SELECT page_id, {_domain('upper(url)')} AS domain FROM pages"
+ORACLES["link_resolve"] = """WITH tails AS (
+  SELECT doc_id, 't' || translate(coalesce(text, ''), '/?#:', '    ') AS tail,
+    'http://' || coalesce(source, 'none') || '.example.com/' AS site, coalesce(lang, 'und') AS top FROM documents
+)
+SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN site || top || '/b/g' || tail
+  WHEN 1 THEN site || top || '/b/' || tail || '/' WHEN 2 THEN site || top || '/' || tail
+  WHEN 3 THEN site || tail || '/' WHEN 4 THEN site || 'x/' || tail
+  WHEN 5 THEN 'http://Other.example.com/' || tail WHEN 6 THEN site || top || '/b/c;p?y=' || tail
+  WHEN 7 THEN site || top || '/b/c;p?q=' || doc_id || '#' || tail WHEN 8 THEN 'https://else.example.com/' || tail
+  WHEN 9 THEN 'mailto:' || tail WHEN 10 THEN site || top || '/b/' || tail || '?a/../b'
+  ELSE site || top || '/b/c;p?q=' || doc_id END AS url
+FROM tails"""
+ORACLES["url_domain"] =f"SELECT page_id, {_domain('upper(url)')} AS domain FROM pages"
 ORACLES["source_name"] = f"SELECT page_id, {_domain('url')} AS name, 'rss' AS name_without_host FROM pages"
 ORACLES["link_date"] = """SELECT event_id, CASE event_id % 4
   WHEN 0 THEN strftime(ts, '20%y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d')
@@ -557,5 +569,5 @@ FROM chosen WHERE request IS NOT NULL"""
 # Fetching again settles to the same attempts.
 ORACLES["retried_items"] = ORACLES["source_union"]
 ORACLES["fetch_retries"] = ORACLES["fetch_failure_policy"]
-# So do feeds in whatever bytes they land.
-ORACLES["scan_feed_bytes"] = ORACLES["scan_feed_items"]
+# So do feeds in whatever bytes they land, and however their links are written.
+ORACLES["scan_feed_bytes"] = ORACLES["scan_feed_relative"] = ORACLES["scan_feed_items"]

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from feedrank.functions.computed import computed
 from feedrank.functions.text import clean_text, first_non_empty, strip
 from feedrank.functions.times import entry_timestamp, iso_utc, on_date
-from feedrank.functions.urls import source_name
+from feedrank.functions.urls import inner_base, resolved, source_name
 from feedrank.sources.landing import landed_parts, popularity, position
 
 _TEXT = "STRUCT<_VALUE: STRING, _type: STRING>"
 _ENTRY = (
-    f"STRUCT<title: {_TEXT}, link: ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING>>, "
+    f"STRUCT<`_xml:base`: STRING, title: {_TEXT}, "
+    "link: ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING, `_xml:base`: STRING>>, "
     "guid: STRUCT<_VALUE: STRING, _isPermaLink: STRING>, id: STRING, `_rdf:about`: STRING, "
     "pubDate: STRING, published: STRING, `dc:date`: STRING, updated: STRING, "
     f"description: {_TEXT}, summary: {_TEXT}, content: {_TEXT}, `content:encoded`: {_TEXT}>"
 )
 # RSS items sit in the channel, RDF items and Atom entries under the root.
 FEED_SCHEMA = (
-    f"STRUCT<channel: STRUCT<item: ARRAY<{_ENTRY}>>, item: ARRAY<{_ENTRY}>, entry: ARRAY<{_ENTRY}>>"
+    f"STRUCT<`_xml:base`: STRING, channel: STRUCT<`_xml:base`: STRING, item: ARRAY<{_ENTRY}>>, "
+    f"item: ARRAY<{_ENTRY}>, entry: ARRAY<{_ENTRY}>>"
 )
 
 
@@ -64,16 +66,19 @@ def unreadable_feeds(fetched: DataFrame) -> DataFrame:
 
 
 def parse_entries(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """One row per entry, in document order (`row_pos`), next to the feed's other columns.
+    """One row per entry, in document order (`row_pos`), next to the feed's other columns and the base address (`feed_base`)
+    that the feed names for its links.
 
     Damaged bodies are mended first; one that is no feed gives no entries. Of an element that comes
     more than once in an entry, the last one counts.
     """
     feed = F.from_xml(mended(F.col(body)), FEED_SCHEMA)
     entries = _feed_entries("feed")
+    base = inner_base(F.col("feed.`_xml:base`"), F.col("feed.channel.`_xml:base`"))
+    base = F.coalesce(base, F.col("feed.channel.`_xml:base`"))
     others = [c for c in feeds.columns if c != body]
     return computed(feeds, feed=feed).select(
-        *others, F.posexplode(entries).alias("row_pos", "entry")
+        *others, base.alias("feed_base"), F.posexplode(entries).alias("row_pos", "entry")
     )
 
 
@@ -85,20 +90,40 @@ def _value(name: str) -> Column:
     return F.col(f"entry.`{name}`._VALUE")
 
 
-def entry_link() -> Column:
-    """The entry's link: an RSS link, an Atom alternate link, or a guid that is a permalink."""
+def _links() -> tuple[Column, Column]:
+    """The entry's first RSS link and its first Atom alternate link."""
     plain = F.filter(_entry("link"), lambda x: x["_VALUE"].isNotNull())
     alternate = F.filter(
         _entry("link"),
         lambda x: x["_href"].isNotNull() & (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"),
     )
+    return F.try_element_at(plain, F.lit(1)), F.try_element_at(alternate, F.lit(1))
+
+
+def entry_link() -> Column:
+    """The entry's link as it is written: an RSS link, an Atom alternate link, or a guid that is a permalink."""
+    plain, alternate = _links()
     permalink = F.when(
         F.coalesce(F.lower(F.col("entry.guid._isPermaLink")), F.lit("true")) == "true", _value("guid")
     )
-    return strip(
-        first_non_empty(F.try_element_at(plain, F.lit(1))["_VALUE"],
-                        F.try_element_at(alternate, F.lit(1))["_href"], permalink)
-    )
+    return strip(first_non_empty(plain["_VALUE"], alternate["_href"], permalink))
+
+
+def link_base() -> Column:
+    """The base address that the element of the entry's link names itself."""
+    plain, alternate = _links()
+    return F.when(first_non_empty(plain["_VALUE"]).isNotNull(), plain["_xml:base"]).when(
+        first_non_empty(alternate["_href"]).isNotNull(), alternate["_xml:base"])
+
+
+def _linked(entries: DataFrame) -> DataFrame:
+    """Entries that have a link, with its address: resolved where the feed, the entry or the link names a base address."""
+    own = _entry("_xml:base")
+    based = computed(entries, entry_base=F.coalesce(inner_base(F.col("feed_base"), own), own))
+    written = computed(
+        based, link=entry_link(), link_base=F.coalesce(inner_base(F.col("entry_base"), link_base()), link_base())
+    ).filter(F.col("link").isNotNull())
+    return computed(written, url=resolved(F.col("link_base"), F.col("link")))
 
 
 def entry_items(entries: DataFrame) -> DataFrame:
@@ -108,9 +133,8 @@ def entry_items(entries: DataFrame) -> DataFrame:
     summary = first_non_empty(
         _value("content:encoded"), _value("content"), _value("summary"), _value("description")
     )
-    others = [c for c in entries.columns if c != "entry"]
-    linked = computed(entries, url=entry_link()).filter(F.col("url").isNotNull())
-    dated = computed(linked, published_ts=entry_timestamp(published, updated, F.col("url")))
+    others = [c for c in entries.columns if c not in ("entry", "feed_base")]
+    dated = computed(_linked(entries), published_ts=entry_timestamp(published, updated, F.col("url")))
     titled = computed(dated, title=clean_text(_value("title"), 300)).filter(F.col("title") != "")
     return titled.select(
         *others,
