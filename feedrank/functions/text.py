@@ -77,7 +77,15 @@ def normalize_title(col: Column) -> Column:
 def clean_text(col: Column, max_len: int = 800) -> Column:
     """Unescape one level, collapse whitespace; longer text is cut and ends in "..."."""
     plain = F.when(F.contains(col, F.lit("&")), unescaped(col)).otherwise(F.coalesce(col, F.lit("")))
-    return once(once(plain, collapse_whitespace), lambda text: truncate(text, max_len))
+    return once(plain, lambda text: _collapsed(text, max_len))
+
+
+def _collapsed(text: Column, max_len: int) -> Column:
+    """`text` collapsed and truncated. If its beginning alone comes to more than `max_len`, so does the whole, and what is
+    behind it is cut off anyway; else the whole is collapsed."""
+    begins = F.when(F.octet_length(text) > 2 * max_len, collapse_whitespace(F.substring(text, 1, 2 * max_len)))
+    return once(begins, lambda begin: F.when(F.char_length(begin) > max_len, truncate(begin, max_len)).otherwise(
+        once(collapse_whitespace(text), lambda whole: truncate(whole, max_len))))
 
 
 def truncate(col: Column, max_len: int) -> Column:

@@ -12,6 +12,7 @@ from feedrank.session import stored
 from feedrank.sources.feeds import scan_feeds, unreadable_feeds
 from feedrank.sources.landing import (
     failed_feeds,
+    failed_payloads,
     failed_sources,
     settled,
     union_items,
@@ -19,7 +20,7 @@ from feedrank.sources.landing import (
     unsupported_warnings,
 )
 from feedrank.sources.registry import source_parts
-from feedrank.sources.stories import scan_stories, unreadable_payloads
+from feedrank.sources.stories import read_stories, unreadable_payloads
 from feedrank.sources.trending import scan_trending
 
 
@@ -36,12 +37,27 @@ def _listed(sources: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return source_parts(scanned), unsupported
 
 
-def _items(landed: DataFrame, stories: DataFrame, parts: DataFrame, failed: DataFrame) -> DataFrame:
-    lost = failed.select("run_date", "source_config_id")
-    usable = landed.join(lost, ["run_date", "source_config_id"], "left_anti")
-    return union_items(
-        [scan_feeds(landed, parts), scan_trending(usable, parts), scan_stories(usable, stories, parts)]
-    )
+def _without(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    return rows.join(failed.select("run_date", "source_config_id"), ["run_date", "source_config_id"], "left_anti")
+
+
+def _failed(landed: DataFrame, stories: DataFrame | None, parts: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Sources that failed; the landed fetches without those whose fetches failed; and the items of the stories.
+
+    What failed is a stored table, so Spark broadcasts it if it is small and bodies are not shuffled. Payloads are parsed
+    once, for what failed and for the items.
+    """
+    failed = stored(failed_sources(landed, parts), "failed")
+    usable = _without(landed, failed)
+    if stories is None:
+        return failed, usable, None
+    read = stored(read_stories(usable, stories, parts), "stories")
+    unread = failed_payloads(unreadable_payloads(read))
+    return failed.unionByName(unread), usable, _without(read.filter("NOT unreadable"), unread)
+
+
+def _items(landed: DataFrame, usable: DataFrame, told: DataFrame, parts: DataFrame) -> DataFrame:
+    return union_items([scan_feeds(landed, parts), scan_trending(usable, parts), told])
 
 
 def _warnings(
@@ -57,16 +73,16 @@ def collect_items(landed: DataFrame, stories: DataFrame, sources: DataFrame) ->
     """Raw items of the selected sources, in registry order; failed sources give none."""
     parts, _ = _listed(sources)
     landed = settled(landed)
-    payloads = unreadable_payloads(landed, stories, parts)
-    return _items(landed, stories, parts, failed_sources(landed, parts, payloads))
+    _, usable, told = _failed(landed, stories, parts)
+    return _items(landed, usable, told, parts)
 
 
 def fetch_warnings(landed: DataFrame, sources: DataFrame, stories: DataFrame | None = None) -> DataFrame:
     """One warning per run date and failed source; with `stories`, of unreadable payloads as well."""
     parts, unsupported = _listed(sources)
     landed = settled(landed)
-    payloads = None if stories is None else unreadable_payloads(landed, stories, parts)
-    return _warnings(landed, parts, failed_sources(landed, parts, payloads), unsupported)
+    failed, _, _ = _failed(landed, stories, parts)
+    return _warnings(landed, parts, failed, unsupported)
 
 
 def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collected:
@@ -76,7 +92,7 @@ def collect(landed: DataFrame, stories: DataFrame, sources: DataFrame) -> Collec
     """
     parts, unsupported = _listed(sources)
     landed = settled(landed)
-    failed = failed_sources(landed, parts, unreadable_payloads(landed, stories, parts))
+    failed, usable, told = _failed(landed, stories, parts)
     return Collected(
-        _items(landed, stories, parts, failed), _warnings(landed, parts, failed, unsupported)
+        _items(landed, usable, told, parts), _warnings(landed, parts, failed, unsupported)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedrank.functions.computed import computed
+from feedrank.functions.computed import computed, once
 from feedrank.functions.text import clean_text, first_non_empty, strip
 from feedrank.functions.times import entry_timestamp, iso_utc, on_date
 from feedrank.functions.urls import inner_base, resolved, source_name
@@ -29,10 +29,11 @@ FEED_SCHEMA = (
 # Characters that XML forbids; an ampersand that starts no XML entity; a text element with markup in it;
 # the whole entries of a feed that breaks off.
 _FORBIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
+_CONTROL = r"[\x00-\x1F&&[^\t\n\r]]"  # one comparison tells most characters
 _STRAY = "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9a-fA-F]+);)"
 _MARKUP = (
     r"(?s)<(title|description|summary|content:encoded|content)((?:\s[^<>]*)?)(?<!/)>"
-    r"([^<]*<(?!!\[CDATA\[|/\1).*?)</\1\s*>"
+    r"([^<]*+<(?!!\[CDATA\[|/\1).*?)</\1\s*>"
 )
 _WHOLE_END = r"</(?:rss|feed|rdf:RDF|\w+:feed)\s*>\s*(?:<!--.*-->\s*)?$"
 
@@ -41,8 +42,17 @@ def mended(body: Column) -> Column:
     """A feed body that an XML parser reads: without forbidden characters and stray ampersands (names of
     HTML entities are kept as text, and resolved with the other text), markup inside of text elements
     taken as text, and closed behind its last whole entry if it breaks off."""
-    clean = F.regexp_replace(F.regexp_replace(body, _FORBIDDEN, ""), _STRAY, "&amp;")
-    text = F.regexp_replace(clean, _MARKUP, "<$1$2><![CDATA[$3]]></$1>")
+
+    def forbidden(b: Column) -> Column:
+        return b.rlike(_CONTROL) | F.contains(b, F.lit("\uFFFE")) | F.contains(b, F.lit("\uFFFF"))
+
+    allowed = once(body, lambda b: F.when(forbidden(b), F.regexp_replace(b, _FORBIDDEN, "")).otherwise(b))
+    clean = once(allowed, lambda b: F.when(F.contains(b, F.lit("&")), F.regexp_replace(b, _STRAY, "&amp;")).otherwise(b))
+    return once(F.regexp_replace(clean, _MARKUP, "<$1$2><![CDATA[$3]]></$1>"), _closed)
+
+
+def _closed(text: Column) -> Column:
+    """A feed that ends behind its last whole entry if it breaks off."""
     closed = (
         F.when(text.rlike("<rss[\\s>]"), F.regexp_replace(text, "(?s)^(.*</item\\s*>).*$", "$1</channel></rss>"))
         .when(text.rlike("<rdf:RDF[\\s>]"), F.regexp_replace(text, "(?s)^(.*</item\\s*>).*$", "$1</rdf:RDF>"))

@@ -40,9 +40,10 @@ def popularity(**fields: Column) -> Column:
 
 
 def landed_parts(landed: DataFrame, parts: DataFrame, source_type: str) -> DataFrame:
-    """Landed fetches of one source type, with their positions and parameters."""
+    """Landed fetches of one source type, with their positions and parameters. Parts go to the bodies: dealt by part, bodies
+    would come to as many tasks as there are parts."""
     chosen = parts.filter(F.col("source_type") == source_type)
-    return landed.join(chosen, ["source_config_id", "part"])
+    return landed.join(F.broadcast(chosen), ["source_config_id", "part"])
 
 
 def settled(landed: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _unreadable_lists(landed: DataFrame, parts: DataFrame) -> DataFrame:
 def _failed_attempts(landed: DataFrame, parts: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
     """Attempts that failed, and those of `unreadable` (with `error`), whose body says nothing."""
     shown = ["run_date", "source_config_id", "source_type", "part_pos"]
-    tried = landed.drop("body").join(parts, ["source_config_id", "part"])
+    tried = landed.drop("body").join(F.broadcast(parts), ["source_config_id", "part"])
     failed = tried.select(*shown, _reason().alias("reason")).filter(F.col("reason").isNotNull())
     if unreadable is None:
         return failed
@@ -102,23 +103,24 @@ def _warning(reason: Column) -> Column:
     return F.concat("source_config_id", F.lit(" failed: "), reason).alias("message")
 
 
-def failed_sources(
-    landed: DataFrame, parts: DataFrame, payloads: DataFrame | None = None
-) -> DataFrame:
-    """Trending and story sources that failed on a date: one failed language, list or payload loses the
-    whole source. Trending pages count only on their own date. `payloads`: (run_date, source_config_id,
-    part_pos, reason) of story payloads that cannot be read."""
+def failed_sources(landed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Trending and story sources that failed on a date: one failed language or list loses the whole source. Trending
+    pages count only on their own date."""
     bad = _unreadable_lists(landed, parts).withColumn("error", F.lit(NO_LIST))
     by_part = ["run_date", "source_config_id", "part_pos", "reason"]
     attempts = _failed_attempts(landed, parts, bad).filter(F.col("source_type") != "rss").select(by_part)
     return (
-        (attempts if payloads is None else attempts.unionByName(payloads.select(by_part)))
-        .groupBy("run_date", "source_config_id")
+        attempts.groupBy("run_date", "source_config_id")
         .agg(F.min_by("reason", "part_pos").alias("reason"))
         .select("run_date", "source_config_id", _warning(F.col("reason")))
     )
 
 
+def failed_payloads(payloads: DataFrame) -> DataFrame:
+    """Story sources that failed on a date for a payload that cannot be read: (run_date, source_config_id, reason)."""
+    return payloads.select("run_date", "source_config_id", _warning(F.col("reason")))
+
+
 def failed_feeds(
     landed: DataFrame,
     parts: DataFrame,
