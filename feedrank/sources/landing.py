@@ -48,7 +48,7 @@ def landed_parts(landed: DataFrame, parts: DataFrame, source_type: str) -> DataF
 
 def settled(landed: DataFrame) -> DataFrame:
     """One attempt for each part of a source on a date: of several, the first that succeeded, those on the run date
-    before others, or the last that failed. Bodies travel only for parts that were tried more than once."""
+    before others, or the last that failed. Bodies travel only for parts that were tried more than once, and only once."""
     by = ["run_date", "source_config_id", "part"]
     repeated = stored(landed.groupBy(*by).count().where("count > 1").select(*by), "repeated")
     if repeated.isEmpty():
@@ -65,7 +65,8 @@ def settled(landed: DataFrame) -> DataFrame:
         state.alias("state"), F.when(state == 2, -moment).otherwise(moment).alias("moment"),
         F.coalesce("error", F.lit("")).alias("error"), F.xxhash64("body").alias("hash"))
     tried = landed.join(named, same, "left_semi").groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("own"))
-    return landed.join(named, same, "left_anti").unionByName(tried.select(*by, "own.*").select(*landed.columns))
+    chosen = landed.join(named, same, "left_anti").unionByName(tried.select(*by, "own.*").select(*landed.columns))
+    return stored(chosen, "settled")  # every scan reads it
 
 
 def _reason() -> Column:

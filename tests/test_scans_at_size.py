@@ -8,6 +8,7 @@ from feedrank.functions import text
 from feedrank.schemas import LANDED
 from feedrank.session import stored
 from feedrank.sources.feeds import mended, parse_entries
+from feedrank.sources.landing import settled
 from feedrank.sources.registry import parse_registry, source_parts
 from feedrank.sources.stories import read_stories, scan_stories, unreadable_payloads
 from feedrank.sources.trending import scan_trending
@@ -41,6 +42,12 @@ def test_bodies_are_not_dealt_by_part_or_source(shuffled, parts):
         assert "hashpartitioning(source_config_id" not in _plan(scan)
 
 
+def test_a_settled_fetch_is_read_not_derived_by_every_scan(spark):
+    rows = [(DAY, "s", "p", "failed", "a", None, None), (DAY, "s", "p", "ok", None, "x", dt.datetime(2024, 1, 1, 2))]
+    found = settled(spark.createDataFrame(rows, LANDED))
+    assert "Exchange" not in _plan(found) and [r["body"] for r in found.collect()] == ["x"]
+
+
 def test_a_body_is_mended_once(spark):
     feeds = stored(spark.createDataFrame([(1, "<rss></rss>")], "id int, body string"), "feeds")
     assert parse_entries(feeds)._jdf.queryExecution().optimizedPlan().toString().count("description|summary|content:encoded") == 1
