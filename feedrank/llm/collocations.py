@@ -7,11 +7,13 @@ and a corpus becomes a dictionary of distinct chunks with the number of times ea
 lie inside chunks. They are counted in the dictionary only, as often as the chunk occurs, and a phrase that lies
 in an overlap counts for the later chunk: the one in which its first word is not among the last two.
 
-Words and pairs are counted first. A phrase of three words can be frequent only if both its pairs are, so phrases with a
-pair that is not are left out of the second count; a fixed 2 MB of bits tells which these are, and lets some pass
-when there are very many, which the count then drops. Counts are summed in the tasks before they are shuffled,
-and a phrase is its own key, so one that is everywhere costs one row a task. Candidates are joined with the counts of their
-parts by language and part. The best of a language are cut in each task, then in many parts, then as a whole.
+Most distinct phrases are rare, so the dictionary is read twice. First all phrases are counted by hashes of 43 bits, which
+are summed in the tasks, dealt to 2048 parts and summed again: a phrase can be frequent only if its hash is. A fixed 32 MB of
+bits, of which a part makes its own, tells which hashes are, and lets some others pass, more when there are very many. Then the
+phrases that pass are counted themselves, so what shares a hash or passes by chance is dropped and no count depends on a hash.
+These counts, too, are summed in the tasks before they are shuffled, and a phrase is its own key, so one that is everywhere
+costs few rows a task. Candidates are joined with the counts of their parts by language and part. The best of a language are
+cut in each task, then in many parts, then as a whole.
 
 Defined results: null and empty texts have no words; a null language counts as `und`, together with texts of
 that language; repeated rows count as often as they come; very long texts are parsed whole, and a text without a place to cut
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedrank.llm.common import rows_of, stored
-from feedrank.llm.hashed_words import Texts, bitmap, grouped, mixed, passing, shingles
+from feedrank.llm.hashed_words import Texts, grouped, mixed, passing, shingles
 from feedrank.operators.rank import first_of_each
 
 #: Upper-case ASCII letters become lower-case, what ends a piece a line feed, and tabs spaces.
@@ -43,13 +46,17 @@ _GAP = np.array([b in (10, 32) for b in range(256)])
 #: What follows the last chunk of a text instead of two more words.
 _END = b"\n\n"
 COUNTS = "lang string, phrase string, times long"
+#: Keys of phrases: the upper bits of their hashes, of which the uppermost tell the part, and 32 the key in it.
+PART_BITS = 11
+_KEY_SHIFT = np.uint64(32 - PART_BITS)
 
 
 @dataclass(frozen=True)
 class Collocations:
     """`least`: how often a phrase has to occur; `absorbed`: percent of its occurrences in a longer candidate at which it
-    is dropped; `first`: phrases per language; `modulus`, `longest`: of the parsing; `held`: counts that a task sums up before
-    it passes them on; `parts`: of the ranking of a language."""
+    is dropped; `first`: phrases per language; `modulus`, `longest`: of the parsing; `held`, `block`: counts of phrases, and
+    hashes, that a task sums up before it passes them on; `bits`: of a place in the filter of hashes, at least 14; `parts`: of
+    the ranking of a language."""
 
     least: int = 10
     absorbed: int = 50
@@ -57,6 +64,8 @@ class Collocations:
     modulus: int = 32
     longest: int = 256
     held: int = 1 << 16
+    block: int = 1 << 19
+    bits: int = 28
     parts: int = 64
 
 
@@ -140,6 +149,14 @@ class _Chunks:
         raw = np.frombuffer(t.data + b"\n", np.uint8)
         self.closes = raw[t.ends] == 10
 
+    def keys(self, lang: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words at which phrases of so many words begin, and the keys of these phrases."""
+        n = max(len(self.own) - words + 1, 0)
+        inside = self.own[:n].copy()
+        for k in range(words - 1):
+            inside &= ~self.closes[k : n + k]
+        return np.flatnonzero(inside), mixed(shingles(self.texts.hashes, words)[inside] ^ _salt(lang)) >> _KEY_SHIFT
+
     def phrases(self, lang: str, chosen: np.ndarray, words: int) -> Iterator[tuple]:
         """(lang, phrases, times) for the phrases of so many words that begin at the chosen words. Those of chunks that
         occur once, which are most, go without times and are counted faster."""
@@ -160,48 +177,101 @@ def _chunk_rows(found: DataFrame) -> DataFrame:
     return found.select("lang", F.col("phrase").cast("binary").alias("phrase"), "times")
 
 
-def words_and_pairs(found: DataFrame, settings: Collocations) -> DataFrame:
-    """Rows (lang, phrase, times) for the words and pairs that occur often enough, and for all words of a language together,
-    with an empty phrase, counted in the dictionary."""
-
-    def run(batches):
-        for lang, part in _of_languages(batches):
-            own = np.flatnonzero(part.own)
-            yield lang, [b""], [int(part.times[own].sum())]
-            yield from part.phrases(lang, own, 1)
-            yield from part.phrases(lang, np.flatnonzero(part.own & ~part.closes), 2)
-
-    each = _chunk_rows(found).mapInArrow(lambda batches: _summed(run(batches), settings.held), COUNTS)
-    return each.groupBy("lang", "phrase").agg(F.sum("times").alias("times")).where(F.col("times") >= settings.least)
-
-
+@cache
 def _salt(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
 
 
-def triples(found: DataFrame, frequent: DataFrame, settings: Collocations) -> DataFrame:
-    """Rows (lang, phrase, times) for the phrases of three words that occur often enough."""
-
-    def hashed(batches):
-        for rows in rows_of(batches, 4096):
-            out = []
-            for lang in dict.fromkeys(r[0] for r in rows):
-                t = Texts([r[1] for r in rows if r[0] == lang], _SAME, _GAP)
-                out.append(mixed(shingles(t.hashes, 2)[::2] ^ _salt(lang)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["pair"])
+def _dealt(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """Distinct keys in order and their times: a row for each part that has some."""
+    bounds = np.searchsorted(keys, np.arange((1 << PART_BITS) + 1, dtype=np.uint64) << np.uint64(32))
+    parts = np.flatnonzero(np.diff(bounds))
+    offsets = bounds[np.append(parts, len(bounds) - 1)]
+    columns = [pa.array(parts, pa.int32())]
+    for values in (keys.astype(np.uint32), times):
+        places = (offsets * values.itemsize).astype(np.int32)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(places), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(columns, ["part", "keys", "times"])
+
+
+def likely(found: DataFrame, settings: Collocations) -> DataFrame:
+    """Rows (part, bits): which keys occur often enough in the dictionary, among them those of all phrases that do, as a bit for
+    each value of their upper bits."""
+    least = min(max(settings.least, 1), 1 << 31)
+    kind = np.min_scalar_type(least)
+
+    def summed(once, often):
+        keys, times = np.unique(np.concatenate(once), return_counts=True)
+        yield _dealt(keys, np.minimum(times, least).astype(kind))
+        keys, times = (np.concatenate(part) for part in zip(*often))
+        order = np.argsort(keys)
+        keys, first = np.unique(keys[order], return_index=True)
+        if len(keys):
+            yield _dealt(keys, np.minimum(np.add.reduceat(times[order], first), least).astype(kind))
 
-    pairs = frequent.where(F.contains("phrase", F.lit(" "))).select("lang", F.col("phrase").cast("binary").alias("phrase"))
-    bits = found.sparkSession.sparkContext.broadcast(bitmap(pairs.mapInArrow(hashed, "pair long"), "pair"))
+    def run(batches):
+        once, often, size = [], [], 0
+        for lang, part in _of_languages(batches):
+            for words in (1, 2, 3):
+                places, keys = part.keys(lang, words)
+                times = part.times[places]
+                several = times > 1
+                once.append(keys[~several])
+                often.append((keys[several], times[several]))
+                size += len(keys)
+            if size >= settings.block:
+                yield from summed(once, often)
+                once, often, size = [], [], 0
+        if size:
+            yield from summed(once, often)
+
+    def frequent(own: pa.Table) -> pa.Table:
+        """The bits of one part. Times were cut at `least`, beyond which they make no difference."""
+        keys, times = (np.frombuffer(b"".join(own[c].to_pylist()), t).astype(np.uint64) for c, t in (("keys", np.uint32), ("times", kind)))
+        both = np.sort((keys << np.uint64(32)) | times)
+        keys, first = np.unique(both >> np.uint64(32), return_index=True)
+        enough = keys[np.add.reduceat(both & np.uint64(0xFFFFFFFF), first) >= least]
+        bits = np.zeros(1 << (settings.bits - PART_BITS), bool)
+        bits[(enough >> _slot_shift(settings)).astype(np.int64)] = True
+        return pa.table({"part": own["part"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    each = _chunk_rows(found).mapInArrow(run, "part int, keys binary, times binary")
+    return each.groupBy("part").applyInArrow(frequent, "part int, bits binary")
+
+
+def _slot_shift(settings: Collocations) -> np.uint64:
+    return np.uint64(PART_BITS + 32 - settings.bits)
+
+
+def _filter(found: DataFrame, settings: Collocations) -> bytes:
+    """The bits of all parts: as many however large the input is."""
+    rows = likely(found, settings).toArrow()
+    out = np.zeros((1 << PART_BITS, 1 << (settings.bits - PART_BITS - 3)), np.uint8)
+    for part, bits in zip(rows["part"].to_pylist(), rows["bits"].to_pylist()):
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.tobytes()
+
+
+def passed(found: DataFrame, settings: Collocations) -> DataFrame:
+    """Rows (lang, phrase, times), several for a phrase: the phrases of up to three words whose keys are likely, and all words
+    of a language together, with an empty phrase."""
+    bits = found.sparkSession.sparkContext.broadcast(_filter(found, settings))
 
     def run(batches):
         useful = np.frombuffer(bits.value, np.uint8)
         for lang, part in _of_languages(batches):
-            n = max(len(part.own) - 2, 0)
-            good = passing(mixed(shingles(part.texts.hashes, 2) ^ _salt(lang)), useful) & ~part.closes[: n + 1]
-            yield from part.phrases(lang, np.flatnonzero(good[:n] & good[1 : n + 1] & part.own[:n]), 3)
+            yield lang, [b""], [int(part.times[part.own].sum())]
+            for words in (1, 2, 3):
+                places, keys = part.keys(lang, words)
+                yield from part.phrases(lang, places[passing(keys >> _slot_shift(settings), useful)], words)
+
+    return _chunk_rows(found).mapInArrow(lambda batches: _summed(run(batches), settings.held), COUNTS)
+
 
-    each = _chunk_rows(found).mapInArrow(lambda batches: _summed(run(batches), settings.held), COUNTS)
-    return each.groupBy("lang", "phrase").agg(F.sum("times").alias("times")).where(F.col("times") >= settings.least)
+def phrases(found: DataFrame, settings: Collocations) -> DataFrame:
+    """Rows (lang, phrase, times) for the phrases of up to three words that occur often enough, and for all words of a language
+    together, with an empty phrase, counted in the dictionary."""
+    return passed(found, settings).groupBy("lang", "phrase").agg(F.sum("times").alias("times")).where(F.col("times") >= settings.least)
 
 
 def score(a: Column, l: Column, r: Column) -> Column:
@@ -217,9 +287,8 @@ def _words(phrase: str, start: int, n: int) -> Column:
 def collocations(docs: DataFrame, settings: Collocations = Collocations(), lang_column: str = "lang", text_column: str = "text") -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): the best phrases of every language."""
     found = stored(dictionary(docs, settings, lang_column, text_column), "dictionary", compression="zstd")
-    frequent = stored(words_and_pairs(found, settings), "frequent")
-    three = stored(triples(found, frequent, settings), "triples")
-    two = frequent.where(F.contains("phrase", F.lit(" ")))
+    frequent = stored(phrases(found, settings), "frequent")
+    two, three = (frequent.where(F.size(F.split("phrase", " ")) == n) for n in (2, 3))
     inside = three.select("lang", F.explode(F.array(_words("phrase", 1, 2), _words("phrase", 2, 2))).alias("phrase"), "times")
     longer = inside.groupBy("lang", "phrase").agg(F.max("times").alias("longer"))
     left = two.join(longer, ["lang", "phrase"], "left").where(

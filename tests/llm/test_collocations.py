@@ -92,6 +92,30 @@ def test_texts_that_share_a_passage_share_its_chunks():
     assert len(a & b) > 0.7 * min(len(a), len(b))
 
 
+def test_rare_phrases_are_not_counted_one_by_one(make_docs):
+    """Of 18,000 rare phrases hardly any is passed on; what is frequent is, with all its times."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.getrandbits(60):x}" for _ in range(200)) + ". often said here" for _ in range(30)]
+    s = Collocations(block=2000)
+    sent = Counter()
+    for row in collocations.passed(collocations.dictionary(make_docs(texts), s), s).collect():
+        sent[row["phrase"]] += row["times"]
+    assert {p: n for p, n in sent.items() if n >= s.least} == {"": 30 * 203, **{p: 30 for p in plain_counts("often said here")}}
+    assert len(sent) < 50
+
+
+def test_counts_do_not_depend_on_the_filter(make_docs):
+    """Keys that share a place, repeated chunks, and times that need one byte or two until they are enough."""
+    rng = random.Random(8)
+    texts = [prose(rng, 120, 9) for _ in range(40)] + [prose(random.Random(1), 60)] * 300
+    langs = [rng.choice(["en", "de"]) for _ in texts]
+    docs = make_docs(texts, lang=langs)
+    for s in (Collocations(bits=14, block=1, least=3), Collocations(bits=14, least=255), Collocations(bits=20, block=100, least=256, modulus=1)):
+        expected = plain(list(zip(langs, texts)), s)
+        assert rows(collocations.collocations(docs, s)) == expected
+    assert not collocations.collocations(docs, Collocations(least=2**40)).count()
+
+
 def test_scores_are_exact(spark):
     rng = random.Random(1)
     counts = []
